@@ -19,9 +19,12 @@ def _pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
+def _query(module: str, function: str):
+    return lambda spark, sf_dir: getattr(importlib.import_module(f"{__package__}.{module}"), function)(spark, sf_dir)
+
+
 def queries() -> dict:
-    out = {name: getattr(importlib.import_module(f"{__package__}.{module}"), function) for name, (module, function) in _OPS.items()}
-    return out | {"pipeline": _pipeline}
+    return {name: _query(*at) for name, at in _OPS.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
