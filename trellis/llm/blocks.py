@@ -28,7 +28,10 @@ def parts(df: DataFrame) -> int:
 
 
 def pack(docs: DataFrame, encode, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, payload): encode(list of rows) of neighbouring rows; the size of a row is that of its column text."""
+    """(block, payload): encode(list of rows) of neighbouring rows; the size of a row is that of its column text.
+
+    The checkpoint is partitioned and sorted by block, so only the answers are shuffled to be joined to it.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
@@ -43,7 +46,13 @@ def pack(docs: DataFrame, encode, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield batch_of(PACKED, [(first, squeeze(encode(held)))])
 
-    return checkpointed(docs.mapInArrow(run, "block long, payload binary").repartition(shuffle_partitions(docs), "block"))
+    conf = docs.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")  # a plan that may still change doesn't say how the checkpoint is partitioned
+    try:
+        return checkpointed(docs.mapInArrow(run, "block long, payload binary").repartition(shuffle_partitions(docs), "block").sortWithinPartitions("block"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def ask(blocks: DataFrame, emit) -> DataFrame:

@@ -7,6 +7,7 @@ import pickle
 import tempfile
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     out = df.checkpoint(eager=True)
+    del df
     gc.collect()
     sc._jvm.System.gc()
     return out
@@ -69,12 +71,26 @@ def map_rows(df: DataFrame, fn, fields: list[tuple[str, pa.DataType]], ddl: str,
     return df.mapInArrow(run, ddl)
 
 
+class _Planes:
+    """An integer array, its bytes put in order of their place: the high ones are alike, and compress."""
+
+    def __init__(self, a: np.ndarray):
+        self.kind, self.planes = a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+    def array(self) -> np.ndarray:
+        kind = np.dtype(self.kind)
+        return np.ascontiguousarray(np.frombuffer(self.planes, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
 def squeeze(x) -> bytes:
+    if isinstance(x, tuple):
+        x = tuple(_Planes(v) if isinstance(v, np.ndarray) and v.ndim == 1 and v.dtype.kind in "iu" and v.itemsize > 1 and len(v) else v for v in x)
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
 
 
 def unsqueeze(b: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+    x = pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+    return tuple(v.array() if isinstance(v, _Planes) else v for v in x) if isinstance(x, tuple) else x
 
 
 def remainder(doc_id, by: int) -> int:
