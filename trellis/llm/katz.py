@@ -126,9 +126,15 @@ class Bigrams:
         self.part[self.of == 0] = -1  # a history never seen: nothing to ask
 
 
+def unseen(total: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which runs (histories, by their first places) hold a bigram that wasn't seen."""
+    return np.add.reduceat((total == 0).astype(np.int64), runs) > 0
+
+
 def reply_bigrams(uni: Unigrams, n_parts: int):
-    """To each body: the counts of its bigrams, and of each of its histories the followers counted 1 to 5 times and the sum of
-    their P(w) (of all followers).  Then counts of counts, and what this part knows of salted histories."""
+    """To each body: the counts of its bigrams; of each of its histories, whether nothing is left to back off with; and of
+    histories with a bigram never seen, the followers counted 1 to 5 times and the sum of P(w) of all followers.
+    Then counts of counts, and what this part knows of salted histories."""
     def run(p, bodies):
         h, w, c, cw = (np.concatenate([b[i] for b in bodies]) for i in range(4))
         order = np.lexsort((w, h))
@@ -143,9 +149,13 @@ def reply_bigrams(uni: Unigrams, n_parts: int):
         mass = np.add.reduceat(np.where(total > 0, uni.p(cw[order][new]), 0.0), first)
         salted, names = p >= n_parts, mine[first]
         for b, i in zip(bodies, np.split(inverse, np.cumsum([len(b[0]) for b in bodies])[:-1]), strict=True):
-            runs = b[0][np.flatnonzero(np.r_[True, b[0][1:] != b[0][:-1]])]
-            at = np.searchsorted(names, runs)
-            yield (total[i], None, None) if salted else (total[i], low[at], mass[at])
+            runs = np.flatnonzero(np.r_[True, b[0][1:] != b[0][:-1]])
+            if salted:
+                yield total[i], None
+                continue
+            at = np.searchsorted(names, b[0][runs])
+            backs = at[unseen(total[i], runs)]
+            yield total[i], np.packbits(low[at].any(1)), low[backs].T.ravel(), mass[backs].view(np.int64)
         yield np.bincount(total[total <= CUT + 1], minlength=CUT + 2), (names, low, mass) if salted else None
 
     return run
@@ -179,22 +189,26 @@ def katz_scores(docs: DataFrame, held_by: int = 7, held_is: int = 2) -> DataFram
     def score(b: Bigrams, got) -> np.ndarray:
         """log10 P of each distinct bigram."""
         n = len(b.h)
-        total, low, mass = np.zeros(n, np.int64), np.zeros((n, CUT), np.int64), np.zeros(n)
+        total, left, mass, none = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+        leaves = np.arange(1, CUT + 1) - discounted(np.arange(1, CUT + 1), d2)
         order, cuts = by_part(b.part)
         for p, s in cuts:
             if p < 0:
                 continue
-            i, (t, lo, ma) = order[s], got[p]
+            i, (t, *more) = order[s], got[p]
             total[i] = t
             h = b.h[i]
             new = np.r_[True, h[1:] != h[:-1]]
-            if lo is None:
+            if more[0] is None:
                 lo, ma = (np.array([salted[x][k] for x in h[new].tolist()]) for k in (0, 1))
-            low[i], mass[i] = lo[np.cumsum(new) - 1], ma[np.cumsum(new) - 1]
+                nothing = ~lo.any(1)
+            else:
+                backs = unseen(t, np.flatnonzero(new))
+                lo, ma, nothing = np.zeros((len(backs), CUT), np.int64), np.zeros(len(backs)), ~np.unpackbits(more[0], count=len(backs)).astype(bool)
+                lo[backs], ma[backs] = more[1].reshape(CUT, -1).T, more[2].view(np.float64)
+            of_run = np.cumsum(new) - 1
+            left[i], mass[i], none[i] = (lo @ leaves)[of_run], ma[of_run], nothing[of_run]
         p1, of = uni.p(b.count[b.w]), np.maximum(b.of, 1)
-        r = np.arange(1, CUT + 1)
-        left = (low * (r - discounted(r, d2))).sum(1)
-        none = left <= 0
         p_seen = np.where(none, total / (of + 1), discounted(total, d2) / of)
         alpha = np.where(none, 1 / (of + 1), left / of) / np.maximum(1 - mass, 1e-300)
         return np.log10(np.where(b.of == 0, p1, np.where(total > 0, p_seen, alpha * p1)))
