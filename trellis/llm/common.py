@@ -21,15 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; only where it names none, a temporary one."""
+    sc = spark.sparkContext
+    place = sc._jsc.sc().getCheckpointDir()
+    if place.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = sc._jsc.sc().getCheckpointDir()
+    return place.get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's checkpoint folder and cuts its lineage.
 
-    The folder is what the session names in spark.checkpoint.dir; only where that is unset (tests, a laptop) a
-    temporary one is made.  What the step before needed (shuffle files) is then garbage, and is released.
+    What the step before needed (shuffle files) is then garbage, and is released.
     """
+    checkpoint_dir(df.sparkSession)
     sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     out = df.checkpoint(eager=True)
     del df
     gc.collect()

@@ -64,12 +64,13 @@ def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def encode(schema: pa.Schema):
+    """Rows in order of doc_id, then text: (ids, texts, the rows without their ids)."""
+    at, text = schema.get_field_index("__id"), schema.get_field_index("text")
+    key = lambda r: (NULL_ID if r[at] is None else r[at], r[text] or b"")
+
     def run(held: list[tuple]) -> tuple:
-        at = schema.get_field_index("__id"), schema.get_field_index("text")
-        held = sorted(held, key=lambda r: (NULL_ID if r[at[0]] is None else r[at[0]], r[at[1]] or b""))
-        vocab, word, lens = numbered([r[at[1]] or b"" for r in held])
-        ids = np.array([NULL_ID if r[at[0]] is None else r[at[0]] for r in held], np.int64)
-        return b"\n".join(vocab), word, lens, ids, [tuple(v for i, v in enumerate(r) if i != at[1]) for r in held]
+        held = sorted(held, key=key)
+        return np.array([key(r)[0] for r in held], np.int64), [key(r)[1] for r in held], [tuple(v for i, v in enumerate(r) if i != at) for r in held]
 
     return run
 
@@ -78,8 +79,9 @@ class Windows:
     """Places of a block: windows that stay within a document, and where each one's standing phrase starts."""
 
     def __init__(self, payload: tuple):
-        vocab, self.word, self.lens, self.ids, _ = payload
-        h = np.fromiter(map(xxhash.xxh64_intdigest, vocab.split(b"\n")), np.uint64)[self.word] if len(self.word) else np.empty(0, np.uint64)
+        self.ids, texts, _ = payload
+        self.vocab, self.word, self.lens = numbered(texts)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, self.vocab), np.uint64)[self.word]
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         n = max(0, len(h) - WINDOW + 1)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :]) if n else np.empty(0, np.int64)
@@ -171,11 +173,10 @@ def removed(w: Windows, may: np.ndarray, n_parts: int, got: dict) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs less the column text, with n_words, n_removed and kept (the words that stay, joined by spaces)."""
+    """docs with n_words, n_removed and kept (the words that stay as UTF-8, joined by spaces); columns of these names are replaced."""
     docs = docs.drop(*(n for n, _ in KEPT))
-    rest = [f for f in docs.schema if f.name != "text"]
-    flat = docs.select(*(F.col(f"`{f.name}`") for f in rest), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("text"))
-    schema = pa.schema([(f.name, pa.int64() if f.name == "__id" else pa.binary()) for f in flat.schema])
+    flat = docs.withColumn("text", F.col("text").cast("binary")).withColumn("__id", F.col("doc_id").cast("long"))
+    schema = pa.schema([(f.name, pa.null()) for f in flat.schema])
     n_parts = parts(docs)
     blocks = pack(flat, encode(schema))
 
@@ -198,10 +199,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield p, (x[order[s]], w.ids[doc[runs]], np.diff(np.r_[runs, len(doc)]))
 
     stage = answered(blocks, recurring, answer(ask(stage, ask_windows), reply_first))
-    out = T.StructType([*rest, *(T.StructField(n, t) for n, t in KEPT)])
+    out = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in KEPT)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out)
+    arrow, text = to_arrow_schema(out), docs.columns.index("text")
 
     def finish(batches):
         for b in batches:
@@ -210,10 +211,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 w = Windows(p)
                 x, at, _, part = phrases_of(w, n_parts)
                 gone = removed(w, located(w, x, at, part, {y["part"]: unsqueeze(y["body"]) for y in phrases or ()}), n_parts, {y["part"]: unsqueeze(y["body"]) for y in windows or ()})
-                vocab, a, held = p[0].split(b"\n"), 0, []
-                for n, r in zip(w.lens.tolist(), p[4], strict=True):
+                a, held = 0, []
+                for n, r in zip(w.lens.tolist(), p[2], strict=True):
                     stay = w.word[a : a + n][~gone[a : a + n]]
-                    held.append((*r[:-1], n, n - len(stay), b" ".join([vocab[i] for i in stay.tolist()])))
+                    held.append((*(v.decode() if i == text and v is not None else v for i, v in enumerate(r)), n, n - len(stay), b" ".join([w.vocab[i] for i in stay.tolist()])))
                     a += n
                     if len(held) == 256:
                         yield of(held)
