@@ -97,8 +97,8 @@ def by_part(part: np.ndarray):
     """(stable order, [(part, slice)]) of items dealt to parts."""
     order = np.argsort(part, kind="stable")
     p = part[order]
-    cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, np.int64)
-    return order, [(int(p[a]), slice(int(a), int(b))) for a, b in zip(cuts, [*cuts[1:], len(p)], strict=True)]
+    cuts = [*np.flatnonzero(np.r_[True, p[1:] != p[:-1]]).tolist(), len(p)] if len(p) else []
+    return order, [(int(p[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:])]
 
 
 def gathered(part: np.ndarray, got: dict, field: int, dtype) -> np.ndarray:
