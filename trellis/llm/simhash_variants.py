@@ -59,6 +59,11 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return map_rows(documents(docs), run, [("doc_id", pa.int64()), ("fp", pa.int64())], "doc_id long, fp long", 4096)
 
 
+def bits(x: np.ndarray) -> np.ndarray:
+    """Set bits of each number; of a negative one those of its two's complement."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def forest(x: np.ndarray, admits) -> list[tuple[int, int]]:
     """Links of a spanning forest over x, by pairs that admits(one, many) marks."""
     label, out = np.arange(len(x)), []
@@ -81,8 +86,8 @@ def run_links(x: np.ndarray, slot: int) -> list[tuple[int, int]]:
         s = (d >> low) & np.int64(0xFFFFFFFF)
         mine = (s == one) if bit else (s & ~one == 0)  # equal segments are bit 0's
         if seg:
-            mine &= np.bitwise_count(d & np.int64(0xFFFFFFFF)) > 1  # else the first segment's
-        return mine & (np.bitwise_count(d) <= MOST)
+            mine &= bits(d & np.int64(0xFFFFFFFF)) > 1  # else the first segment's
+        return mine & (bits(d) <= MOST)
 
     if len(x) <= RUN:
         return forest(x, admits)
@@ -108,8 +113,8 @@ def short_runs(key: np.ndarray, x: np.ndarray, size: np.ndarray):
         s = (diff >> (slot // 32 * 32)) & 0xFFFFFFFF
         one = np.int64(1) << (slot % 32)
         mine = np.where(slot % 32 > 0, s == one, s & ~one == 0)
-        mine &= (slot < 32) | (np.bitwise_count(diff & np.int64(0xFFFFFFFF)) > 1)
-        mine &= np.bitwise_count(diff) <= MOST
+        mine &= (slot < 32) | (bits(diff & np.int64(0xFFFFFFFF)) > 1)
+        mine &= bits(diff) <= MOST
         yield from zip(x[i[mine]].tolist(), x[i[mine] + d].tolist(), strict=True)
 
 
