@@ -2,10 +2,11 @@
 
 Equal texts are one node.  Candidate links come from the whole documents' SimHash fingerprints (at most three bits
 apart, by deletion variants), and, as similarities of 0.8 may differ in ten bits and more, from passages: a text is
-cut where the hash of two words says so, its KEEP passages of least hash are kept, and nodes with two of them in
-common are linked to the least of those nodes.  So a passage that very many share makes no pairs by itself, and a
-group of n nodes makes n - 1 candidates, not n * n.  A candidate becomes a link if the Jaccard similarity of the
-sets of shingles is at least 0.8; linked nodes are a group.
+cut where the hash of two words says so (once in CUT), its KEEP passages of least hash are kept, and nodes with two of
+them in common are linked to the least of those nodes; texts of fewer than SHORT words have few passages, and give
+their KEEP shingles of least hash as well.  So a passage that very many share makes no pairs by itself, and a group of
+n nodes makes n - 1 candidates, not n * n.  A candidate becomes a link if the Jaccard similarity of the sets of
+shingles is at least 0.8; linked nodes are a group.
 
 Defined results: a null text is empty, empty texts are equal; a text of fewer than five words is one shingle; the least
 doc_id of a group stays (null ids last), rows that repeat it with the same text are one.  Node ids are 64-bit hashes of
@@ -23,29 +24,29 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, map_rows
 from .simhash_variants import fingerprint, links, shingles
 
-WORDS, LEAST, KEEP, CUT = 5, 0.8, 8, 24
+WORDS, LEAST, KEEP, CUT, SHORT = 5, 0.8, 8, 10, 160
 LAST = (1 << 63) - 1
 
 
-def passages(words: list[bytes], hashes: list[int]) -> list[int]:
-    """The KEEP least hashes of passages; of shingles where a text has too few passages."""
+def passages(words: list[bytes]) -> list[int]:
+    """The KEEP least hashes of passages."""
     h = xxhash.xxh3_64_intdigest
     ends = [i + 1 for i in range(len(words) - 1) if h(words[i] + b" " + words[i + 1]) % CUT == 0]
-    found = {h(b" ".join(words[a:b])) for a, b in zip([0, *ends], [*ends, len(words)], strict=True)}
-    found = {x ^ 0x5555555555555555 for x in hashes} if len(found) < KEEP else found
-    return sorted(found)[:KEEP]
+    return sorted({h(b" ".join(words[a:b])) for a, b in zip([0, *ends], [*ends, len(words)], strict=True)})[:KEEP]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id, node, fp, passages)."""
+    """(id, node, fp, passages, shingles)."""
+    signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
+
     def run(found):
         for i, node, text in found:
             words = text.lower().split()
             h = shingles(words, WORDS)
-            yield i, node, fingerprint(h), np.array(passages(words, h), np.uint64).view(np.int64).tolist()
+            yield i, node, fingerprint(h), signed(passages(words)), signed(sorted({*h})[:KEEP] if len(words) < SHORT else [])
 
-    fields = [("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("passages", pa.list_(pa.int64()))]
-    return map_rows(docs, run, fields, "id long, node long, fp long, passages array<long>", 2048)
+    fields = [("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("passages", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))]
+    return map_rows(docs, run, fields, "id long, node long, fp long, passages array<long>, shingles array<long>", 2048)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -70,14 +71,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     node = F.xxhash64(text)
     rows = checkpointed(sketches(docs.select(ids, node, text.cast("binary"))))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("passages").alias("passages")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("passages").alias("passages"), F.first("shingles").alias("shingles")))
     fps = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(fps.select("fp")).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     near = near.join(fps.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb").select("a", "b")
-    both = F.expr("explode(flatten(transform(passages, (x, i) -> transform(slice(passages, i + 2, 8), y -> xxhash64(x, y)))))")
-    shared = starred(nodes.select("node", both.alias("key")), "key")
-    single = starred(nodes.where("size(passages) = 1").select("node", F.col("passages")[0].alias("key")), "key")
-    pairs = near.unionByName(starred(nodes.select("node", "fp"), "fp")).unionByName(shared).unionByName(single)
+    twos = lambda c: f"flatten(transform({c}, (x, i) -> transform(slice({c}, i + 2, {KEEP}), y -> xxhash64('{c}', x, y))))"
+    keys = F.expr(f"explode(concat({twos('passages')}, {twos('shingles')}, if(size(passages) = 1, passages, array())))")
+    shared = starred(nodes.select("node", keys.alias("key")).distinct(), "key")
+    pairs = near.unionByName(starred(nodes.select("node", "fp"), "fp")).unionByName(shared)
     pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node")
     found = docs.select(node.alias("node"), ids.alias("id"), text.cast("binary").alias("text")).join(wanted, ["node", "id"], "left_semi")
