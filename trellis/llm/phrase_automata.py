@@ -21,15 +21,18 @@ of about n * n / 2 ** 65.
 from __future__ import annotations
 
 
+import zlib
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import answer, answered, ask, by_part, pack, parts
+from .blocks import answer, answered, ask, by_part, opened, pack, parts
 from .common import rows, table, unsqueeze
 
 WINDOW, PHRASE = 20, 8
@@ -52,15 +55,14 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(vocabulary, numbers of all words, words in each text)."""
-    of: dict[bytes, int] = {}
-    word, lens = [], []
-    for t in texts:
-        w = t.split()
-        lens.append(len(w))
-        word += [of.setdefault(x, len(of)) for x in w]
-    return list(of), np.array(word, np.int32), np.array(lens, np.int64)
+    cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    words, ends = cut.flatten(), cut.offsets.to_numpy()
+    real = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty one
+    lens = np.diff(np.r_[0, np.cumsum(real)][ends - ends[0]])
+    coded = words.filter(pa.array(real)).view(pa.large_binary()).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int32), lens
 
 
 def encode(schema: pa.Schema):
@@ -81,7 +83,7 @@ class Windows:
     def __init__(self, payload: tuple):
         self.ids, texts, _ = payload
         self.vocab, self.word, self.lens = numbered(texts)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, self.vocab), np.uint64)[self.word]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, self.vocab.to_pylist()), np.uint64)[self.word]
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         n = max(0, len(h) - WINDOW + 1)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :]) if n else np.empty(0, np.int64)
@@ -144,8 +146,11 @@ def windows_of(w: Windows, may: np.ndarray, n_parts: int):
     return x[order], w.at[may][first[order]], rank[inverse], (x[order] % np.uint64(n_parts)).astype(np.int32)
 
 
-def reply_first(_, bodies):
-    """For each window: is another block's place earlier?"""
+def reply_first(part, bodies):
+    """For each window: is another block's place earlier?  Below part 0, what a block keeps for itself."""
+    if part < 0:
+        yield from bodies
+        return
     if not bodies:
         return
     x, doc = np.concatenate([b[0] for b in bodies]), np.concatenate([np.repeat(b[1], b[2]) for b in bodies])
@@ -157,8 +162,9 @@ def reply_first(_, bodies):
         yield (np.packbits(part),)
 
 
-def removed(w: Windows, may: np.ndarray, n_parts: int, got: dict) -> np.ndarray:
+def removed(w: Windows, n_parts: int, got: dict) -> np.ndarray:
     """Which words go."""
+    may = next((np.unpackbits(x[0], count=len(w.at)).astype(bool) for p, x in got.items() if p < 0), np.zeros(len(w.at), bool))
     x, first, inverse, part = windows_of(w, may, n_parts)
     order, cuts = by_part(part)
     later = np.zeros(len(x), bool)
@@ -191,14 +197,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def ask_windows(payload, got):
         w = Windows(payload)
-        x, first, _, part = windows_of(w, located(w, *(y for i, y in enumerate(phrases_of(w, n_parts)) if i != 2), got), n_parts)
+        phrases, at, _, of_part = phrases_of(w, n_parts)
+        may = located(w, phrases, at, of_part, got)
+        if may.any():
+            yield -1 - (zlib.crc32(w.ids.tobytes()) & 0xFFFFF), (np.packbits(may),)  # spread, as many groups as blocks
+        x, first, _, part = windows_of(w, may, n_parts)
         order, cuts = by_part(part)
         for p, s in cuts:
             doc = w.doc[first[order[s]]]
             runs = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             yield p, (x[order[s]], w.ids[doc[runs]], np.diff(np.r_[runs, len(doc)]))
 
-    stage = answered(blocks, recurring, answer(ask(stage, ask_windows), reply_first))
+    stage = answered(blocks, answer(ask(stage, ask_windows), reply_first))
     out = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in KEPT)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -206,15 +216,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def finish(batches):
         for b in batches:
-            for _, payload, phrases, windows in rows(b):
+            for _, payload, windows in rows(b):
                 p = unsqueeze(payload)
                 w = Windows(p)
-                x, at, _, part = phrases_of(w, n_parts)
-                gone = removed(w, located(w, x, at, part, {y["part"]: unsqueeze(y["body"]) for y in phrases or ()}), n_parts, {y["part"]: unsqueeze(y["body"]) for y in windows or ()})
+                gone = removed(w, n_parts, opened(windows))
                 a, held = 0, []
-                for n, r in zip(w.lens.tolist(), p[2], strict=True):
+                for n, whole, r in zip(w.lens.tolist(), p[1], p[2], strict=True):
                     stay = w.word[a : a + n][~gone[a : a + n]]
-                    held.append((*(v.decode() if i == text and v is not None else v for i, v in enumerate(r)), n, n - len(stay), b" ".join([w.vocab[i] for i in stay.tolist()])))
+                    kept = whole.split() if len(stay) == n else w.vocab.take(pa.array(stay)).to_pylist()
+                    held.append((*(v.decode() if i == text and v is not None else v for i, v in enumerate(r)), n, n - len(stay), b" ".join(kept)))
                     a += n
                     if len(held) == 256:
                         yield of(held)
