@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause's words in step: insults (a weighted lexicon of words and word beginnings), threats
-(phrases), targets (persons spoken of or to), negation (for the words after it), reported speech (for the rest of the
-clause).  Their composition turns a clause into a class: what was matched (insult, threat), whether at a target,
-whether negated, whether reported.  A document's score is the logistic of the weighted counts of its clauses' classes,
-so a matched clause counts by its make-up, not by single words.
+Five transducers read a clause's words in step: insults (a weighted lexicon of words and word beginnings, plain or
+faint), threats (phrases), targets (persons spoken of or to), negation (for the words after it), reported speech (for
+the rest of the clause).  Their composition turns a clause into a class: what was matched (insult, faint insults alone,
+threat), whether at a target, whether negated, whether reported.  A document's score is the logistic of the weighted
+counts of its clauses' classes and of the insults in them that are neither negated nor reported, so a matched clause
+counts by its make-up, not by single words.
 
 Insult lexicon and weights are learned from labels: of the labelled rows given for training, at most TRAIN (those with
 the least hash of their id) are read; a greedy cover takes the words and beginnings that mark most toxic texts not yet
-explained and hardly any others, then logistic regression weighs the clause classes.  Equal texts count once.  Labels,
-language, source and id are not inputs of a score.
+explained and hardly any others.  Faint ones are those that other texts may hold once but hardly ever twice.  Then
+logistic regression weighs the classes.  Equal texts count once.  Labels, language, source and id are not inputs of a
+score.
 
 Defined results: null and empty texts match nothing and get the score of a text without matched clauses; labels that
 are null, of unknown ids, or null ids aren't learned from; with no toxic example the lexicon is empty and the scores
@@ -40,9 +42,14 @@ THREAT_STARTS = {}
 for _p in THREATS:
     THREAT_STARTS.setdefault(_p[0], []).append(_p)
 NEGATED_WORDS = 3
-#: insult strength 1 or 2 and more, threat, both; each plain or at a target, negated, reported.
-CLASSES = [f"{m}/{t}" for m in ("insult", "insults", "threat", "both") for t in ("plain", "target", "negated", "reported")]
+#: insult strength 1 or 2 and more, faint ones alone, threat, both; each plain or at a target, negated, reported.
+CLASSES = [f"{m}/{t}" for m in ("insult", "insults", "faint", "threat", "both") for t in ("plain", "target", "negated", "reported")]
 AT = {c: i for i, c in enumerate(CLASSES)}
+#: After the classes: insults, faint insults, whether there are two and three faint ones.
+N_FEATURES = len(CLASSES) + 4
+#: Marks a term that stands in a text at least twice; how many clean texts may hold a term for each toxic one.
+TWICE, CLEAN, CLEAN_TWICE = "*2", 0.02, 0.25
+NO_INSULTS = TARGETS | NEGATION | REPORT
 
 
 def terms_of(word: str) -> list[str]:
@@ -51,55 +58,78 @@ def terms_of(word: str) -> list[str]:
 
 
 class Grammar:
-    """The composed machine; its state after a word is (insults, threat, target, words still negated, negated, reported)."""
+    """The composed machine; its state after a word is (insults, faint ones, threat, target, words still negated, negated, reported)."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.known = lexicon, {}
 
-    def insult(self, word: str) -> bool:
+    def insult(self, word: str) -> int:
+        """2 for an insult, 1 for a faint one."""
         hit = self.known.get(word)
         if hit is None:
             if len(self.known) > KNOWN:
                 self.known.clear()
-            hit = self.known[word] = any(t in self.lexicon for t in terms_of(word))
+            terms = terms_of(word)
+            hit = self.known[word] = 2 if any(t in self.lexicon for t in terms) else int(any(t + TWICE in self.lexicon for t in terms))
         return hit
 
     def step(self, state: tuple, words: list[str], i: int) -> tuple:
-        n, threat, target, scope, negated, reported = state
+        n, faint, threat, target, scope, negated, reported = state
         w = words[i]
         if w in NEGATION:
-            return n, threat, target, NEGATED_WORDS, negated, reported
+            return n, faint, threat, target, NEGATED_WORDS, negated, reported
         if w in REPORT:
-            return n, threat, target, scope, negated, True
+            return n, faint, threat, target, scope, negated, True
         target = target or w in TARGETS
         danger = any(tuple(words[i : i + len(p)]) == p for p in THREAT_STARTS.get(w, ()))
-        if danger or self.insult(w):
+        if danger or (hit := self.insult(w)):
             if scope:
                 negated = True
+            elif danger:
+                threat = True
             else:
-                n, threat = n + (not danger), threat or danger
-        return n, threat, target, max(0, scope - 1), negated, reported
+                n, faint = n + (hit == 2), faint + (hit == 1)
+        return n, faint, threat, target, max(0, scope - 1), negated, reported
 
-    def clause(self, words: list[str]) -> str | None:
-        state = (0, False, False, 0, False, False)
+    def read(self, words: list[str]) -> tuple[str | None, int, int]:
+        """(class, insults, faint ones); those that are reported don't count."""
+        state = (0, 0, False, False, 0, False, False)
         for i in range(len(words)):
             state = self.step(state, words, i)
-        n, threat, target, _, negated, reported = state
-        if not (n or threat):
-            return "insult/negated" if negated else None
-        kind = "both" if n and threat else "threat" if threat else "insult" if n == 1 else "insults"
-        return f"{kind}/{'reported' if reported else 'target' if target else 'plain'}"
+        n, faint, threat, target, _, negated, reported = state
+        if not (n or faint or threat):
+            return ("insult/negated" if negated else None), 0, 0
+        kind = "both" if n and threat else "threat" if threat else "insult" if n == 1 else "insults" if n else "faint"
+        return f"{kind}/{'reported' if reported else 'target' if target else 'plain'}", n * (not reported), faint * (not reported)
+
+    def clause(self, words: list[str]) -> str | None:
+        return self.read(words)[0]
 
     def features(self, text: str) -> np.ndarray:
-        """log(1 + number of clauses) of each class."""
-        out = np.zeros(len(CLASSES))
-        low = text.lower()
-        for c in CLAUSE.split(low):
+        """log(1 + number of clauses) of each class, log(1 + number) of insults and faint ones, and the steps of the latter."""
+        out = np.zeros(N_FEATURES)
+        insults = faints = 0
+        for c in CLAUSE.split(text.lower()):
             words = WORD.findall(c)
             if any(map(self.insult, words)) or not THREAT_STARTS.keys().isdisjoint(words):
-                if k := self.clause(words):
+                k, n, faint = self.read(words)
+                if k:
                     out[AT[k]] += 1
-        return np.log1p(out)
+                insults, faints = insults + n, faints + faint
+        out[len(CLASSES) :] = insults, faints, 0, 0
+        out = np.log1p(out)
+        out[-2:] = faints >= 2, faints >= 3
+        return out
+
+
+def terms_in(text: str) -> set[str]:
+    """The terms of a text's words, and those that stand in it twice marked so."""
+    n: Counter = Counter()
+    for w, k in Counter(WORD.findall(text.lower())).items():
+        if w not in NO_INSULTS:
+            for t in terms_of(w):
+                n[t] += k
+    return {*n, *(t + TWICE for t, k in n.items() if k > 1)}
 
 
 def cover(toxic: list[set], clean: Counter, n_clean: int) -> dict[str, float]:
@@ -109,11 +139,11 @@ def cover(toxic: list[set], clean: Counter, n_clean: int) -> dict[str, float]:
         for t in terms:
             holds.setdefault(t, set()).add(i)
     evidence = lambda t, k: math.log((k + 0.5) / (len(toxic) + 1)) - math.log((clean[t] + 0.5) / (n_clean + 1))
-    left = {t: s for t, s in holds.items() if len(s) >= AT_LEAST and evidence(t, len(s)) > 3 and clean[t] <= 0.02 * len(s)}
+    left = {t: s for t, s in holds.items() if len(s) >= AT_LEAST and evidence(t, len(s)) > 3 and clean[t] <= (CLEAN_TWICE if t.endswith(TWICE) else CLEAN) * len(s)}
     out: dict[str, float] = {}
-    whole = {t: len(s) for t, s in left.items()}
+    whole, odds = {t: len(s) for t, s in left.items()}, 3 * len(toxic) / max(1, n_clean)
     while left and len(out) < MOST_TERMS:
-        best = max(left, key=lambda t: (len(left[t]) - 5 * clean[t], whole[t], t[-1] != "*", t))
+        best = max(left, key=lambda t: (len(left[t]) - odds * clean[t], whole[t], t[-1] != "*", t))
         gone = left.pop(best)
         if len(gone) < AT_LEAST:
             break
@@ -124,7 +154,7 @@ def cover(toxic: list[set], clean: Counter, n_clean: int) -> dict[str, float]:
                 del left[t]
     # words as telling as those taken, but hidden behind them in the same texts
     for t, n in whole.items():
-        if t[-1] != "*" and t not in out and len(out) < MOST_TERMS and n >= 0.02 * len(toxic) and not clean[t]:
+        if "*" not in t and t not in out and len(out) < MOST_TERMS and n >= 0.02 * len(toxic) and not clean[t]:
             out[t] = evidence(t, n)
     return out
 
@@ -154,10 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, trains) -> tuple[dict[str, float], n
 
     def terms(found):
         for toxic, text in found:
-            yield toxic, sorted({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
+            yield toxic, sorted(terms_in(text))
 
     by_text = checkpointed(map_rows(once, terms, [("toxic", pa.int32()), ("terms", pa.list_(pa.string()))], "toxic int, terms array<string>"))
-    by_term = by_text.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where(f"k >= {AT_LEAST} and n - k <= 0.02 * k")
+    by_term = by_text.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where(f"k >= {AT_LEAST} and n - k <= if(endswith(term, '{TWICE}'), {CLEAN_TWICE}, {CLEAN}) * k")
     held = by_term.collect()  # of a bounded sample
     clean = Counter({r.term: r.n - r.k for r in held})
     n_clean = by_text.where("toxic = 0").count()
@@ -170,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains) -> tuple[dict[str, float], n
             yield y, g.features(text).tolist()
 
     got = map_rows(once, featured, [("y", pa.int32()), ("x", pa.list_(pa.float64()))], "y int, x array<double>", 4096).groupBy("y", "x").count().collect()
-    x, y, n = np.array([r.x for r in got] or np.zeros((0, len(CLASSES)))), np.array([r.y for r in got], float), [r["count"] for r in got]
-    return lexicon, logistic(np.repeat(x, n, 0), np.repeat(y, n)) if len(got) else np.r_[np.zeros(len(CLASSES)), -3.0]
+    x, y, n = np.array([r.x for r in got] or np.zeros((0, N_FEATURES))), np.array([r.y for r in got], float), [r["count"] for r in got]
+    return lexicon, logistic(np.repeat(x, n, 0), np.repeat(y, n)) if len(got) else np.r_[np.zeros(N_FEATURES), -3.0]
 
 
 def scored(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, column: str = "toxic_score") -> DataFrame:
