@@ -7,11 +7,11 @@ joins that adaptive execution may split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Direction, checkpointed, ranked
-from .traverse import ALL_EDGES, DEFAULT_DEPTH, DEFAULT_RESULTS, EdgeFilter, Traversal, _ranked, levels, neighbours, validate
+from ..model import Direction, checkpointed, parse_id, ranked
+from .traverse import ALL_EDGES, DEFAULT_DEPTH, DEFAULT_RESULTS, EdgeFilter, Traversal, neighbours, reach, validate
 
 ORDER = "rank long, id string, depth int, path array<string>"
 
@@ -25,25 +25,34 @@ def topological_layers(nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
     left = nodes.count()
     while left:
         free = nodes.join(pairs.select(F.col("to").alias("id")).distinct(), "id", "left_anti")
-        free = checkpointed(free.withColumn("layer", F.lit(layer)))
+        free = checkpointed((free if out is None else free.join(out.select("id"), "id", "left_anti")).withColumn("layer", F.lit(layer)))
         n = free.count()
         if not n:
             return None
         out = free if out is None else out.unionByName(free)
-        nodes = checkpointed(nodes.join(free.select("id"), "id", "left_anti"))
-        pairs = checkpointed(pairs.join(free.select(F.col("id").alias("at")), "at", "left_anti"))
         left, layer = left - n, layer + 1
+        if left:
+            pairs = checkpointed(pairs.join(free.select(F.col("id").alias("at")), "at", "left_anti"))
+        if layer % 16 == 0:  # plans stay short however many layers there are
+            out = checkpointed(out)
+            nodes = checkpointed(nodes.join(out.select("id"), "id", "left_anti"))
     return out
 
 
+def _within(blocks: DataFrame, edges: DataFrame, start: str, direction: Direction, edge_filter: EdgeFilter, max_depth: int) -> DataFrame:
+    """(id, depth) of the blocks that start reaches; none if it isn't a block."""
+    here = blocks.where(F.col("id") == parse_id(start)).select(F.col("id").alias("start"))
+    return reach(edges, here, direction, edge_filter, max_depth, blocks).select("id", "depth")
+
+
 def topological_sort(blocks, edges, start: str, edge_filter: EdgeFilter = ALL_EDGES, max_depth: int = DEFAULT_DEPTH) -> Traversal:
     """What start reaches by outgoing edges within max_depth, each block after all that point to it (ties by id).
 
     depth is the place in the order from 0, path the block alone, max_depth_reached the length; empty on a cycle.
     """
-    validate(max_depth, None)
+    validate(max_depth, 1)
     spark = blocks.sparkSession
-    nodes = checkpointed(levels(blocks, edges, start, Direction.OUTGOING, edge_filter, max_depth, None, True).rows.select("id"))
+    nodes = _within(blocks, edges, start, Direction.OUTGOING, edge_filter, max_depth).select("id")
     near = neighbours(edges, Direction.OUTGOING, edge_filter).select("at", "to")
     inside = near.join(nodes.withColumnRenamed("id", "at"), "at", "left_semi").join(nodes.withColumnRenamed("id", "to"), "to", "left_semi")
     # an edge back to the start closes a cycle as well
@@ -54,12 +63,14 @@ def topological_sort(blocks, edges, start: str, edge_filter: EdgeFilter = ALL_ED
     return Traversal(rows, rows.count())
 
 
-def component_of(blocks, edges, start: str, edge_filter: EdgeFilter = ALL_EDGES, max_depth: int = DEFAULT_DEPTH, max_results: int | None = DEFAULT_RESULTS) -> Traversal:
-    """The strong component of start: what it reaches and what reaches it, each way within max_depth."""
-    ahead = levels(blocks, edges, start, Direction.OUTGOING, edge_filter, max_depth, None, True)
-    behind = levels(blocks, edges, start, Direction.INCOMING, edge_filter, max_depth, None, True)
-    both = ahead.rows.join(behind.rows.select("id"), "id", "left_semi")
-    rows = _ranked(both.withColumn("ord", F.array(F.struct(F.lit(0).alias("dir"), F.xxhash64("id").alias("seq")))), max_results)
+def component_of(blocks, edges, start: str, edge_filter: EdgeFilter = ALL_EDGES, max_depth: int = DEFAULT_DEPTH, max_results: int = DEFAULT_RESULTS) -> Traversal:
+    """The strong component of start: what it reaches and what reaches it, each way within max_depth; path is the block alone."""
+    validate(max_depth, max_results)
+    ahead = _within(blocks, edges, start, Direction.OUTGOING, edge_filter, max_depth)
+    behind = _within(blocks, edges, start, Direction.INCOMING, edge_filter, max_depth)
+    both = ahead.join(behind.select("id"), "id", "left_semi").orderBy("depth", "id").limit(max_results)
+    rows = both.withColumn("rank", F.row_number().over(Window.orderBy("depth", "id")).cast("long"))  # at most max_results rows
+    rows = checkpointed(rows.select("rank", "id", "depth", F.array("id").alias("path")))
     return Traversal(rows, rows.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("m")).first()["m"])
 
 

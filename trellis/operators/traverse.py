@@ -1,12 +1,12 @@
 """Bounded graph traversals, level by level.
 
-A level is a DataFrame of at most `max_results` rows that stand on a block: order inside a level is the order of their
-paths (outgoing edges before incoming ones, each by insertion), and a level that fills the limit by itself ends the
-traversal before the next one is seen, so later rows of it can't matter.  The frontier is therefore small by proof, is
-broadcast, and each level is one pass over the edges without shuffling them.  Levels are checkpointed.
+A level has at most `max_results` (10,000) rows that stand on a block: order inside a level is the order of their paths
+(outgoing edges before incoming ones, each by insertion, equal places by id), and a level that fills the limit by itself ends the traversal
+before the next one is seen, so later rows of it can't matter.  The frontier is therefore small by proof: each level is
+one job, which takes the frontier as a broadcast local relation, passes over the edges without shuffling them, and
+brings back the next frontier.
 
-With `max_results=None` (reach of whole graphs) the frontier has no bound: nothing is broadcast by hint, and edges and
-frontier are joined by shuffle.
+`reach` has no limit: its frontiers stay distributed, are joined by shuffle and checkpointed.
 
 Semantics.  `contract`: each block once, at its least depth.  `literal`: walks that never come back to the start, so a
 block may come again by another path.  Edges to missing blocks are not followed or emitted.
@@ -20,15 +20,14 @@ from enum import IntEnum
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import Direction, EdgeType, InvalidQuery, checkpointed, parse_id
 
 MAX_DEPTH, MAX_RESULTS, DEFAULT_DEPTH, DEFAULT_RESULTS = 100, 10_000, 10, 1000
 #: A graph of so many edges (after the edge filter) is walked depth-first from one read of it.
 DRIVER_EDGES = 200_000
-STEP = "struct<dir:int,seq:bigint>"
-LEVEL = T.StructType([T.StructField("id", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("ord", T.ArrayType(T.StructType([T.StructField("dir", T.IntegerType()), T.StructField("seq", T.LongType())]))), T.StructField("found", T.BooleanType())])
+#: A block of a level and the way to it: each step's direction, place of the edge and block (which parts equal places).
+LEVEL = "id string, depth int, way array<struct<dir:int,seq:bigint,to:string>>"
 
 
 class Algorithm(IntEnum):
@@ -99,65 +98,52 @@ def neighbours(edges: DataFrame, direction: Direction, edge_filter: EdgeFilter =
     return out if direction == Direction.OUTGOING else into if direction == Direction.INCOMING else out.unionByName(into)
 
 
-def validate(max_depth: int, max_results: int | None) -> None:
+def validate(max_depth: int, max_results: int) -> None:
     if not 1 <= max_depth <= MAX_DEPTH:
         raise InvalidQuery("InvalidDepth", str(max_depth))
-    if max_results is not None and not 1 <= max_results <= MAX_RESULTS:
+    if not 1 <= max_results <= MAX_RESULTS:
         raise InvalidQuery("InvalidMaxResults", str(max_results))
 
 
-def _first(df: DataFrame, n: int | None) -> DataFrame:
-    return df if n is None else df.orderBy("ord").limit(n)
+def _step(now: DataFrame, near: DataFrame, start: str, unique: bool) -> DataFrame:
+    """(id, way) one edge on from a frontier; the first way to each id where blocks come once."""
+    step = near.where(F.col("to") != start).join(now.select(F.col("id").alias("at"), "way"), "at")
+    step = step.select(F.col("to").alias("id"), F.concat("way", F.array(F.struct("dir", "seq", "to"))).alias("way"))
+    return step.groupBy("id").agg(F.min("way").alias("way")) if unique else step
 
 
-def levels(blocks: DataFrame, edges: DataFrame, start: str, direction: Direction, edge_filter: EdgeFilter, max_depth: int, max_results: int | None, unique: bool) -> Traversal:
+def levels(blocks: DataFrame, edges: DataFrame, start: str, direction: Direction, edge_filter: EdgeFilter, max_depth: int, max_results: int, unique: bool) -> Traversal:
+    """A traversal of at most max_results rows; these, and no others, are kept between levels, as a local relation."""
     spark, start = blocks.sparkSession, parse_id(start)
-    small = (lambda df: F.broadcast(df)) if max_results else (lambda df: df)
-    ids = blocks.select(F.col("id"))
-    root = ids.where(F.col("id") == start).limit(1)
-    if root.isEmpty():
-        return Traversal(_ranked(spark.createDataFrame([], LEVEL), max_results), 0)
-    near = neighbours(edges, direction, edge_filter)
-    now = spark.createDataFrame([(start, 0, [start], [], True)], LEVEL)
-    emitted, missing, left, deepest = now, None, None if max_results is None else max_results - 1, 0
+    if find(blocks, start).isEmpty():
+        return Traversal(_ranked(spark, start, [], max_results), 0)
+    near, ids = neighbours(edges, direction, edge_filter), blocks.select("id")
+    local = lambda rows: F.broadcast(spark.createDataFrame(rows, LEVEL))  # noqa: E731  at most max_results rows
+    emitted = now = [(start, 0, [])]
+    deepest = 0
     for depth in range(1, max_depth + 1):
-        if left is not None and left <= 0:
+        left = max_results - len(emitted)
+        if not left:
             break
-        step = near.where(F.col("to") != start).join(small(now.select(F.col("id").alias("at"), "path", "ord")), "at")
-        step = step.select(F.col("to").alias("id"), "path", F.concat("ord", F.array(F.struct("dir", "seq")).cast(f"array<{STEP}>")).alias("ord"))
+        step = _step(local(now), near, start, unique)
         if unique:
-            step = step.groupBy("id").agg(F.min(F.struct("ord", "path")).alias("first")).select("id", "first.path", "first.ord")
-            step = step.join(small(emitted.select("id")), "id", "left_anti")
-            if missing is not None:
-                step = step.join(missing.select("id"), "id", "left_anti")
-        step = step.join(ids.withColumn("found", F.lit(True)), "id", "left").select("id", F.lit(depth).alias("depth"), F.concat("path", F.array("id")).alias("path"), "ord", F.coalesce("found", F.lit(False)).alias("found"))
-        if unique and max_results is None:
-            step = checkpointed(step)
-            here, gone = step.where("found"), step.where("not found")
-        elif unique:  # the blocks of a level are few; ids without a block are only ever needed to not count them again
-            step = checkpointed(step)
-            here, gone = checkpointed(_first(step.where("found"), max_results)), step.where("not found")
-        else:
-            step = checkpointed(_first(step.where("found"), max_results).unionByName(step.where("not found").orderBy("ord").limit(1)))
-            here, gone = step.where("found"), step.where("not found")
-        n = here.count()
-        if n or not gone.isEmpty():
-            deepest = depth
-        missing = gone if missing is None else missing.unionByName(gone)
-        emitted, now = emitted.unionByName(here), here
-        if left is not None:
-            left -= n
-        if not n:
-            break
-    return Traversal(_ranked(emitted, max_results), deepest)
+            step = step.join(local(emitted).select("id"), "id", "left_anti")
+        found = step.join(ids, "id", "left_semi").orderBy("way").limit(left)
+        rows = [(r.id, depth, [tuple(x) for x in r.way]) for r in found.collect()]
+        if not rows:  # edges to missing blocks still count as depth, those met before only in walks
+            gone = step.select("id").join(ids, "id", "left_anti")
+            if unique and depth > 1:
+                earlier = [r for r in emitted if r[1] < depth - 1]
+                gone = gone.join(near.join(local(earlier).select(F.col("id").alias("at")), "at").select(F.col("to").alias("id")).distinct(), "id", "left_anti")
+            return Traversal(_ranked(spark, start, emitted, max_results), depth if not gone.isEmpty() else deepest)
+        emitted, now, deepest = emitted + rows, rows, depth
+    return Traversal(_ranked(spark, start, emitted, max_results), deepest)
 
 
-def _ranked(emitted: DataFrame, max_results: int | None) -> DataFrame:
-    rows = emitted.select("id", "depth", "path", "ord")
-    if max_results is None:
-        return rows.select(F.lit(None).cast("long").alias("rank"), "id", "depth", "path")
-    rows = rows.orderBy("depth", "ord").limit(max_results)  # at most MAX_RESULTS rows reach the window
-    return rows.select(F.row_number().over(Window.orderBy("depth", "ord")).cast("long").alias("rank"), "id", "depth", "path")
+def _ranked(spark, start: str, emitted: list[tuple], max_results: int) -> DataFrame:
+    """The emitted rows, which are in order, with their place and path."""
+    rows = [(k, id_, depth, [start, *(to for _, _, to in way)]) for k, (id_, depth, way) in enumerate(emitted[:max_results], 1)]
+    return spark.createDataFrame(rows, "rank long, id string, depth int, path array<string>")
 
 
 def breadth_first(blocks, edges, start, direction=Direction.OUTGOING, edge_filter=ALL_EDGES, max_depth=DEFAULT_DEPTH, max_results=DEFAULT_RESULTS, semantics="contract") -> Traversal:
@@ -193,7 +179,7 @@ class _Adjacency:
         self.whole = len(few) <= driver_edges
         if self.whole:
             known = {r.id for r in self.blocks.join(F.broadcast(near.select(F.col("to").alias("id")).limit(driver_edges).distinct()), "id", "left_semi").collect()}
-            for r in sorted(few, key=lambda r: (r.dir, r.seq)):
+            for r in sorted(few, key=lambda r: (r.dir, r.seq, r.to)):
                 self.held.setdefault(r.at, []).append((r.to, r.to in known))
 
     def of(self, id_: str, stack: list) -> list[tuple[str, bool]]:
@@ -204,12 +190,12 @@ class _Adjacency:
                     wanted.append(other)
                 if len(wanted) == self.BATCH:
                     break
-            last = self.near.where(F.col("at").isin(wanted)).groupBy("at", "to").agg(F.max(F.struct("dir", "seq")).alias("o"))
+            last = self.near.where(F.col("at").isin(wanted)).groupBy("at", "to").agg(F.max(F.struct("dir", "seq", "to")).alias("o"))
             last = last.join(self.blocks.withColumn("found", F.lit(True)).withColumnRenamed("id", "to"), "to", "left")
             last = last.withColumn("n", F.row_number().over(Window.partitionBy("at").orderBy(F.col("found").desc_nulls_last(), F.col("o").desc()))).where((F.col("n") <= self.bound) & F.col("found"))
             got = last.select("at", "to", "o").collect()
             self.held.update({w: [] for w in wanted})
-            for r in sorted(got, key=lambda r: (r.o.dir, r.o.seq)):
+            for r in sorted(got, key=lambda r: tuple(r.o)):
                 self.held[r["at"]].append((r.to, True))
         return self.held.get(id_, [])
 
@@ -218,8 +204,6 @@ def depth_first(blocks, edges, start, direction=Direction.OUTGOING, edge_filter=
     """Last edge first; a block is taken when it leaves the stack, so with a depth limit a block first met deep is not
     taken up again from a shallower path.  The order is sequential by nature; only ids are walked on the driver."""
     validate(max_depth, max_results)
-    if max_results is None:
-        raise InvalidQuery("InvalidMaxResults")
     spark, start = blocks.sparkSession, parse_id(start)
     near = _Adjacency(blocks, neighbours(edges, direction, edge_filter), max_results, driver_edges)
     out, seen, deepest = [], set(), 0
@@ -278,9 +262,11 @@ def traverse_astar(blocks, edges, start, max_depth) -> Traversal:
     return astar(blocks, edges, start, Direction.OUTGOING, max_depth=max_depth)
 
 
-def reach(edges: DataFrame, starts: DataFrame, direction=Direction.OUTGOING, edge_filter=ALL_EDGES, max_depth=DEFAULT_DEPTH) -> DataFrame:
-    """(start, id, depth): all that many starts (column start) reach, without limit; frontiers are joined by shuffle."""
+def reach(edges: DataFrame, starts: DataFrame, direction=Direction.OUTGOING, edge_filter=ALL_EDGES, max_depth=DEFAULT_DEPTH, blocks: DataFrame | None = None) -> DataFrame:
+    """(start, id, depth): all that many starts (column start) reach, without limit; with blocks, only by way of these."""
     near = neighbours(edges, direction, edge_filter).select("at", "to").distinct()
+    if blocks is not None:
+        near = near.join(blocks.select(F.col("id").alias("to")), "to", "left_semi")
     seen = now = checkpointed(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct())
     for depth in range(1, max_depth + 1):
         step = now.join(near, now["id"] == near["at"]).select("start", F.col("to").alias("id")).distinct()

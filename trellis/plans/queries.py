@@ -94,7 +94,7 @@ def _near(direction: int, types: str = "true") -> str:
 
 
 def _walks(start: str, depth: int) -> str:
-    return f"w as (select id, 0 as depth, [id] as path, cast([] as bigint[]) as ord from b where id = '{start}' union all select n.z, depth + 1, list_append(path, n.z), list_append(ord, n.o) from w join n on n.a = w.id join b on b.id = n.z where depth < {depth} and n.z <> '{start}')"
+    return f"w as (select id, 0 as depth, [id] as path, cast([] as varchar[]) as ord from b where id = '{start}' union all select n.z, depth + 1, list_append(path, n.z), list_append(ord, lpad(cast(n.o as varchar), 20, '0') || n.z) from w join n on n.a = w.id join b on b.id = n.z where depth < {depth} and n.z <> '{start}')"
 
 
 def _bfs(prelude: str, near: str, start: str, depth: int, limit: int, unique: bool = True) -> str:
