@@ -54,12 +54,16 @@ def with_levels(df: DataFrame) -> DataFrame:
     return df.withColumn("domain", F.when(F.instr("host", ".") > 0, F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)).otherwise(F.col("host"))).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
 
 
-def shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
-    """children (key, parent, n, good) with mean and strength by the prior around their parent's mean.
+def shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str | None) -> DataFrame:
+    """children (key, parent, n, good) with mean and strength by the prior around their parent's mean; the one row of
+    parents is the parent of all where there is no column for it.
 
     The strength s solves Var(rate) = m (1 - m) (1 + (n - 1) / (s + 1)) / n on average over all children with outcomes.
     """
-    c = children.join(parents.select(F.col(parent), F.col("mean").alias("m")), parent)
+    if parent:
+        c = children.join(parents.select(F.col(parent), F.col("mean").alias("m")), parent)
+    else:
+        c = children.withColumn("m", parents.select("mean").scalar())
     v = F.col("m") * (1 - F.col("m"))
     fit = c.where("n > 0").agg(F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("m"), 2)).alias("ss"), F.sum(v).alias("own"), F.sum(v * (F.col("n") - 1)).alias("shared"))
     spread = F.greatest((F.col("ss") - F.col("own")) / F.col("shared"), F.lit(1 / (STRONG + 1)))
@@ -73,9 +77,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """(host, n, good, mean, strength) for a table (host, good 0/1/null); counts are combined before they are shuffled."""
     hosts = with_levels(outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("all", F.lit(1))
-    top = suffixes.agg(F.lit(1).alias("all"), ((F.sum("good") + 0.5) / (F.sum("n") + 1)).alias("mean"))
-    s = shrunk(suffixes, top, "suffix", "all")
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    top = suffixes.agg(((F.sum("good") + 0.5) / (F.sum("n") + 1)).alias("mean"))
+    s = shrunk(suffixes, top, "suffix", None)
     return shrunk(hosts, shrunk(domains, s, "domain", "suffix"), "host", "domain").drop("domain", "suffix")
 
 
