@@ -6,13 +6,14 @@ All compared texts are non-null, so conditions are two-valued.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from enum import IntEnum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compare, metadata_text, metadata_typed
+from ..functions.text import NUMBER, compare, metadata_text, metadata_typed
 from ..model import InvalidQuery
 
 MAX_RESULTS, DEFAULT_RESULTS = 10_000, 1000
@@ -100,15 +101,20 @@ class Condition(Expression):
         return F.coalesce(F.col("content" if self.target == Target.CONTENT else "source_uri"), F.lit(""))
 
     def column(self, semantics: str = "contract") -> Column:
-        text, value, op = self.text(semantics), F.lit(self.value), self.operator
-        if op == Operator.CONTAINS:
-            return F.contains(text, value)
-        if op == Operator.STARTS_WITH:
-            return F.startswith(text, value)
-        if op == Operator.ENDS_WITH:
-            return F.endswith(text, value)
-        sign = compare(text, value)
-        return {Operator.EQUAL: sign == 0, Operator.NOT_EQUAL: sign != 0, Operator.GREATER: sign > 0, Operator.GREATER_EQUAL: sign >= 0, Operator.LESS: sign < 0, Operator.LESS_EQUAL: sign <= 0}[op]
+        """The condition as two-valued expression; in a shape that Parquet scans take over where the stored text is compared as such."""
+        text, op = self.text(semantics), self.operator
+        stored = {Target.CONTENT: F.col("content"), Target.SOURCE_URI: F.col("source_uri")}.get(self.target)
+        if op >= Operator.CONTAINS:
+            if not self.value:
+                return F.lit(True)
+            part = {Operator.CONTAINS: F.contains, Operator.STARTS_WITH: F.startswith, Operator.ENDS_WITH: F.endswith}[op]
+            return part(text, F.lit(self.value)) if stored is None else stored.isNotNull() & part(stored, F.lit(self.value))
+        plain = not re.match(NUMBER, self.value)  # then only texts are compared
+        if plain and stored is not None and self.value and op <= Operator.NOT_EQUAL:
+            same = stored.eqNullSafe(self.value)
+            return same if op == Operator.EQUAL else ~same
+        a, b = (text, F.lit(self.value)) if plain else (compare(text, F.lit(self.value)), F.lit(0))
+        return {Operator.EQUAL: a == b, Operator.NOT_EQUAL: a != b, Operator.GREATER: a > b, Operator.GREATER_EQUAL: a >= b, Operator.LESS: a < b, Operator.LESS_EQUAL: a <= b}[op]
 
 
 def content(op: Operator, value: str) -> Condition:
