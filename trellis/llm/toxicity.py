@@ -14,8 +14,8 @@ logistic regression weighs the classes.  Equal texts count once.  Labels, langua
 score.
 
 Defined results: null and empty texts match nothing and get the score of a text without matched clauses; labels that
-are null, of unknown ids, or null ids aren't learned from; with no toxic example the lexicon is empty and the scores
-are the (low) base rate; rows that repeat a doc_id are scored each.
+are null, of unknown ids, or null ids aren't learned from; with no toxic example, or no label, the lexicon is empty and
+the scores are the (low) base rate; rows that repeat a doc_id are scored each.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ AT = {c: i for i, c in enumerate(CLASSES)}
 N_FEATURES = len(CLASSES) + 4
 #: Marks a term that stands in a text at least twice; how many clean texts may hold a term for each toxic one.
 TWICE, CLEAN, CLEAN_TWICE = "*2", 0.02, 0.25
+#: Clean texts without a match that are presumed besides the labelled ones: so few labels, or toxic ones alone, condemn nothing.
+PRESUMED = 20
 NO_INSULTS = TARGETS | NEGATION | REPORT
 
 
@@ -200,8 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains) -> tuple[dict[str, float], n
             yield y, g.features(text).tolist()
 
     got = map_rows(once, featured, [("y", pa.int32()), ("x", pa.list_(pa.float64()))], "y int, x array<double>", 4096).groupBy("y", "x").count().collect()
-    x, y, n = np.array([r.x for r in got] or np.zeros((0, N_FEATURES))), np.array([r.y for r in got], float), [r["count"] for r in got]
-    return lexicon, logistic(np.repeat(x, n, 0), np.repeat(y, n)) if len(got) else np.r_[np.zeros(N_FEATURES), -3.0]
+    x, y, n = np.array([r.x for r in got] + [[0.0] * N_FEATURES]), np.array([*(r.y for r in got), 0], float), [*(r["count"] for r in got), PRESUMED]
+    return lexicon, logistic(np.repeat(x, n, 0), np.repeat(y, n))
 
 
 def scored(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, column: str = "toxic_score") -> DataFrame:
