@@ -123,25 +123,28 @@ def pattern(text: str, kind: str, a: int, b: int) -> tuple:
 
 
 def posteriors(patterns: list[tuple], n: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """P(personal data) of each pattern by EM: labelers err independently given the truth; each kind has its own prior."""
-    v = np.array([p[1] for p in patterns])
-    kind = np.array([KINDS[p[0]] for p in patterns])
-    p = np.clip(0.5 + 0.2 * v.sum(1), 0.05, 0.95)  # votes, to begin with
-    for _ in range(rounds):
-        log = np.zeros((len(v), 2))
-        for y, w in ((0, n * (1 - p)), (1, n * p)):
-            for k in np.unique(kind):
-                here = kind == k
-                log[here, y] += np.log((w[here].sum() + 1) / (n[here].sum() + 2))
-            for j in range(LABELERS):
-                for x in (-1, 0, 1):
-                    prior = 3.0 if x == (1 if y else -1) else 1.0  # a labeler is presumed better than chance
-                    log[v[:, j] == x, y] += np.log((w[v[:, j] == x].sum() + prior) / (w.sum() + 5))
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
-        if np.abs(new - p).max() < 1e-6:
-            break
-        p = new
-    return p
+    """P(personal data) of each pattern by EM: labelers err independently given the truth; each kind has its own prior and
+    its own reliabilities of the labelers, who are presumed better than chance."""
+    out = np.zeros(len(patterns))
+    kinds = np.array([KINDS[p[0]] for p in patterns])
+    for k in np.unique(kinds):
+        here = kinds == k
+        v, m = np.array([p[1] for p in patterns])[here], n[here]
+        p = np.clip(0.5 + 0.2 * v.sum(1), 0.05, 0.95)  # votes, to begin with
+        for _ in range(rounds):
+            log = np.zeros((len(v), 2))
+            for y, w in ((0, m * (1 - p)), (1, m * p)):
+                log[:, y] += np.log((w.sum() + 1) / (m.sum() + 2))
+                for j in range(LABELERS):
+                    for x in (-1, 0, 1):
+                        prior = 3.0 if x == (1 if y else -1) else 1.0
+                        log[v[:, j] == x, y] += np.log((w[v[:, j] == x].sum() + prior) / (w.sum() + 5))
+            new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
+            if np.abs(new - p).max() < 1e-6:
+                break
+            p = new
+        out[here] = p
+    return out
 
 
 def features(p: tuple) -> list[float]:
