@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents into sequences of at most 4096 tokens.
 
 Tokens: the tokenizer drops white space, so the stretches between ASCII white space are encoded apart, and each
-worker keeps the ids of those it has met (a bounded table, emptied when full).  Only documents longer than a sequence
-are cut.  Pieces are dealt at random to shards of about SHARD pieces; in each, best-fit decreasing with a segment tree
+worker keeps the ids of those it has met, in lower case (two bounded tables; when one is full, it takes the place of
+the other).
+Only documents longer than a sequence are cut.  Pieces are dealt at random to shards of about SHARD pieces; in each, best-fit decreasing with a segment tree
 over remaining capacities finds the tightest open sequence in log(4096) steps for a piece.  A shard leaves about one
 sequence part full, so sharding costs about one sequence in SHARD pieces.
 
@@ -13,6 +14,7 @@ packed each; a null doc_id is packed like others.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, documents, map_rows, table
 
 ROOM, SHARD, KNOWN, END = 4096, 1 << 16, 1 << 19, 1
+#: A word that ends in a letter or digit (ASCII, or a two-byte Latin letter), and the marks after it: two stretches to the
+#: tokenizer's pattern as well.  Apostrophes (contractions) and special tokens are left whole.
+MARKED = re.compile(rb"([^'<]*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:;=-@\[-`{-~]+)").fullmatch
 PIECES = [("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
@@ -39,17 +44,40 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path or default_tokenizer()), {}
+        self.model, self.known, self.older = Tokenizer.from_file(path or default_tokenizer()), {}, {}
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes words as one text, whose tokens are parted by where they start."""
+        texts = [w.decode() for w in words]
+        got = self.model.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), begins)).tolist()
+        ids = np.array(got.ids, "<u4").tobytes()
+        self.known.update(zip(words, [ids[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+
+    def meet(self, words: set[bytes]) -> None:
+        """Sees to it that the newer table has all of words; marks at the end of a word are encoded apart from it."""
+        if len(self.known) + 3 * len(words) > KNOWN:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        if not (new := words.difference(known)):
+            return
+        known.update([(w, older[w]) for w in new if w in older])
+        cut, parts = [], set()
+        for w in new.difference(known):
+            if m := MARKED(w):
+                cut.append((w, *m.groups()))
+                parts.update(m.groups())
+            else:
+                parts.add(w)
+        if parts := parts.difference(known):
+            self.learn(list(parts))
+        known.update([(w, known[a] + known[b]) for w, a, b in cut])
 
     def __call__(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        if new := list({*words} - known.keys()):
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = list({*words})
-            for w, x in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(x.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        words = (text if b"<|" in text else text.lower()).split()  # special tokens are only so as they are written
+        self.meet({*words})
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFrame:
