@@ -7,7 +7,8 @@ prefix scan gives the state at each cut; each chunk is then backtraced on its ow
 integers (micro-units), so sums don't depend on the order.
 
 No piece of the vocabulary crosses from a word to the white space that follows (checked on loading), so within a chunk the
-matrix has a single state at each word's start: the words between are looked up in a bounded table of known words.
+matrix has a single state at each word's start: the words between are looked up in two bounded tables of known words
+(when one is full, it takes the place of the other).
 
 A model of type unigram brings its scores.  A BPE model has merge ranks instead of scores, which aren't additive;
 its pieces get -log(rank) (Zipf's law), the sole thing added to the file.  So encode() gives the best segmentation under
@@ -15,7 +16,7 @@ these scores, not the sequence of BPE merges; decode() is the same for both, and
 
 Defined results: null and empty texts have no tokens; characters without a piece are encoded as bytes; a text is
 normalised as the model does without change (identity, a space put before it); other normalisers are refused; of equal
-scores the segmentation with the shorter last piece that differs wins; rows that repeat a doc_id are encoded each.
+scores the segmentation with the longer last piece that differs wins; rows that repeat a doc_id are encoded each.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import math
 import re
 import zlib
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -71,54 +73,88 @@ class Model:
             else:
                 self.bytes_of.append(b"")
         self.longest = max(map(len, self.score))
-        self.begins = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
+        #: Beginnings of pieces: (score, id) of those that are pieces, False of the others.
+        self.tree = {p[:n]: self.score.get(p[:n], False) for p in self.score for n in range(1, len(p) + 1)}
+        self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.single = {p for p in self.score if len(p) == 1}
+        self.machine = ahocorasick.Automaton()
+        for p, (s, _) in self.score.items():
+            self.machine.add_word(p, (len(p), s))
+        self.machine.make_automaton()
+        self.ids_of = {p: i.to_bytes(4, "little") for p, (_, i) in self.score.items()}
         self.unknown = min(s for s, _ in self.score.values()) - 10 * MICRO
         self.apart = all(GAP not in p.lstrip(GAP) for p in self.score)
         self.known: dict[str, tuple[int, bytes]] = {}
-
-    def edges(self, text: str, i: int) -> list[tuple[int, int]]:
-        """(end, score) of the pieces that start at i; a character without a piece of its own is unknown."""
-        out = []
-        for e in range(i + 1, min(len(text), i + self.longest) + 1):
-            piece = text[i:e]
-            if piece not in self.begins:
-                break
-            if got := self.score.get(piece):
-                out.append((e, got[0]))
-        if not out or out[0][0] != i + 1:
-            out.insert(0, (i + 1, self.unknown))
-        return out
+        self.older: dict[str, tuple[int, bytes]] = {}
 
     def forward(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
-        """(best score, where the last piece starts) of each position, pieces starting in [start, stop)."""
-        n = min(len(text), stop + self.longest)
+        """(best score, where the last piece starts) of each position, pieces starting in [start, stop).
+
+        A character without a piece of its own is unknown, and is a step as well.
+        """
+        n, get, unknown = min(len(text), stop + self.longest), self.tree.get, self.unknown
         best, back = [NEVER] * (n + 1), [-1] * (n + 1)
         best[start] = 0
         for i in range(start, stop):
-            if (b := best[i]) > NEVER:
-                for e, s in self.edges(text, i):
-                    if b + s > best[e]:
-                        best[e], back[e] = b + s, i
+            if (b := best[i]) == NEVER:
+                continue
+            e = i + 1
+            hit = get(text[i:e])
+            if (s := b + (hit[0] if hit else unknown)) > best[e]:
+                best[e], back[e] = s, i
+            if hit is None:
+                continue
+            while e < n:
+                e += 1
+                if hit := get(text[i:e]):
+                    if (s := b + hit[0]) > best[e]:
+                        best[e], back[e] = s, i
+                elif hit is None:
+                    break
         return best, back
 
-    def ids_between(self, text: str, back: list[int], start: int, end: int) -> list[int]:
-        out = []
+    def ids_between(self, text: str, back: list[int], start: int, end: int) -> bytes:
+        out, of = [], self.ids_of
         while end > start:
-            piece = text[back[end] : end]
-            got = self.score.get(piece)
-            out.append([got[1]] if got else [self.byte[b] for b in piece.encode()])
-            end -= len(piece)
-        return [i for x in reversed(out) for i in x]
+            at = back[end]
+            piece = text[at:end]
+            out.append(of.get(piece) or b"".join([self.byte[b].to_bytes(4, "little") for b in piece.encode()]))
+            end = at
+        out.reverse()
+        return b"".join(out)
+
+    def stretch(self, text: str) -> tuple[int, bytes]:
+        """(score, ids) of a stretch; the pieces that end at each place, the longest first, come from an automaton."""
+        n = len(text)
+        if not self.single.issuperset(text):
+            best, back = self.forward(text, 0, n)
+        else:
+            best, back = [0] + [NEVER] * n, [0] * (n + 1)
+            for e, (k, s) in self.machine.iter(text):
+                s += best[e + 1 - k]
+                if s > best[e + 1]:
+                    best[e + 1], back[e + 1] = s, e + 1 - k
+        return best[n], self.ids_between(text, back, 0, n)
 
     def unit(self, text: str) -> tuple[int, bytes]:
-        """(score, ids as little-endian 32-bit bytes) of a whole stretch."""
+        """(score, ids as little-endian 32-bit bytes) of a whole unit.
+
+        Where two characters stand in no piece side by side, no piece crosses from one to the other: a unit with other
+        characters than letters is cut there, and its stretches are known on their own.
+        """
         got = self.known.get(text)
         if got is None:
-            best, back = self.forward(text, 0, len(text))
-            got = best[len(text)], np.array(self.ids_between(text, back, 0, len(text)), "<u4").tobytes()
+            got = self.older.get(text)
+            if got is None:
+                cuts = [] if len(text) > 64 or text[1:].isalpha() else [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
+                if cuts:
+                    parts = [self.unit(text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+                    got = sum(s for s, _ in parts), b"".join([i for _, i in parts])
+                else:
+                    got = self.stretch(text)
             if len(text) <= 64:
                 if len(self.known) >= KNOWN:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.known[text] = got
         return got
 
@@ -170,11 +206,21 @@ class Model:
         if a >= n:
             return b""
         if not (cut := self.cuts(text, n)):
-            return np.array(self.ids_between(text, self.forward(text, a, n)[1], a, n + b), "<u4").tobytes()
+            return self.ids_between(text, self.forward(text, a, n)[1], a, n + b)
         first, last = cut
         head = self.ids_between(text, self.forward(text[:first], a, first)[1], a, first)
         tail = self.ids_between(text, self.forward(text, last, n)[1], last, n + b)
-        return np.array(head, "<u4").tobytes() + b"".join([self.unit(u)[1] for u in UNITS.findall(text[first:last])]) + np.array(tail, "<u4").tobytes()
+        return head + b"".join([self.unit(u)[1] for u in UNITS.findall(text[first:last])]) + tail
+
+
+_models: dict[str | None, Model] = {}
+
+
+def model_of(path: str | None) -> Model:
+    """The worker's own, which keeps the words it knows between tasks."""
+    if path not in _models:
+        _models[path] = Model(path)
+    return _models[path]
 
 
 def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -214,20 +260,20 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, size:
     docs = documents(docs).withColumn("giant", F.length(F.col("text").cast("string")) > giant)
 
     def small(found):
-        m = Model(path)
+        m = model_of(path)
         for doc_id, text in found:
             score, ids = m.encode(text.decode())
             yield digest(doc_id, ids, score, m.decode(ids))
 
     def cut(found):
-        m, uid = Model(path), TaskContext.get().partitionId() << 33
+        m, uid = model_of(path), TaskContext.get().partitionId() << 33
         for doc_id, text in found:
             for k, (c, n) in enumerate(chunks(text.decode(), m.longest, size)):
                 yield uid, doc_id, k, c, n
             uid += 1
 
     def measured(found):
-        m = Model(path)
+        m = model_of(path)
         for uid, k, text, n in found:
             yield uid, k, m.matrix(text, n).tobytes()
 
@@ -238,20 +284,14 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, size:
         return pa.table({"uid": group.column("uid"), "k": group.column("k"), "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32()), "score": pa.array([score] * len(group), pa.int64())})
 
     def traced(found):
-        m = Model(path)
+        m = model_of(path)
         for uid, doc_id, k, text, n, a, b, score in found:
             yield uid, doc_id, k, m.between(text, n, a, b), score
 
     out = pa.schema(fields)
 
     def joined(group: pa.Table) -> pa.Table:
-        global _model  # one for each worker; a group is one document
-        try:
-            m = _model[path]
-        except (NameError, KeyError):
-            m = Model(path)
-            _model = {path: m}
-        group = group.sort_by("k")
+        m, group = model_of(path), group.sort_by("k")
         ids = b"".join(group.column("ids").to_pylist())
         row = digest(group.column("doc_id")[0].as_py(), ids, group.column("score")[0].as_py(), m.decode(ids))
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
