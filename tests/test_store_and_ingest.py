@@ -60,6 +60,9 @@ def test_store(spark, tmp_path):
     s.put_blocks(spark.createDataFrame([block(Z, 1, "again")], B))
     s.delete_edges(spark.createDataFrame([(X, Y, 7)], E))
     assert s.blocks().count() == 3 and s.edges().count() == 0  # old edges of a deleted block stay gone
+    m = s.metrics.as_dict()
+    assert (m["blocks_written"], m["blocks_deleted"], m["edges_added"], m["edges_removed"], m["compactions"]) == (5, 1, 3, 1, 1)
+    assert m["average_write_latency_ns"] > 0 and m["write_throughput_bps"] > 0 and "ns write" in formats.metrics_text(m)
     s.reset()
     assert s.blocks().count() == 0
 
@@ -215,6 +218,22 @@ def test_engine(spark, tmp_path):
             e.answer({"type": "nonsense"})
 
 
+def test_wire_protocol(spark):
+    b = spark.createDataFrame([block(X), block(Y, c="zwölf")], B)
+    e = spark.createDataFrame([(X, Y, 7, 0)], E + ", edge_seq long")
+    item = lambda i, c: bytes.fromhex(i) + b"".join(struct.pack("<I", len(t)) + t for t in (f"u://{i[-2:]}".encode(), b"{}", c.encode()))
+    with Engine(blocks=b, edges=e) as g:
+        ask = lambda kind, body=b"": wire.decode_message(g.respond(wire.encode_message(kind, body)))[::2]
+        assert ask("ping") == ("pong", b"trellis 1")
+        assert ask("find_blocks", struct.pack("<I", 2) + bytes.fromhex(Y + X)) == ("blocks_response", struct.pack("<I", 2) + item(Y, "zwölf") + item(X, "text"))
+        assert ask("traversal_query", bytes.fromhex(X)) == ("traversal_response", struct.pack("<I", 2) + item(X, "text") + item(Y, "zwölf"))
+        assert ask("traversal_query", bytes.fromhex(X) + struct.pack("<BBII", 2, 1, 3, 10)) == ("traversal_response", struct.pack("<I", 1) + item(X, "text"))
+        assert ask("filtered_query", bytes([1, 7]) + struct.pack("<I", 0) + struct.pack("<I", 3) + b"ext") == ("filtered_response", struct.pack("<I", 1) + item(X, "text"))
+        for kind, body in (("find_blocks", b"abc"), ("find_blocks", struct.pack("<I", 0)), ("filtered_query", bytes([9, 9]) + bytes(8)), ("traversal_query", bytes(16)), ("pong", b"")):
+            assert ask(kind, body)[0] == "error_response"
+        assert wire.decode_message(g.respond(b"junk"))[0] == "error_response"
+
+
 def test_cache_and_statistics():
     now = [0.0]
     c = QueryCache(4, 10, lambda: now[0])

@@ -72,11 +72,22 @@ def snapshot(blocks: DataFrame) -> DataFrame:
     return blocks.select("id", "version", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("long").alias("content_length")).orderBy("id")
 
 
-def metrics_of(ops: DataFrame) -> DataFrame:
-    """One row of counters over an operation log."""
+def metric_columns() -> list[Column]:
+    """Counters over the rows of an operation log."""
     op = F.col("op")
     size = F.octet_length("source_uri").cast("long") + F.octet_length("metadata_json") + F.octet_length("content")
-    return ops.agg(
+    return [
         F.count_if(op == 1).alias("blocks_written"), F.count_if(op == 2).alias("blocks_deleted"), F.count_if(op == 3).alias("edges_added"), F.count_if(op == 4).alias("edges_removed"),
-        F.count("*").alias("wal_writes"), F.coalesce(F.sum(F.when(op == 1, size)), F.lit(0)).alias("total_bytes_written"),
-    )
+        F.count(F.lit(1)).alias("wal_writes"), F.coalesce(F.sum(F.when(op == 1, size)), F.lit(0)).alias("total_bytes_written"),
+    ]
+
+
+def metrics_of(ops: DataFrame) -> DataFrame:
+    """One row of counters over an operation log."""
+    return ops.agg(*metric_columns())
+
+
+def filter_by_index(blocks: DataFrame, index: DataFrame, value: str, where=None, semantics: str = "contract") -> DataFrame:
+    """Blocks that the index has under the value, and that a filter takes as well."""
+    hits = blocks.join(lookup_index(index, value), "id", "left_semi")
+    return hits if where is None else hits.where(where.column(semantics))

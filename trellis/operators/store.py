@@ -7,13 +7,16 @@ Parquet's statistics prune lookups.  `seq` orders operations: the batch in the h
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import BLOCK, BLOCK_COLUMNS, EDGE, EDGE_COLUMNS, Op, block_error, edge_error, split_valid
+from .analytics import metric_columns, metrics_of
+from .metrics import StorageMetrics
 
 OPS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.ShortType()), *BLOCK.fields, *(f for f in EDGE.fields if f.name != "edge_seq")])
 #: A batch numbers its rows by task (14 bits) and place in the task (24 bits); rows beyond that raise an error.
@@ -48,7 +51,7 @@ class Store:
     """A store in one folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.metrics = spark, path.rstrip("/"), StorageMetrics()
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path("ops"))
 
@@ -88,7 +91,15 @@ class Store:
         task, row = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
         fits = F.assert_true((task < (1 << TASK_BITS)) & (row < (1 << ROW_BITS)), "a batch has too many tasks or rows in a task")
         seq = F.lit(batch << (TASK_BITS + ROW_BITS)) + F.shiftleft(task, ROW_BITS) + row
-        ops.select(F.coalesce(fits.cast("long"), seq).alias("seq"), *columns).write.mode("overwrite").parquet(f"{self.path}/ops/batch={batch}")
+        rows = ops.select(F.coalesce(fits.cast("long"), seq).alias("seq"), *columns)
+        seen, counts = Observation(), metrics_of(rows).columns
+        began = time.perf_counter_ns()
+        try:
+            rows.observe(seen, *metric_columns()).write.mode("overwrite").parquet(f"{self.path}/ops/batch={batch}")
+        except Exception:
+            self.metrics.add(write_errors=1)
+            raise
+        self.metrics.add(**{c: int(seen.get[c]) for c in counts}, wal_flushes=1, total_write_time_ns=time.perf_counter_ns() - began)
         return batch
 
     def put_blocks(self, blocks: DataFrame, for_ingestion: bool = False) -> DataFrame:
@@ -143,6 +154,7 @@ class Store:
         if policy == "max_version":
             blocks = compacted(ops.where(F.col("op") == int(Op.PUT_BLOCK)).join(blocks.select("id"), "id", "left_semi"))
         blocks.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{out}/blocks")
+        self.metrics.add(compactions=1)
         current_edges(ops).repartitionByRange("source_id").sortWithinPartitions("source_id", "edge_seq").write.mode("overwrite").parquet(f"{out}/edges")
         return upto
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import struct
 import time
 from contextlib import contextmanager
 
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame
 from ..model import Direction, InvalidQuery
 from ..operators import filters, lookup, search, traverse
 from ..operators.store import Store
+from ..sources import wire
 from . import formats
 from .cache import QueryCache
 from .stats import QueryPlan, QueryStatistics, plan_query
 
 
+PROTOCOL = "trellis 1"
+
+
 class NotRunning(RuntimeError):
     """Only a running engine answers queries."""
 
@@ -119,3 +124,33 @@ class Engine:
             rows = found.with_blocks(self.blocks)
             return formats.lookup_text(rows, found.blocks_traversed)
         raise InvalidQuery("InvalidRequest", str(kind))
+
+    def respond(self, raw: bytes) -> bytes:
+        """A message of the wire protocol to its response.
+
+        find_blocks: a count and ids of 16 bytes.  traversal_query: the start's id, then, if given, direction and
+        algorithm (a byte each), depth and results (4 bytes each).  filtered_query: target and operator (a byte each),
+        field and value, each after its length (4 bytes).  Failures become error responses.
+        """
+        try:
+            kind, _, body = wire.decode_message(raw)
+            if kind == "ping":
+                return wire.encode_message("pong", PROTOCOL.encode())
+            if kind == "find_blocks":
+                n = int.from_bytes(body[:4], "little")
+                if len(body) != 4 + 16 * n:
+                    raise ValueError("InvalidRequest")
+                found = self.find_blocks([body[4 + 16 * i : 20 + 16 * i].hex() for i in range(n)])
+                return wire.encode_message("blocks_response", wire.block_list(found))
+            if kind == "traversal_query":
+                more = struct.unpack_from("<BBII", body, 16) if len(body) > 16 else (Direction.OUTGOING, traverse.Algorithm.BREADTH_FIRST, traverse.DEFAULT_DEPTH, traverse.DEFAULT_RESULTS)
+                found = self.traverse(body[:16].hex(), traverse.Algorithm(more[1]), Direction(more[0]), max_depth=more[2], max_results=more[3])
+                return wire.encode_message("traversal_response", wire.block_list(found.with_blocks(self.blocks)))
+            if kind == "filtered_query":
+                n = int.from_bytes(body[2:6], "little")
+                field, value = body[6 : 6 + n].decode(), body[10 + n :].decode()
+                where = filters.Condition(filters.decode(filters.Target, body[0]), filters.decode(filters.Operator, body[1]), value, field or None)
+                return wire.encode_message("filtered_response", wire.block_list(self.filter(where).blocks))
+            raise ValueError("InvalidRequest")
+        except (ValueError, IndexError, struct.error) as x:
+            return wire.encode_message("error_response", str(x).encode())

@@ -45,7 +45,9 @@ def metrics_text(m: dict) -> str:
     get = lambda k: m.get(k, 0)
     return "\n".join([
         "=== Storage Metrics ===", f"Blocks: {get('blocks_written')} written, {get('blocks_read')} read, {get('blocks_deleted')} deleted",
-        f"Edges: {get('edges_added')} added, {get('edges_removed')} removed", f"Log: {get('wal_writes')} writes", f"Data: {get('total_bytes_written') / (1 << 20):.2f} MB written",
+        f"Edges: {get('edges_added')} added, {get('edges_removed')} removed", f"Log: {get('wal_writes')} writes, {get('wal_flushes')} flushes, {get('wal_recoveries')} recoveries",
+        f"Latency: {get('average_write_latency_ns')} ns write, {get('average_read_latency_ns')} ns read", f"Throughput: {get('write_throughput_bps') / (1 << 20):.2f} MB/s write, {get('read_throughput_bps') / (1 << 20):.2f} MB/s read",
+        f"Data: {get('total_bytes_written') / (1 << 20):.2f} MB written, avg block {get('average_block_size_bytes') / 1024:.2f} KB", f"Errors: {get('write_errors')} write, {get('read_errors')} read, {get('wal_errors')} log",
     ]) + "\n"
 
 

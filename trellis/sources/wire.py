@@ -46,6 +46,12 @@ def encode_list_item() -> Column:
     return F.concat(F.unhex("id"), *(x for t in texts for x in (little(F.octet_length(t), 4), t)))
 
 
+def block_list(found: DataFrame) -> bytes:
+    """A response's body: the number of blocks and each of them, in their order; results are bounded by the query's limit."""
+    items = [bytes(r.raw) for r in found.select(encode_list_item().alias("raw")).toLocalIterator()]
+    return struct.pack("<I", len(items)) + b"".join(items)
+
+
 def read_block(raw: bytes) -> tuple:
     """(error, id, version, source_uri, metadata_json, content)."""
     bad = lambda e: (e, None, None, None, None, None)
