@@ -80,9 +80,19 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, words))
 
 
+_encoders: dict[str | None, Encoder] = {}
+
+
+def encoder_of(path: str | None) -> Encoder:
+    """The worker's own, which keeps its tables between tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFrame:
     def run(found):
-        encode = Encoder(path)
+        encode = encoder_of(path)
         for doc_id, text in found:
             ids = encode(text) + END.to_bytes(4, "little")
             for i, a in enumerate(range(0, len(ids), 4 * room)):
