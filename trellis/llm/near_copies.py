@@ -1,52 +1,71 @@
-"""One document of each group of near copies: SimHash candidates, verified on five-word shingles.
+"""One document of each group of near copies: every pair whose five-word shingles are alike, found by an exact prefix filter.
 
-Equal texts are one node.  Candidate links come from the whole documents' SimHash fingerprints (at most three bits
-apart, by deletion variants), and, as similarities of 0.8 may differ in ten bits and more, from passages: a text is
-cut where the hash of two words says so (once in CUT), its KEEP passages of least hash are kept, and nodes with two of
-them in common are linked to the least of those nodes; texts of fewer than SHORT words have few passages, and give
-their KEEP shingles of least hash as well.  So a passage that very many share makes no pairs by itself, and a group of
-n nodes makes n - 1 candidates, not n * n.  A candidate becomes a link if the Jaccard similarity of the sets of
-shingles is at least 0.8; linked nodes are a group.
+Equal texts are one node.  Two nodes are linked if the Jaccard similarity of their sets of shingles is at least 0.8;
+linked nodes are a group.  In any common order of shingles, the first one that two such sets share is among the first
+fifth of each, so nodes are indexed under these.  The order puts shingles last that recur in a sample of texts; it
+decides what is compared, not what is found.  Pairs under a key are pruned by the places of the key in both and by
+sizes.  Large groups are joined first: SimHash fingerprints at most three bits apart, then rounds in which each key's
+members are compared with one of them, that with the fewest shingles of its own.  A pair is left out only if it was
+compared or its nodes are in one group already; what the rounds leave is compared pair by pair.
 
 Defined results: a null text is empty, empty texts are equal; a text of fewer than five words is one shingle; the least
 doc_id of a group stays (null ids last), rows that repeat it with the same text are one.  Node ids are 64-bit hashes of
-texts, shingles 32-bit hashes.
+texts, shingles 32-bit hashes in sets and 64-bit ones as keys.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, map_rows
 from .simhash_variants import fingerprint, links, shingles
 
-WORDS, LEAST, KEEP, CUT, SHORT = 5, 0.8, 8, 10, 160
+WORDS, LEAST = 5, 0.8
+#: Texts that the order of shingles is estimated from, how often one recurs there to be put last, and how many are.
+SAMPLE, OFTEN, HOT = 10_000, 4, 1 << 16
+#: Rounds of comparing with one member at most, and pairs for each row of the index that are few enough to end them.
+ROUNDS, FEW = 6, 8
 LAST = (1 << 63) - 1
 
 
-def passages(words: list[bytes]) -> list[int]:
-    """The KEEP least hashes of passages."""
-    h = xxhash.xxh3_64_intdigest
-    ends = [i + 1 for i in range(len(words) - 1) if h(words[i] + b" " + words[i + 1]) % CUT == 0]
-    return sorted({h(b" ".join(words[a:b])) for a, b in zip([0, *ends], [*ends, len(words)], strict=True)})[:KEEP]
+def hashes(text: bytes) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending; zero for a text without words."""
+    return np.unique(np.array(shingles(text.lower().split(), WORDS) or [0], np.uint64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(id, node, fp, passages, shingles)."""
-    signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
+def recurring(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of shingles that recur in a sample of (node, text), and in how many of its texts."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod("node", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["node"])
+    one = map_rows(some.select("text"), lambda found: ((x,) for (t,) in found for x in hashes(t).view(np.int64).tolist()), [("h", pa.int64())], "h long", 1 << 14)
+    got = one.groupBy("h").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "h").limit(HOT).collect()
+    h, n = np.array([r["h"] for r in got], np.int64).view(np.uint64), np.array([r["count"] for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
+
+def prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first fifth of a set in the common order, and one more as 32-bit hashes may coincide."""
+    rank = np.zeros(len(h), np.int64)
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], h), len(often[0]) - 1)
+        rank = np.where(often[0][at] == h, often[1][at], 0)
+    return h[np.lexsort((h, rank))[: len(h) // 5 + 2]]
+
+
+def sketches(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, node, fp, n, keys)."""
     def run(found):
         for i, node, text in found:
-            words = text.lower().split()
-            h = shingles(words, WORDS)
-            yield i, node, fingerprint(h), signed(passages(words)), signed(sorted({*h})[:KEEP] if len(words) < SHORT else [])
+            words = shingles(text.lower().split(), WORDS)
+            h = np.unique(np.array(words or [0], np.uint64))
+            yield i, node, fingerprint(words), len(h), prefix(h, often).view(np.int64).tolist()
 
-    fields = [("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("passages", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))]
-    return map_rows(docs, run, fields, "id long, node long, fp long, passages array<long>, shingles array<long>", 2048)
+    fields = [("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))]
+    return map_rows(docs, run, fields, "id long, node long, fp long, n int, keys array<long>", 1024)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -65,29 +84,54 @@ def starred(df: DataFrame, key: str) -> DataFrame:
     return df.join(least, key).where("a <> node").select("a", F.col("node").alias("b"))
 
 
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike, each once."""
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    set_of = lambda x: sets.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
+    common = F.size(F.array_intersect("held_a", "held_b"))
+    likeness = common / (F.size("held_a") + F.size("held_b") - common)
+    return checkpointed(pairs.join(set_of("a"), "a").join(set_of("b"), "b").where(likeness >= LEAST).select("a", "b"))
+
+
+def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) by all links of the index held (key, node, n, i, own); edges are links known before."""
+    # of two sets, all from the first shingle in common on at most: 0.8 of the union is 4 / 9 of both sizes; one more as above
+    may = "9 * (least({0}.n - {0}.i, {1}.n - {1}.i) + 1) >= 4 * ({0}.n + {1}.n) and {0}.c <> {1}.c"
+    for k in range(ROUNDS + 1):
+        group = checkpointed(components(edges))
+        now = held.join(group.withColumnRenamed("id", "node"), "node", "left").select("key", F.struct("own", "node", "n", "i", F.coalesce("component", "node").alias("c")).alias("x"))
+        mixed = now.groupBy("key").agg(F.min("x").alias("s"), F.count("*").alias("m"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+        now = checkpointed(now.join(mixed, "key"))
+        size, pairs = now.agg(F.count("*"), F.sum((F.col("m") - 1) / 2)).first()
+        if not size:
+            return group
+        if k == ROUNDS or pairs <= FEW * size:
+            two = now.select("key", F.col("x").alias("p")).join(now.select("key", F.col("x").alias("q")), "key").where(f"p.node < q.node and {may.format('p', 'q')}")
+            return components(edges.unionByName(verified(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), sets)))
+        star = now.where(f"x.node <> s.node and {may.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b"))
+        edges = checkpointed(edges.unionByName(verified(star, sets)))
+        held = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "x.own")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of docs, less near copies of others."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     text = F.coalesce(F.col("text"), F.lit(""))
     node = F.xxhash64(text)
-    rows = checkpointed(sketches(docs.select(ids, node, text.cast("binary"))))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("passages").alias("passages"), F.first("shingles").alias("shingles")))
+    often = recurring(docs.select(node.alias("node"), text.cast("binary").alias("text")))
+    rows = sketches(docs.select(ids, node, text.cast("binary")), often)
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    held = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
+    held = checkpointed(held.join(held.groupBy("key").count().where("count > 1").select("key"), "key"))
+    own = held.groupBy("node").agg(F.expr("least(first(n), first(n) div 5 + 2) - count(*)").alias("own"))
+    wanted = checkpointed(own.join(nodes.select("node", "id"), "node"))
+    found = docs.select(node.alias("node"), ids.alias("id"), text.cast("binary").alias("text")).join(wanted, ["node", "id"], "left_semi")
+    sets = checkpointed(shingle_sets(found.select("node", "text")).dropDuplicates(["node"]))
     fps = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(fps.select("fp")).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     near = near.join(fps.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb").select("a", "b")
-    twos = lambda c: f"flatten(transform({c}, (x, i) -> transform(slice({c}, i + 2, {KEEP}), y -> xxhash64('{c}', x, y))))"
-    keys = F.expr(f"explode(concat({twos('passages')}, {twos('shingles')}, if(size(passages) = 1, passages, array())))")
-    shared = starred(nodes.select("node", keys.alias("key")).distinct(), "key")
-    pairs = near.unionByName(starred(nodes.select("node", "fp"), "fp")).unionByName(shared)
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node")
-    found = docs.select(node.alias("node"), ids.alias("id"), text.cast("binary").alias("text")).join(wanted, ["node", "id"], "left_semi")
-    sets = checkpointed(shingle_sets(found.select("node", "text")).dropDuplicates(["node"]))
-    set_of = lambda x: sets.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
-    common = F.size(F.array_intersect("held_a", "held_b"))
-    likeness = common / (F.size("held_a") + F.size("held_b") - common)
-    edges = pairs.join(set_of("a"), "a").join(set_of("b"), "b").where(likeness >= LEAST).select("a", "b")
-    group = components(edges).select(F.col("id").alias("node"), "component")
+    edges = verified(near.unionByName(starred(nodes.select("node", "fp"), "fp")), sets)
+    group = grouped(held.join(wanted.select("node", "own"), "node"), sets, edges).select(F.col("id").alias("node"), "component")
     of = nodes.select("node", "id").join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "id", "node")
     stays = of.groupBy("component").agg(F.min(F.struct("id", "node")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.node").alias("__node"))
     kept = docs.withColumn("__id", ids).withColumn("__node", node).join(stays, ["__id", "__node"], "left_semi")
