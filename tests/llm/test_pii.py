@@ -53,6 +53,17 @@ def test_candidates_keep_clear_of_base_spans_and_of_each_other():
     assert {k for k, _, _ in found} >= {"email", "secret", "iban", "national_id", "local_phone"}
 
 
+@pytest.mark.parametrize("n", [40, 200, 201, 320, 5000])
+def test_secrets_of_any_length_are_whole(n):
+    r = random.Random(n)
+    token = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    for before, secret, after in (("api_token=", token, " and more"), ("key ", f"sk-{token}", " and more"), ('say "', token, '" and more')):
+        t = before + secret + after
+        spans = m.candidates(t, m.base_spans(t))
+        assert spans == [("secret", len(before), len(before) + len(secret))]
+        assert m.redact(t, spans) == f"{before}[SECRET]{after}"
+
+
 def test_em_finds_the_reliable_labelers():
     r = np.random.default_rng(0)
     truth = r.random(4000) < 0.4

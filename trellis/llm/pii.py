@@ -35,9 +35,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a start with
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-ASSIGNED = re.compile(r"[=:][\x20]?[\"']?([A-Za-z0-9+/_.-]{8,200})")
-QUOTED = re.compile(r"[\"']([A-Za-z0-9+/_-]{20,200})[\"']")
-KEY = re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|AIza)[A-Za-z0-9_-]{12,200}")
+ASSIGNED = re.compile(r"[=:][\x20]?[\"']?([A-Za-z0-9+/_.-]{8,}+)")
+QUOTED = re.compile(r"[\"']([A-Za-z0-9+/_-]{20,}+)[\"']")
+KEY = re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|AIza)[A-Za-z0-9_-]{12,}+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NATIONAL = re.compile(r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.)-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
