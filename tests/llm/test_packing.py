@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,14 +37,26 @@ def test_best_fit_against_a_plain_search():
                 fill[best] += n
             else:
                 fill.append(n)
-        seqs, offsets = m.best_fit(lengths, room)
+        counts = Counter(lengths)
+        plan = m.best_fit(counts, room)
+        ranks = np.array([k for n in sorted(counts, reverse=True) for k in range(counts[n])], np.int64)
+        seqs, offsets = m.placed(np.array(lengths, np.int64), ranks, plan) if lengths else ([], [])
         used = {}
-        for s, o, n in zip(seqs, offsets, lengths, strict=True):
+        for s, o, n in sorted(zip(seqs, offsets, lengths, strict=True)):
             assert used.get(s, 0) == o
             used[s] = o + n
         assert sorted(used.values()) == sorted(fill) and max(used.values(), default=0) <= room
 
 
+def test_plan_stays_small_for_many_pieces():
+    r = random.Random(2)
+    counts = {n: r.randint(1, 10**9) for n in range(1, 4097)}
+    plan = m.best_fit(counts)
+    assert len(plan) < 150_000
+    most = {n: max(k for m, k, *_ in plan if m == n) for n in (1, 2000, 4096)}
+    assert all(k < counts[n] for n, k in most.items())
+
+
 def test_documents_of_all_sorts(spark, tokenizer):
     rows = [*corpus(4), (77, "word " * 9000)]
     docs = frame(spark, rows)

@@ -3,9 +3,14 @@
 Tokens: the tokenizer drops white space, so the stretches between ASCII white space are encoded apart, and each
 worker keeps the ids of those it has met, in lower case (two bounded tables; when one is full, it takes the place of
 the other).
-Only documents longer than a sequence are cut.  Pieces are dealt at random to shards of about SHARD pieces; in each, best-fit decreasing with a segment tree
-over remaining capacities finds the tightest open sequence in log(4096) steps for a piece.  A shard leaves about one
-sequence part full, so sharding costs about one sequence in SHARD pieces.
+Only documents longer than a sequence are cut.
+
+All pieces are packed as one best-fit decreasing run, however many there are.  Pieces of equal length are alike to it,
+so it needs their number by length alone: at most 4096 rows, which the driver gets.  There a segment tree over the
+remaining capacities finds the tightest open sequences in log(4096) steps.  Open sequences of one capacity are ranges
+of numbers; pieces of a length go into a whole range at once, and a range at least halves its capacity each time, so
+the plan has at most some 150,000 segments whatever the input.  Each piece then finds its own place by its rank among the
+pieces of its length: counted in its task, and summed over tasks by a window for each length.
 
 Defined results: a null text is empty and has the one token that ends a document; rows that repeat a doc_id are
 packed each; a null doc_id is packed like others.
@@ -19,16 +24,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, map_rows, table
 
-ROOM, SHARD, KNOWN, END = 4096, 1 << 16, 1 << 19, 1
+ROOM, KNOWN, END = 4096, 1 << 19, 1
 #: A word that ends in a letter or digit (ASCII, or a two-byte Latin letter), and the marks after it: two stretches to the
 #: tokenizer's pattern as well.  Apostrophes (contractions) and special tokens are left whole.
 MARKED = re.compile(rb"([^'<]*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:;=-@\[-`{-~]+)").fullmatch
 PIECES = [("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+PLACED = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def default_tokenizer() -> str:
@@ -91,65 +98,109 @@ def encoder_of(path: str | None) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, task, nth): nth among the pieces of its length that its task makes."""
     def run(found):
-        encode = encoder_of(path)
+        encode, task, met = encoder_of(path), TaskContext.get().partitionId(), [0] * (room + 1)
         for doc_id, text in found:
             ids = encode(text) + END.to_bytes(4, "little")
             for i, a in enumerate(range(0, len(ids), 4 * room)):
                 part = ids[a : a + 4 * room]
-                yield doc_id, i, a // 4, len(part) // 4, zlib.crc32(part)
+                n = len(part) // 4
+                yield doc_id, i, a // 4, n, zlib.crc32(part), task, met[n]
+                met[n] += 1
+
+    return map_rows(documents(docs), run, [*PIECES, ("task", pa.int64()), ("nth", pa.int64())], "doc_id long, piece long, start long, length long, ids_crc32 long, task long, nth long", 4096)
+
+
+class Capacities:
+    """Ranges of open sequences by remaining capacity, under a segment tree of how many ranges each capacity has."""
 
-    return map_rows(documents(docs), run, PIECES, "doc_id long, piece long, start long, length long, ids_crc32 long", 4096)
+    def __init__(self, room: int):
+        self.width = 1 << room.bit_length()
+        self.tree, self.ranges = [0] * (2 * self.width), [[] for _ in range(room + 1)]
 
+    def put(self, capacity: int, start: int, n: int) -> None:
+        if capacity and n:
+            self.ranges[capacity].append((start, n))
+            self._add(capacity, 1)
 
-def best_fit(lengths: list[int], room: int = ROOM) -> tuple[list[int], list[int]]:
-    """(sequence, offset) of each length; lengths in descending order."""
-    width = 1 << room.bit_length()
-    tree, open_by, fill = [0] * (2 * width), [[] for _ in range(room + 1)], []
-    seqs, offsets = [], []
-    for n in lengths:
-        i = n + width
-        if not tree[i]:  # the least capacity of at least n that an open sequence has
+    def take(self, capacity: int) -> tuple[int, int]:
+        self._add(capacity, -1)
+        return self.ranges[capacity].pop()
+
+    def _add(self, capacity: int, n: int) -> None:
+        i = capacity + self.width
+        while i:
+            self.tree[i] += n
+            i >>= 1
+
+    def tightest(self, n: int) -> int:
+        """The least capacity of at least n; 0 without any."""
+        i, tree, width = n + self.width, self.tree, self.width
+        if not tree[i]:
             while i > 1 and not (i & 1 == 0 and tree[i + 1]):
                 i >>= 1
-            if i > 1:
-                i += 1
-                while i < width:
-                    i = 2 * i if tree[2 * i] else 2 * i + 1
-        if i > 1:
-            s = open_by[i - width].pop()
-            left, j = i - width, i
-            while j:
-                tree[j] -= 1
-                j >>= 1
-        else:
-            s, left = len(fill), room
-            fill.append(0)
-        seqs.append(s)
-        offsets.append(fill[s])
-        fill[s] += n
-        if left > n:
-            open_by[left - n].append(s)
-            j = left - n + width
-            while j:
-                tree[j] += 1
-                j >>= 1
-    return seqs, offsets
+            if i == 1:
+                return 0
+            i += 1
+            while i < width:
+                i = 2 * i if tree[2 * i] else 2 * i + 1
+        return i - width
+
+
+def best_fit(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
+    """Segments (length, rank, sequence, each, offset) of best-fit decreasing over so many pieces of each length.
+
+    From its rank on, pieces of that length go to consecutive sequences, `each` of them to one, the first at offset.
+    """
+    free, out, opened = Capacities(room), [], 0
+    for n in sorted(counts, reverse=True):
+        rank, left = 0, counts[n]
+        while left:
+            if capacity := free.tightest(n):
+                start, many = free.take(capacity)
+            else:  # new sequences, as many as the pieces need
+                capacity, start = room, opened
+                many = -(-left // (room // n))
+                opened += many
+            each = capacity // n
+            whole = min(many, left // each)
+            if whole:
+                out.append((n, rank, start, each, room - capacity))
+                free.put(capacity - each * n, start, whole)
+                rank, left, start, many = rank + whole * each, left - whole * each, start + whole, many - whole
+            if many and left:  # fewer pieces than one sequence takes
+                out.append((n, rank, start, left, room - capacity))
+                free.put(capacity - left * n, start, 1)
+                start, many, left = start + 1, many - 1, 0
+            free.put(capacity, start, many)
+    return out
+
+
+def placed(length: np.ndarray, rank: np.ndarray, plan: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces by their length and their rank in it."""
+    n, first, sequence, each, offset = np.array(sorted(plan), np.int64).reshape(-1, 5).T
+    at = np.searchsorted(n << 40 | first, length << 40 | rank, "right") - 1  # a length has fewer than 2 ** 40 pieces
+    nth = rank - first[at]
+    return sequence[at] + nth // each[at], offset[at] + nth % each[at] * length
 
 
 def packed(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFrame:
     """Each piece with its sequence_id and offset."""
     cut = checkpointed(pieces(docs, path, room))
-    shards = max(1, -(-cut.count() // SHARD))
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        seqs, offsets = best_fit(group.column("length").to_pylist(), room)
-        shard = group.column("shard")[0].as_py()
-        return group.drop_columns(["shard"]).append_column("sequence_id", pa.array([shard << 32 | s for s in seqs], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
-
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    made = checkpointed(cut.groupBy("length", "task").agg(F.count("*").alias("n")))
+    plan = docs.sparkSession.sparkContext.broadcast(best_fit({r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}, room))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = cut.join(made.select("length", "task", before.alias("before")), ["length", "task"])
+    schema = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            *own, rank = (c for c in b.columns)
+            found = placed(own[3].to_numpy(), rank.to_numpy(), plan.value)
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found)], schema=schema)
+
+    return ranked.select(*(n for n, _ in PIECES), (F.col("nth") + F.col("before")).alias("rank")).mapInArrow(run, PLACED)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
