@@ -1,44 +1,44 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-The best segmentation of a text is the one with the greatest sum of piece scores.  A giant text is cut into chunks at
-fixed places.  For each chunk a max-plus matrix is computed: entry (a, b) is the best score from its position a (where
-the last piece of the chunk before ended) to b positions into the next chunk.  Matrices combine associatively, so a
-prefix scan gives the state at each cut; each chunk is then backtraced on its own between its two states.  Scores are
-integers (micro-units), so sums don't depend on the order.
-
-No piece of the vocabulary crosses from a word to the white space that follows (checked on loading), so within a chunk the
-matrix has a single state at each word's start: the words between are looked up in two bounded tables of known words
-(when one is full, it takes the place of the other).
-
-A model of type unigram brings its scores.  A BPE model has merge ranks instead of scores, which aren't additive;
-its pieces get -log(rank) (Zipf's law), the sole thing added to the file.  So encode() gives the best segmentation under
-these scores, not the sequence of BPE merges; decode() is the same for both, and decode(encode(text)) is the text.
-
-Defined results: null and empty texts have no tokens; characters without a piece are encoded as bytes; a text is
-normalised as the model does without change (identity, a space put before it); other normalisers are refused; of equal
-scores the segmentation with the longer last piece that differs wins; rows that repeat a doc_id are encoded each.
+For a BPE model a segmentation is the merges' result just where each two neighbouring pieces are: where encoding the two
+as one string gives them back.  So encoding is a search for a path through pieces, in which a step is allowed if the
+last two pieces fit together; from any start one path at most is left to each end.  A state is where the last piece
+ends and how long it is.
+
+A text longer than a chunk is cut at fixed places.  The states at a cut are the pieces that end there or cross it.  For
+each chunk a max-plus matrix is computed: from each state at its start to each at its end, minus the number of pieces
+between, or minus infinity.  Matrices combine associatively: groups of chunks are folded to one matrix each, a scan over a
+document's groups gives the states between these, a scan within each group those between chunks, and each chunk is then
+backtraced on its own between its two states.  A task holds the matrices of one group, or one for each group of a text.
+The ids are those that the library gives for the whole text, wherever it is cut.
+
+Where two characters stand in no piece side by side, no piece crosses: of a chunk, only what lies before its first and
+after its last word start is searched state by state, the middle is encoded once for all.
+
+Defined results: null and empty texts have no tokens; characters without a piece are encoded as bytes; decoding gives back the
+text, but U+2581, which the model uses for blanks, becomes a blank; a text is normalised as the model does without change
+(identity, a blank put before it), other normalisers and models of other kinds than BPE are refused; rows that repeat a
+doc_id are encoded each.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import zlib
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_rows, table
+from .common import checkpointed, documents, map_rows, squeeze, table, unsqueeze
 
-CHUNK, GIANT, KNOWN, MICRO = 8192, 32768, 1 << 18, 1_000_000
-NEVER = -(1 << 60)
+CHUNK, GROUP, KNOWN = 8192, 256, 1 << 18
+NEVER = -(1 << 40)
 GAP = "▁"
-UNITS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
+WORD_START = re.compile(f"(?<=[^{GAP}]){GAP}")
 
 
 def default_model() -> str:
@@ -52,261 +52,266 @@ class Model:
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path or default_model())
-        proto = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path or default_model())
+        proto = sentencepiece_model_pb2.ModelProto.FromString(self.library.serialized_model_proto())
         spec = proto.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not (spec.add_dummy_prefix and spec.escape_whitespaces) or proto.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only models that normalise by identity, with a space put before the text")
+            raise ValueError("only models that normalise by identity, with a blank put before the text")
+        if proto.trainer_spec.model_type != 2 or any(p.type in (4, 5) for p in proto.pieces):
+            raise ValueError("only BPE models without pieces of the user's")
         self.bytes_of: list[bytes] = []
-        self.score: dict[str, tuple[int, int]] = {}
+        self.score: dict[str, float] = {}
+        self.id: dict[str, int] = {}
         self.byte = [0] * 256
-        bpe, rank = proto.trainer_spec.model_type == 2, 0
         for i, p in enumerate(proto.pieces):
             if p.type == 6:  # a byte
                 self.byte[int(p.piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(p.piece[3:5], 16)]))
-            elif p.type in (1, 4):  # a piece, or one that the user defined
-                rank += 1
-                s = -math.log(rank + 10) if bpe else p.score
-                self.score[p.piece] = (round(s * MICRO), i)
+            elif p.type == 1:
+                self.score[p.piece], self.id[p.piece] = p.score, i
                 self.bytes_of.append(p.piece.replace(GAP, " ").encode())
             else:
                 self.bytes_of.append(b"")
         self.longest = max(map(len, self.score))
-        #: Beginnings of pieces: (score, id) of those that are pieces, False of the others.
-        self.tree = {p[:n]: self.score.get(p[:n], False) for p in self.score for n in range(1, len(p) + 1)}
+        self.starts = {p[:n] for p in self.score for n in range(1, len(p))}
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.single = {p for p in self.score if len(p) == 1}
-        self.machine = ahocorasick.Automaton()
-        for p, (s, _) in self.score.items():
-            self.machine.add_word(p, (len(p), s))
-        self.machine.make_automaton()
-        self.ids_of = {p: i.to_bytes(4, "little") for p, (_, i) in self.score.items()}
-        self.unknown = min(s for s, _ in self.score.values()) - 10 * MICRO
         self.apart = all(GAP not in p.lstrip(GAP) for p in self.score)
-        self.known: dict[str, tuple[int, bytes]] = {}
-        self.older: dict[str, tuple[int, bytes]] = {}
-
-    def forward(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
-        """(best score, where the last piece starts) of each position, pieces starting in [start, stop).
-
-        A character without a piece of its own is unknown, and is a step as well.
-        """
-        n, get, unknown = min(len(text), stop + self.longest), self.tree.get, self.unknown
-        best, back = [NEVER] * (n + 1), [-1] * (n + 1)
-        best[start] = 0
-        for i in range(start, stop):
-            if (b := best[i]) == NEVER:
-                continue
-            e = i + 1
-            hit = get(text[i:e])
-            if (s := b + (hit[0] if hit else unknown)) > best[e]:
-                best[e], back[e] = s, i
-            if hit is None:
-                continue
-            while e < n:
-                e += 1
-                if hit := get(text[i:e]):
-                    if (s := b + hit[0]) > best[e]:
-                        best[e], back[e] = s, i
-                elif hit is None:
-                    break
-        return best, back
+        self.known: dict[tuple[str, str], bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short string by merging the best pair, the leftmost of equal ones, again and again."""
+        parts, score = list(text), self.score
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def fits(self, left: str, right: str) -> bool:
+        """Whether two pieces can follow each other; each a piece of its own if left is empty."""
+        key = (left, right)
+        hit = self.known.get(key)
+        if hit is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            if left and left[-1] + right[0] not in self.pairs:
+                hit = self.fits("", left) and self.fits("", right)
+            else:
+                hit = self.merged(left + right) == ([left, right] if left else [right])
+            self.known[key] = hit
+        return hit
 
-    def ids_between(self, text: str, back: list[int], start: int, end: int) -> bytes:
-        out, of = [], self.ids_of
-        while end > start:
-            at = back[end]
-            piece = text[at:end]
-            out.append(of.get(piece) or b"".join([self.byte[b].to_bytes(4, "little") for b in piece.encode()]))
-            end = at
-        out.reverse()
-        return b"".join(out)
-
-    def stretch(self, text: str) -> tuple[int, bytes]:
-        """(score, ids) of a stretch; the pieces that end at each place, the longest first, come from an automaton."""
-        n = len(text)
-        if not self.single.issuperset(text):
-            best, back = self.forward(text, 0, n)
-        else:
-            best, back = [0] + [NEVER] * n, [0] * (n + 1)
-            for e, (k, s) in self.machine.iter(text):
-                s += best[e + 1 - k]
-                if s > best[e + 1]:
-                    best[e + 1], back[e + 1] = s, e + 1 - k
-        return best[n], self.ids_between(text, back, 0, n)
-
-    def unit(self, text: str) -> tuple[int, bytes]:
-        """(score, ids as little-endian 32-bit bytes) of a whole unit.
-
-        Where two characters stand in no piece side by side, no piece crosses from one to the other: a unit with other
-        characters than letters is cut there, and its stretches are known on their own.
-        """
-        got = self.known.get(text)
-        if got is None:
-            got = self.older.get(text)
-            if got is None:
-                cuts = [] if len(text) > 64 or text[1:].isalpha() else [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
-                if cuts:
-                    parts = [self.unit(text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-                    got = sum(s for s, _ in parts), b"".join([i for _, i in parts])
-                else:
-                    got = self.stretch(text)
-            if len(text) <= 64:
-                if len(self.known) >= KNOWN:
-                    self.known, self.older = {}, self.known
-                self.known[text] = got
-        return got
-
-    def encode(self, text: str) -> tuple[int, bytes]:
-        """(score, ids) of a text, in one go."""
-        if not text:
-            return 0, b""
-        text = GAP + text.replace(" ", GAP)
-        found = list(map(self.unit, UNITS.findall(text) if self.apart else [text]))
-        return sum(s for s, _ in found), b"".join([i for _, i in found])
+    def plain(self, text: str) -> list[int]:
+        """The library's ids of a text that starts with a blank."""
+        return self.library.encode(text[1:].replace(GAP, " "), num_threads=1)
+
+    def encode(self, text: str) -> bytes:
+        """Ids (little-endian 32-bit) of a text, in one go."""
+        return np.array(self.library.encode(text, num_threads=1) if text else [], "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The text's UTF-8."""
         of = self.bytes_of
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:]
 
-    # A chunk is its text with up to `longest` characters of the next one; n is its own length.
+    def walk(self, text: str, at: int, last: str, stop: int) -> dict[int, tuple[int, int]]:
+        """{end: (length of the last piece, number of pieces)} of the paths whose pieces start in [at, stop), after `last`."""
+        reach, n, starts, score, longest = {at: (len(last), 0)}, len(text), self.starts, self.score, self.longest
+        for i in range(at, stop):
+            here = reach.get(i)
+            if here is None:
+                continue
+            left = text[i - here[0] : i] if i > at else last
+            for e in range(i + 1, min(i + longest, n) + 1):
+                piece = text[i:e]
+                if (piece in score or e == i + 1) and self.fits(left, piece):
+                    reach[e] = e - i, here[1] + 1
+                if piece not in starts:
+                    break
+        return reach
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        out = []
+        for p in pieces:
+            i = self.id.get(p)
+            out += [i] if i is not None else [self.byte[b] for b in p.encode()]
+        return out
+
+    def back(self, text: str, reach: dict, start: int, end: int) -> list[int]:
+        found = []
+        while end > start:
+            found.append(text[end - reach[end][0] : end])
+            end -= len(found[-1])
+        return self.ids_of(found[::-1])
+
+    # A chunk is its own n characters from place `at` on, with up to `longest` of the text on either side.
+
+    def states(self, text: str, cut: int) -> list[tuple[int, int]]:
+        """(end, length) of the pieces that end at a place or cross it; at either end of the text the place alone."""
+        if cut in (0, len(text)):
+            return [(cut, 0)]
+        found = [(e, n) for e in range(cut, min(cut + self.longest, len(text) + 1)) for n in range(max(1, e - cut + 1), min(e, self.longest) + 1) if self.piece(text[e - n : e])]
+        return found
 
-    def cuts(self, text: str, n: int) -> tuple[int, int] | None:
-        """The first and last word starts in [longest, n): no piece crosses them."""
+    def piece(self, x: str) -> bool:
+        return (x in self.score or len(x) == 1) and self.fits("", x)
+
+    def middle(self, text: str, at: int, n: int) -> tuple[int, int] | None:
+        """The first and last word start that all paths through the chunk meet."""
         if not self.apart:
             return None
-        at = [m.start() for m in re.finditer(f"(?<=[^{GAP}]){GAP}", text) if self.longest <= m.start() < n]
-        return (at[0], at[-1]) if at else None
-
-    def matrix(self, text: str, n: int) -> np.ndarray:
-        m = self.longest
-        out = np.full((m, m), NEVER, np.int64)
-
-        def ends(best):
-            return [best[n + b] if n + b < len(best) else NEVER for b in range(m)]
-
-        if not (cut := self.cuts(text, n)):
-            for a in range(min(m, n)):
-                out[a] = ends(self.forward(text, a, n)[0])
-            for a in range(n, m):  # a chunk shorter than a piece: passed over
-                out[a, a - n] = 0
-            return out
-        first, last = cut
-        middle = sum(self.unit(u)[0] for u in UNITS.findall(text[first:last]))
-        tail = np.array(ends(self.forward(text, last, n)[0]), np.int64)
-        for a in range(m):
-            to = self.forward(text[:first], a, first)[0][first]
-            out[a] = np.where(tail > NEVER, tail + middle + to, NEVER)
+        found = [m.start() for m in WORD_START.finditer(text, at + self.longest, at + n)]
+        return (found[0], found[-1]) if found else None
+
+    def _ends(self, reach: dict, ends: list[tuple[int, int]]) -> np.ndarray:
+        """Minus the number of pieces to each end state; a length of 0 means any."""
+        return np.array([-reach[e][1] if e in reach and n in (0, reach[e][0]) else NEVER for e, n in ends], np.int64)
+
+    def matrix(self, text: str, at: int, n: int) -> np.ndarray:
+        ends, cut = self.states(text, at + n), self.middle(text, at, n)
+        begins = self.states(text, at)
+        out = np.full((len(begins), len(ends)), NEVER, np.int64)
+        if cut:
+            first, last = cut
+            tail = self._ends(self.walk(text, last, "", at + n), ends) - len(self.plain(text[first:last]))
+        for k, (e, size) in enumerate(begins):
+            left = text[e - size : e]
+            if e >= at + n:  # a piece that crosses the whole chunk
+                out[k] = [0 if x in ((e, size), (e, 0)) else NEVER for x in ends]
+            elif not cut:
+                out[k] = self._ends(self.walk(text, e, left, at + n), ends)
+            elif (hit := self.walk(text[:first], e, left, first).get(first)) is not None:
+                out[k] = np.where(tail > NEVER // 2, tail - hit[1], NEVER)
         return out
 
-    def between(self, text: str, n: int, a: int, b: int) -> bytes:
-        """Ids of the chunk's best path from position a to n + b."""
-        if a >= n:
-            return b""
-        if not (cut := self.cuts(text, n)):
-            return self.ids_between(text, self.forward(text, a, n)[1], a, n + b)
+    def between(self, text: str, at: int, n: int, a: int, b: int) -> list[int]:
+        """Ids of the chunk's path from its state a to its state b."""
+        (begin, size), (end, _), cut = self.states(text, at)[a], self.states(text, at + n)[b], self.middle(text, at, n)
+        if begin >= at + n:
+            return []
+        left = text[begin - size : begin]
+        if not cut:
+            return self.back(text, self.walk(text, begin, left, at + n), begin, end)
         first, last = cut
-        head = self.ids_between(text, self.forward(text[:first], a, first)[1], a, first)
-        tail = self.ids_between(text, self.forward(text, last, n)[1], last, n + b)
-        return head + b"".join([self.unit(u)[1] for u in UNITS.findall(text[first:last])]) + tail
+        head = self.back(text, self.walk(text[:first], begin, left, first), begin, first)
+        return head + self.plain(text[first:last]) + self.back(text, self.walk(text, last, "", at + n), last, end)
 
 
 _models: dict[str | None, Model] = {}
 
 
 def model_of(path: str | None) -> Model:
-    """The worker's own, which keeps the words it knows between tasks."""
+    """The worker's own, which keeps the pairs it knows between tasks."""
     if path not in _models:
         _models[path] = Model(path)
     return _models[path]
 
 
 def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The max-plus product of stacks of matrices."""
-    return np.maximum((x[..., :, :, None] + y[..., None, :, :]).max(-2), NEVER)
+    """The max-plus product of two matrices."""
+    out = np.full((x.shape[0], y.shape[1]), NEVER, np.int64)
+    for k in range(y.shape[0]):
+        np.maximum(out, x[:, k, None] + y[k], out=out)
+    return np.maximum(out, NEVER)
 
 
-def scan(stack: np.ndarray) -> np.ndarray:
-    """All prefix products, in log(n) combining rounds."""
-    stack, step = stack.copy(), 1
-    while step < len(stack):
-        stack[step:] = combine(stack[:-step], stack[step:])
-        step *= 2
-    return stack
+def fold(matrices) -> np.ndarray:
+    out = None
+    for m in matrices:
+        out = m if out is None else combine(out, m)
+    return out
 
 
-def states(stack: np.ndarray) -> tuple[list[int], int]:
-    """(state at each chunk's start and after the last one, best score), from and to state 0."""
-    prefix = scan(stack)
-    at = [0]
-    for k in range(len(stack) - 1, 0, -1):
-        at.append(int(np.argmax(prefix[k - 1][0] + stack[k][:, at[-1]])))
-    return [0, *at[::-1]], int(prefix[-1][0, 0])
+def states(matrices: list[np.ndarray], a: int, b: int) -> list[int]:
+    """The state at each cut on the best path from state a before the first matrix to state b after the last one."""
+    ahead = [matrices[0][a]]
+    for m in matrices[1:]:
+        ahead.append(np.maximum((ahead[-1][:, None] + m).max(0), NEVER))
+    at = [b]
+    for k in range(len(matrices) - 1, 0, -1):
+        at.append(int(np.argmax(ahead[k - 1] + matrices[k][:, at[-1]])))
+    return [a, *at[::-1]]
 
 
-def chunks(text: str, longest: int, size: int) -> list[tuple[str, int]]:
+def chunks(text: str, longest: int, size: int) -> list[tuple[str, int, int]]:
+    """(text with what stands around, place of the chunk in it, its length)."""
     text = GAP + text.replace(" ", GAP)
-    return [(text[i : i + size + longest], min(size, len(text) - i)) for i in range(0, len(text), size)]
+    return [(text[max(0, i - longest) : i + size + longest], min(i, longest), min(size, len(text) - i)) for i in range(0, len(text), size)]
 
 
-ENCODED = [("doc_id", pa.int64()), ("ids", pa.binary()), ("score", pa.int64()), ("decoded", pa.binary())]
+ENCODED = [("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())]
+AT = "uid long, g int, k int, a int, b int"
 
 
-def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, size: int = CHUNK, digest=None, fields=ENCODED, ddl: str = "doc_id long, ids binary, score long, decoded binary") -> DataFrame:
-    """doc_id, ids (little-endian 32-bit), score and the decoded text of each row; or what digest makes of these."""
+def encoded(docs: DataFrame, path: str | None = None, size: int = CHUNK, group: int = GROUP, digest=None, fields=ENCODED, ddl: str = "doc_id long, ids binary, decoded binary") -> DataFrame:
+    """doc_id, ids (little-endian 32-bit) and the decoded text of each row; or what digest makes of these."""
     digest = digest or (lambda *x: x)
-    docs = documents(docs).withColumn("giant", F.length(F.col("text").cast("string")) > giant)
+    docs = documents(docs).withColumn("long", F.length(F.col("text").cast("string")) >= size)
 
-    def small(found):
+    def short(found):
         m = model_of(path)
         for doc_id, text in found:
-            score, ids = m.encode(text.decode())
-            yield digest(doc_id, ids, score, m.decode(ids))
+            ids = m.encode(text.decode())
+            yield digest(doc_id, ids, m.decode(ids))
 
     def cut(found):
         m, uid = model_of(path), TaskContext.get().partitionId() << 33
         for doc_id, text in found:
-            for k, (c, n) in enumerate(chunks(text.decode(), m.longest, size)):
-                yield uid, doc_id, k, c, n
+            for k, c in enumerate(chunks(text.decode(), m.longest, size)):
+                yield uid, doc_id, k // group, k, *c
             uid += 1
 
     def measured(found):
         m = model_of(path)
-        for uid, k, text, n in found:
-            yield uid, k, m.matrix(text, n).tobytes()
+        for uid, g, k, text, at, n in found:
+            yield uid, g, k, squeeze(m.matrix(text, at, n))
+
+    def folded(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        return pa.table({"uid": t.column("uid")[:1], "g": t.column("g")[:1], "t": pa.array([squeeze(fold(unsqueeze(x.as_py()) for x in t.column("t")))])})
+
+    def between_groups(t: pa.Table) -> pa.Table:
+        t = t.sort_by("g")
+        at = states([unsqueeze(x.as_py()) for x in t.column("t")], 0, 0)
+        return pa.table({"uid": t.column("uid"), "g": t.column("g"), "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32())})
 
-    def settled(group: pa.Table) -> pa.Table:
-        group = group.sort_by("k")
-        side = round(math.sqrt(len(group.column("t")[0].as_py()) // 8))
-        at, score = states(np.stack([np.frombuffer(x, np.int64).reshape(side, side) for x in group.column("t").to_pylist()]))
-        return pa.table({"uid": group.column("uid"), "k": group.column("k"), "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32()), "score": pa.array([score] * len(group), pa.int64())})
+    def within_group(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        at = states([unsqueeze(x.as_py()) for x in t.column("t")], t.column("a")[0].as_py(), t.column("b")[0].as_py())
+        return pa.table({"uid": t.column("uid"), "g": t.column("g"), "k": t.column("k"), "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32())})
 
     def traced(found):
         m = model_of(path)
-        for uid, doc_id, k, text, n, a, b, score in found:
-            yield uid, doc_id, k, m.between(text, n, a, b), score
+        for uid, doc_id, k, text, at, n, a, b in found:
+            yield uid, doc_id, k, np.array(m.between(text, at, n, a, b), "<u4").tobytes()
 
     out = pa.schema(fields)
 
-    def joined(group: pa.Table) -> pa.Table:
-        m, group = model_of(path), group.sort_by("k")
-        ids = b"".join(group.column("ids").to_pylist())
-        row = digest(group.column("doc_id")[0].as_py(), ids, group.column("score")[0].as_py(), m.decode(ids))
+    def joined(t: pa.Table) -> pa.Table:
+        m, t = model_of(path), t.sort_by("k")
+        ids = b"".join(t.column("ids").to_pylist())
+        row = digest(t.column("doc_id")[0].as_py(), ids, m.decode(ids))
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
-    plain = map_rows(docs.where("not giant").select("doc_id", "text"), small, fields, ddl)
-    parts = checkpointed(map_rows(docs.where("giant").select("doc_id", "text"), cut, [("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("text", pa.string()), ("n", pa.int32())], "uid long, doc_id long, k int, text string, n int").repartition("uid", "k"))
-    matrices = map_rows(parts.select("uid", "k", "text", "n"), measured, [("uid", pa.int64()), ("k", pa.int32()), ("t", pa.binary())], "uid long, k int, t binary")
-    at = matrices.groupBy("uid").applyInArrow(settled, "uid long, k int, a int, b int, score long")
-    paths = map_rows(parts.join(at, ["uid", "k"]).select("uid", "doc_id", "k", "text", "n", "a", "b", "score"), traced, [("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.binary()), ("score", pa.int64())], "uid long, doc_id long, k int, ids binary, score long")
+    plain = map_rows(docs.where("not long").select("doc_id", "text"), short, fields, ddl)
+    place = [("uid", pa.int64()), ("g", pa.int32()), ("k", pa.int32())]
+    parts = map_rows(docs.where("long").select("doc_id", "text"), cut, [place[0], ("doc_id", pa.int64()), *place[1:], ("text", pa.string()), ("at", pa.int32()), ("n", pa.int32())], "uid long, doc_id long, g int, k int, text string, at int, n int")
+    parts = checkpointed(parts.repartition("uid", "k"))
+    matrices = checkpointed(map_rows(parts.select("uid", "g", "k", "text", "at", "n"), measured, [*place, ("t", pa.binary())], "uid long, g int, k int, t binary"))
+    of_group = matrices.groupBy("uid", "g").applyInArrow(folded, "uid long, g int, t binary").groupBy("uid").applyInArrow(between_groups, "uid long, g int, a int, b int")
+    of_chunk = matrices.join(of_group, ["uid", "g"]).groupBy("uid", "g").applyInArrow(within_group, AT)
+    paths = map_rows(parts.join(of_chunk.drop("g"), ["uid", "k"]).select("uid", "doc_id", "k", "text", "at", "n", "a", "b"), traced, [("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.binary())], "uid long, doc_id long, k int, ids binary")
     return plain.unionByName(paths.groupBy("uid").applyInArrow(joined, ddl))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    def digest(doc_id, ids, score, decoded):
-        return doc_id, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(ids).hexdigest(), score, hashlib.sha256(decoded).hexdigest()
+    def digest(doc_id, ids, decoded):
+        return doc_id, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids_sha256", pa.string()), ("score", pa.int64()), ("decoded_sha256", pa.string())]
-    return encoded(table(spark, sf_dir, "documents"), digest=digest, fields=fields, ddl="doc_id long, n_tokens long, ids_crc32 long, ids_sha256 string, score long, decoded_sha256 string")
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    return encoded(table(spark, sf_dir, "documents"), digest=digest, fields=fields, ddl="doc_id long, n_tokens long, ids_crc32 long, ids_sha256 string, decoded_sha256 string")
