@@ -17,8 +17,8 @@ def by_chunks(m, text, size, group=4):
     matrices = [m.matrix(*c) for c in parts]
     groups = [matrices[i : i + group] for i in range(0, len(matrices), group)]
     at = states([fold(g) for g in groups], 0, 0)
-    inner = [s for g, a, b in zip(groups, at, at[1:], strict=True) for s in states(g, a, b)[:-1]] + [at[-1]]
-    return [i for c, a, b in zip(parts, inner, inner[1:], strict=True) for i in m.between(*c, a, b)], fold(matrices)[0, 0]
+    inner = [s for g, a, b in zip(groups, at, at[1:], strict=False) for s in states(g, a, b)[:-1]] + [at[-1]]
+    return [i for c, a, b in zip(parts, inner, inner[1:], strict=False) for i in m.between(*c, a, b)], fold(matrices)[0, 0]
 
 
 def texts(n=300, seed=3):
