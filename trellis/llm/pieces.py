@@ -7,9 +7,10 @@ ends and how long it is.
 
 A text longer than a chunk is cut at fixed places.  The states at a cut are the pieces that end there or cross it.  For
 each chunk a max-plus matrix is computed: from each state at its start to each at its end, minus the number of pieces
-between, or minus infinity.  Matrices combine associatively: groups of chunks are folded to one matrix each, a scan over a
-document's groups gives the states between these, a scan within each group those between chunks, and each chunk is then
-backtraced on its own between its two states.  A task holds the matrices of one group, or one for each group of a text.
+between, or minus infinity.  Each chunk is backtraced on its own, for each pair of states that a path joins; the text is not
+needed after that.  Matrices combine associatively: groups of chunks are folded to one matrix each, a scan over a
+document's groups gives the states between these, a scan within each group those between chunks, which say what path
+of each chunk is taken.  A task holds one group's chunks, or one matrix for each group of a text, and a row's result.
 The ids are those that the library gives for the whole text, wherever it is cut.
 
 Where two characters stand in no piece side by side, no piece crosses: of a chunk, only what lies before its first and
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, map_rows, squeeze, table, unsqueeze
 
-CHUNK, GROUP, KNOWN = 8192, 256, 1 << 18
+CHUNK, GROUP, KNOWN = 1 << 15, 64, 1 << 18
 NEVER = -(1 << 40)
 GAP = "▁"
 WORD_START = re.compile(f"(?<=[^{GAP}]){GAP}")
@@ -120,17 +121,17 @@ class Model:
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:]
 
     def walk(self, text: str, at: int, last: str, stop: int) -> dict[int, tuple[int, int]]:
-        """{end: (length of the last piece, number of pieces)} of the paths whose pieces start in [at, stop), after `last`."""
-        reach, n, starts, score, longest = {at: (len(last), 0)}, len(text), self.starts, self.score, self.longest
+        """{end: length of the last piece} of the paths whose pieces start in [at, stop), after `last`."""
+        reach, n, starts, score, longest = {at: len(last)}, len(text), self.starts, self.score, self.longest
         for i in range(at, stop):
             here = reach.get(i)
             if here is None:
                 continue
-            left = text[i - here[0] : i] if i > at else last
+            left = text[i - here : i] if i > at else last
             for e in range(i + 1, min(i + longest, n) + 1):
                 piece = text[i:e]
                 if (piece in score or e == i + 1) and self.fits(left, piece):
-                    reach[e] = e - i, here[1] + 1
+                    reach[e] = e - i
                 if piece not in starts:
                     break
         return reach
@@ -145,7 +146,7 @@ class Model:
     def back(self, text: str, reach: dict, start: int, end: int) -> list[int]:
         found = []
         while end > start:
-            found.append(text[end - reach[end][0] : end])
+            found.append(text[end - reach[end] : end])
             end -= len(found[-1])
         return self.ids_of(found[::-1])
 
@@ -168,38 +169,43 @@ class Model:
         found = [m.start() for m in WORD_START.finditer(text, at + self.longest, at + n)]
         return (found[0], found[-1]) if found else None
 
-    def _ends(self, reach: dict, ends: list[tuple[int, int]]) -> np.ndarray:
-        """Minus the number of pieces to each end state; a length of 0 means any."""
-        return np.array([-reach[e][1] if e in reach and n in (0, reach[e][0]) else NEVER for e, n in ends], np.int64)
+    def _tails(self, text: str, reach: dict, start: int, ends: list[tuple[int, int]]) -> dict[int, list[int]]:
+        """Ids of the paths from start to each end state that is reached; a length of 0 means any."""
+        return {b: self.back(text, reach, start, e) for b, (e, n) in enumerate(ends) if e in reach and e > start and n in (0, reach[e])}
 
-    def matrix(self, text: str, at: int, n: int) -> np.ndarray:
-        ends, cut = self.states(text, at + n), self.middle(text, at, n)
-        begins = self.states(text, at)
+    def measure(self, text: str, at: int, n: int) -> tuple[np.ndarray, tuple]:
+        """(matrix, paths) of a chunk: heads by state at its start, the middle, tails by state at its end; or tails by both."""
+        begins, ends, cut = self.states(text, at), self.states(text, at + n), self.middle(text, at, n)
         out = np.full((len(begins), len(ends)), NEVER, np.int64)
+        heads, middle, tails, pairs = {}, [], {}, {}
         if cut:
             first, last = cut
-            tail = self._ends(self.walk(text, last, "", at + n), ends) - len(self.plain(text[first:last]))
-        for k, (e, size) in enumerate(begins):
+            tails = self._tails(text, self.walk(text, last, "", at + n), last, ends)
+            middle = self.plain(text[first:last])
+        for a, (e, size) in enumerate(begins):
             left = text[e - size : e]
             if e >= at + n:  # a piece that crosses the whole chunk
-                out[k] = [0 if x in ((e, size), (e, 0)) else NEVER for x in ends]
+                found = {b: [] for b, x in enumerate(ends) if x in ((e, size), (e, 0))}
             elif not cut:
-                out[k] = self._ends(self.walk(text, e, left, at + n), ends)
-            elif (hit := self.walk(text[:first], e, left, first).get(first)) is not None:
-                out[k] = np.where(tail > NEVER // 2, tail - hit[1], NEVER)
-        return out
+                found = self._tails(text, self.walk(text, e, left, at + n), e, ends)
+            else:
+                reach = self.walk(text[:first], e, left, first)
+                if first in reach:
+                    heads[a] = self.back(text, reach, e, first)
+                    for b, ids in tails.items():
+                        out[a, b] = -len(heads[a]) - len(middle) - len(ids)
+                continue
+            for b, ids in found.items():
+                out[a, b], pairs[a, b] = -len(ids), np.array(ids, "<u4").tobytes()
+        return out, (heads, np.array(middle, "<u4").tobytes(), tails, pairs)
 
-    def between(self, text: str, at: int, n: int, a: int, b: int) -> list[int]:
-        """Ids of the chunk's path from its state a to its state b."""
-        (begin, size), (end, _), cut = self.states(text, at)[a], self.states(text, at + n)[b], self.middle(text, at, n)
-        if begin >= at + n:
-            return []
-        left = text[begin - size : begin]
-        if not cut:
-            return self.back(text, self.walk(text, begin, left, at + n), begin, end)
-        first, last = cut
-        head = self.back(text, self.walk(text[:first], begin, left, first), begin, first)
-        return head + self.plain(text[first:last]) + self.back(text, self.walk(text, last, "", at + n), last, end)
+
+def taken(paths: tuple, a: int, b: int) -> bytes:
+    """Ids (little-endian 32-bit) of a chunk's path from state a to state b."""
+    heads, middle, tails, pairs = paths
+    if a in heads:
+        return np.array(heads[a], "<u4").tobytes() + middle + np.array(tails[b], "<u4").tobytes()
+    return pairs[a, b]
 
 
 _models: dict[str | None, Model] = {}
@@ -245,7 +251,6 @@ def chunks(text: str, longest: int, size: int) -> list[tuple[str, int, int]]:
 
 
 ENCODED = [("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())]
-AT = "uid long, g int, k int, a int, b int"
 
 
 def encoded(docs: DataFrame, path: str | None = None, size: int = CHUNK, group: int = GROUP, digest=None, fields=ENCODED, ddl: str = "doc_id long, ids binary, decoded binary") -> DataFrame:
@@ -268,8 +273,8 @@ def encoded(docs: DataFrame, path: str | None = None, size: int = CHUNK, group:
 
     def measured(found):
         m = model_of(path)
-        for uid, g, k, text, at, n in found:
-            yield uid, g, k, squeeze(m.matrix(text, at, n))
+        for uid, doc_id, g, k, text, at, n in found:
+            yield uid, doc_id, g, k, *map(squeeze, m.measure(text, at, n))
 
     def folded(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
@@ -283,30 +288,24 @@ def encoded(docs: DataFrame, path: str | None = None, size: int = CHUNK, group:
     def within_group(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
         at = states([unsqueeze(x.as_py()) for x in t.column("t")], t.column("a")[0].as_py(), t.column("b")[0].as_py())
-        return pa.table({"uid": t.column("uid"), "g": t.column("g"), "k": t.column("k"), "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32())})
-
-    def traced(found):
-        m = model_of(path)
-        for uid, doc_id, k, text, at, n, a, b in found:
-            yield uid, doc_id, k, np.array(m.between(text, at, n, a, b), "<u4").tobytes()
+        ids = b"".join([taken(unsqueeze(x.as_py()), a, b) for x, a, b in zip(t.column("paths"), at, at[1:], strict=False)])
+        return pa.table({"uid": t.column("uid")[:1], "doc_id": t.column("doc_id")[:1], "g": t.column("g")[:1], "ids": pa.array([ids], pa.binary())})
 
     out = pa.schema(fields)
 
     def joined(t: pa.Table) -> pa.Table:
-        m, t = model_of(path), t.sort_by("k")
+        m, t = model_of(path), t.sort_by("g")
         ids = b"".join(t.column("ids").to_pylist())
         row = digest(t.column("doc_id")[0].as_py(), ids, m.decode(ids))
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
     plain = map_rows(docs.where("not long").select("doc_id", "text"), short, fields, ddl)
-    place = [("uid", pa.int64()), ("g", pa.int32()), ("k", pa.int32())]
-    parts = map_rows(docs.where("long").select("doc_id", "text"), cut, [place[0], ("doc_id", pa.int64()), *place[1:], ("text", pa.string()), ("at", pa.int32()), ("n", pa.int32())], "uid long, doc_id long, g int, k int, text string, at int, n int")
-    parts = checkpointed(parts.repartition("uid", "k"))
-    matrices = checkpointed(map_rows(parts.select("uid", "g", "k", "text", "at", "n"), measured, [*place, ("t", pa.binary())], "uid long, g int, k int, t binary"))
-    of_group = matrices.groupBy("uid", "g").applyInArrow(folded, "uid long, g int, t binary").groupBy("uid").applyInArrow(between_groups, "uid long, g int, a int, b int")
-    of_chunk = matrices.join(of_group, ["uid", "g"]).groupBy("uid", "g").applyInArrow(within_group, AT)
-    paths = map_rows(parts.join(of_chunk.drop("g"), ["uid", "k"]).select("uid", "doc_id", "k", "text", "at", "n", "a", "b"), traced, [("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.binary())], "uid long, doc_id long, k int, ids binary")
-    return plain.unionByName(paths.groupBy("uid").applyInArrow(joined, ddl))
+    place = [("uid", pa.int64()), ("doc_id", pa.int64()), ("g", pa.int32()), ("k", pa.int32())]
+    parts = map_rows(docs.where("long").select("doc_id", "text"), cut, [*place, ("text", pa.string()), ("at", pa.int32()), ("n", pa.int32())], "uid long, doc_id long, g int, k int, text string, at int, n int", 64)
+    made = checkpointed(map_rows(parts.repartition("uid", "k"), measured, [*place, ("t", pa.binary()), ("paths", pa.binary())], "uid long, doc_id long, g int, k int, t binary, paths binary", 64))
+    of_group = made.select("uid", "g", "k", "t").groupBy("uid", "g").applyInArrow(folded, "uid long, g int, t binary").groupBy("uid").applyInArrow(between_groups, "uid long, g int, a int, b int")
+    ids = made.join(of_group, ["uid", "g"]).groupBy("uid", "g").applyInArrow(within_group, "uid long, doc_id long, g int, ids binary")
+    return plain.unionByName(ids.groupBy("uid").applyInArrow(joined, ddl))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
