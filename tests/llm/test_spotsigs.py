@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -50,18 +51,35 @@ def test_query_against_brute_force(spark, tmp_path, n):
     assert all(len(x) == 1 for x in texts.values())
 
 
-@pytest.mark.parametrize("least", [0.8, 0.5])
-def test_near_pairs_against_brute_force(spark, least):
-    rows = [(i, t) for i, t in corpus(3, 80) if i is not None]
-    base = " ".join(f"the n{i} v{i} of m{i} k{i}" for i in range(60))
-    rows += [(300, base), (301, base + " the x y"), (302, base.replace("n7 ", "q7 ")), (303, " ".join(base.split()[: 200])), (304, base)]
-    of, pairs = m.near_pairs(frame(spark, rows), least)
-    sets = {}
+def classes(rows):
+    """The least id of the sets that links of at least 0.8 join, by set."""
+    sets = sorted({frozenset(brute_spots(t or "")) for _, t in rows}, key=lambda s: sorted(map(repr, s)))
+    of = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if of[i] != of[j] and jaccard(a, sets[j]) >= 0.8:
+                x, y = of[i], of[j]
+                of = [y if o == x else o for o in of]
+    least = {}
     for i, t in rows:
-        sets.setdefault(frozenset(brute_spots(t or "")), []).append(i)
-    want_class = sorted((i, min(ids)) for s, ids in sets.items() for i in ids)
-    assert sorted((r.doc_id, r["class"]) for r in of.collect()) == want_class
-    keys = sorted((min(ids), s) for s, ids in sets.items())
-    want = {(a, b): jaccard(s, u) for k, (a, s) in enumerate(keys) for b, u in keys[k + 1 :] if jaccard(s, u) >= least}
-    assert {(r.a, r.b): round(r.likeness, 9) for r in pairs.collect()} == {k: round(v, 9) for k, v in want.items()}
-    assert m.near_pairs(frame(spark, rows).limit(0))[1].count() == 0
+        c = of[sets.index(frozenset(brute_spots(t or "")))]
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    return sorted((repr(i), repr(least[of[sets.index(frozenset(brute_spots(t or "")))]])) for i, t in rows)
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_classes_against_brute_force(spark, tmp_path, monkeypatch, few):
+    """Copies edited little and much, chains of copies, lengths on both sides of a power of two, texts that share many spots."""
+    monkeypatch.setattr("trellis.llm.common.FEW_ROWS", few)
+    r, rows = random.Random(4), corpus(3, 60)
+    phrase = lambda k: f"the n{k} v{k}"
+    for size in (5, 14, 17, 63, 66, 130):
+        base = [r.randrange(10**9) for _ in range(size)]
+        for _ in range(7):
+            rows.append((len(rows) + 1000, " ".join(map(phrase, base))))
+            base = [x if r.random() > 0.05 else r.randrange(10**9) for x in base]
+        rows.append((len(rows) + 1000, " ".join(map(phrase, base[: int(0.85 * size)]))))
+        for _ in range(6):  # most spots in common, but under 0.8
+            rows.append((len(rows) + 1000, " ".join(map(phrase, base[: int(0.7 * size)] + [r.randrange(10**9) for _ in range(int(0.3 * size))]))))
+    got = op10_rows(spark, tmp_path, rows)
+    assert sorted((repr(x.doc_id), repr(x.class_id)) for x in got) == classes(rows)

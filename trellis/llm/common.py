@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; only where it names none, a temporary one."""
+    """The folder that all executors share, as the session names it; a temporary one only where all run on one machine."""
     sc = spark.sparkContext
     place = sc._jsc.sc().getCheckpointDir()
     if place.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         place = sc._jsc.sc().getCheckpointDir()
     return place.get()
 
@@ -45,6 +48,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a few numbers that may be broadcast.
+FEW_ROWS = 1 << 18
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to have at most FEW_ROWS rows; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

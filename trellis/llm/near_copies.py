@@ -9,8 +9,9 @@ members are compared with one of them, that with the fewest shingles of its own.
 compared or its nodes are in one group already; what the rounds leave is compared pair by pair.
 
 Defined results: a null text is empty, empty texts are equal; a text of fewer than five words is one shingle; the least
-doc_id of a group stays (null ids last), rows that repeat it with the same text are one.  Node ids are 64-bit hashes of
-texts, shingles 32-bit hashes in sets and 64-bit ones as keys.
+doc_id of a group stays (null ids last), rows that repeat it with the same text are one, whose other columns are any
+one's; columns of docs may have any names.  Nodes are 64-bit hashes of texts, told apart by a second hash where they
+coincide; shingles are 32-bit hashes in sets and 64-bit ones as keys.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, map_rows
+from .common import checkpointed, components, if_few, map_rows
 from .simhash_variants import fingerprint, links, shingles
 
 WORDS, LEAST = 5, 0.8
 #: Texts that the order of shingles is estimated from, how often one recurs there to be put last, and how many are.
-SAMPLE, OFTEN, HOT = 10_000, 4, 1 << 16
+SAMPLE, OFTEN, HOT = 3_000, 3, 1 << 16
 #: Rounds of comparing with one member at most, and pairs for each row of the index that are few enough to end them.
 ROUNDS, FEW = 6, 8
 LAST = (1 << 63) - 1
@@ -36,8 +37,8 @@ def hashes(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingles(text.lower().split(), WORDS) or [0], np.uint64))
 
 
-def recurring(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of shingles that recur in a sample of (node, text), and in how many of its texts."""
+def recurring(texts: DataFrame, hashes=hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes (of shingles) that recur in a sample of (node, text), and in how many of its texts."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
     some = texts.where(F.pmod("node", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["node"])
     one = map_rows(some.select("text"), lambda found: ((x,) for (t,) in found for x in hashes(t).view(np.int64).tolist()), [("h", pa.int64())], "h long", 1 << 14)
@@ -47,13 +48,13 @@ def recurring(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first fifth of a set in the common order, and one more as 32-bit hashes may coincide."""
+def prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], more: int = 2) -> np.ndarray:
+    """The first fifth of a set in the common order and `more`: 1, and another one where 32-bit hashes may coincide."""
     rank = np.zeros(len(h), np.int64)
     if len(often[0]):
         at = np.minimum(np.searchsorted(often[0], h), len(often[0]) - 1)
         rank = np.where(often[0][at] == h, often[1][at], 0)
-    return h[np.lexsort((h, rank))[: len(h) // 5 + 2]]
+    return h[np.lexsort((h, rank))[: len(h) // 5 + more]]
 
 
 def sketches(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -85,12 +86,14 @@ def starred(df: DataFrame, key: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike, each once."""
+    """The pairs (a, b) that are alike, each once; few pairs go to the sets, of many the sets are shuffled."""
     pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     set_of = lambda x: sets.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
+    one = set_of("a").join(if_few(pairs), "a")
+    other = set_of("b").join(if_few(pairs.select("b").distinct()), "b", "left_semi")
     common = F.size(F.array_intersect("held_a", "held_b"))
     likeness = common / (F.size("held_a") + F.size("held_b") - common)
-    return checkpointed(pairs.join(set_of("a"), "a").join(set_of("b"), "b").where(likeness >= LEAST).select("a", "b"))
+    return checkpointed(one.join(other, "b").where(likeness >= LEAST).select("a", "b"))
 
 
 def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,26 +116,37 @@ def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
         held = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "x.own")
 
 
+def node_of(docs: DataFrame, text):
+    """A 64-bit number for each different text: a hash, or another one for texts whose first hashes coincide."""
+    first, other = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    same = docs.select(first.alias("node"), other.alias("other")).groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("node").collect()
+    return F.when(first.isin([r.node for r in same]), other).otherwise(first) if same else first  # one in n * n / 2 ** 65
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of docs, less near copies of others."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    node = F.xxhash64(text)
-    often = recurring(docs.select(node.alias("node"), text.cast("binary").alias("text")))
-    rows = sketches(docs.select(ids, node, text.cast("binary")), often)
+    ids, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.coalesce(F.col("text"), F.lit(""))
+    node = node_of(docs, text)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node.alias("node"), ids.alias("id"), text.cast("binary").alias("text"))
+    often = recurring(own.select("node", "text"))
+    rows = sketches(own.select("id", "node", "text"), often)
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    repeated = checkpointed(own.groupBy("node", "id").count().where("count > 1").select("node", "id"))
     held = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
     held = checkpointed(held.join(held.groupBy("key").count().where("count > 1").select("key"), "key"))
-    own = held.groupBy("node").agg(F.expr("least(first(n), first(n) div 5 + 2) - count(*)").alias("own"))
-    wanted = checkpointed(own.join(nodes.select("node", "id"), "node"))
-    found = docs.select(node.alias("node"), ids.alias("id"), text.cast("binary").alias("text")).join(wanted, ["node", "id"], "left_semi")
-    sets = checkpointed(shingle_sets(found.select("node", "text")).dropDuplicates(["node"]))
+    alone = held.groupBy("node").agg(F.expr("least(first(n), first(n) div 5 + 2) - count(*)").alias("own"))
+    wanted = checkpointed(alone.join(nodes.select("node", "id"), "node"))
+    sets = shingle_sets(own.join(if_few(wanted), ["node", "id"], "left_semi").select("node", "text"))
+    sets = checkpointed(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]))
     fps = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(fps.select("fp")).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     near = near.join(fps.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb").select("a", "b")
     edges = verified(near.unionByName(starred(nodes.select("node", "fp"), "fp")), sets)
     group = grouped(held.join(wanted.select("node", "own"), "node"), sets, edges).select(F.col("id").alias("node"), "component")
     of = nodes.select("node", "id").join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "id", "node")
-    stays = of.groupBy("component").agg(F.min(F.struct("id", "node")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.node").alias("__node"))
-    kept = docs.withColumn("__id", ids).withColumn("__node", node).join(stays, ["__id", "__node"], "left_semi")
-    return kept.dropDuplicates(["__id", "__node"]).select(*(f"`{c}`" for c in docs.columns))
+    stays = of.groupBy("component").agg(F.min(F.struct("id", "node")).alias("s")).select("s.id", "s.node")
+    stays = checkpointed(stays.join(repeated.withColumn("many", F.lit(True)), ["id", "node"], "left"))
+    kept = own.drop("text").join(if_few(stays), ["id", "node"])
+    if not repeated.isEmpty():
+        kept = kept.where("many is null").unionByName(kept.where("many").dropDuplicates(["id", "node"]))
+    return kept.select("row.*")

@@ -1,14 +1,18 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
 
 A spot is an anchor (a very common word) with the two content words after it, common words skipped.  A text's
-fingerprint is the set of its spots' hashes; likeness is the Jaccard similarity of two sets.  near_pairs() joins sets
-of at least a given likeness: copies of a set are one class; sets are partitioned by length, a set meets only sets of
-its own and the next partition; it is indexed under its rarest spots, as many as it can miss and one more; what meets
-is pruned by length and then compared whole.
+fingerprint is the set of its spots' hashes; likeness is the Jaccard similarity of two sets.
+
+near_classes() joins all sets of a likeness of at least 0.8: copies of a set are one, linked sets are a class.  Sets are
+partitioned by length (powers of two); a set is indexed under the first fifth of its spots in a common order, in its
+own partition, and in the one below if sets of that are long enough for it.  What meets is pruned by length and by the
+places of the common spot, then compared whole; of large groups only what isn't in one class already is compared.
+No spot is too frequent to be an index key; no pair is left out but those that are in one class.
 
 Defined results: a null text is empty; a text without spots has one made of its whole text, so only equal ones are
 alike; the document after the last one is the first; null doc_ids come first; of rows that repeat a doc_id, each is
-the next one of the one before, in the order of their texts.
+the next one of the one before, in the order of their texts.  A class is named by its least doc_id, null if all are null.
+Sets are told apart by 64-bit hashes of their spots: of n different ones two coincide with a chance of n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, shuffle_partitions, table
+from .common import checkpointed, if_few, map_rows, shuffle_partitions, table
+from .near_copies import grouped, prefix, recurring
 
 ANCHORS = frozenset("the a an of to and in is that for it was on are with as at be this by from der die das und ist ein eine den von zu mit auf für nicht sich des le la les de un une et en est que pour du des au el los las y es por con una se no".split())
 COMMON = ANCHORS | frozenset("or not have he she they you we his her their dem im als auch er sie wir il elle ne pas sur ce qui dans lo su al como más".split())
@@ -82,11 +87,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n] if n else text
 
 
-def op10(spark, sf_dir: str) -> DataFrame:
+def node(a: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(a.tobytes())).view(np.int64))
+
+
+def keys(a: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """The index keys of a set: the spots of its prefix under its partition of lengths, and under the one below."""
+    p = len(a).bit_length() - 1
+    parts = [p, p - 1] if 0.8 * len(a) < 1 << p and p else [p]
+    first = prefix(a, often, 1)
+    mixed = [(first ^ np.uint64(0x9E3779B97F4A7C15 * (q + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9) for q in parts]
+    return np.stack(mixed, 1).ravel().view(np.int64).tolist()
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(node, class_id) of each different set of spots."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    often = recurring(docs.select(F.xxhash64("text").alias("node"), "text"), spots)
+
+    def index(found):
+        for i, text in found:
+            a = spots(text)
+            yield i, node(a), len(a), keys(a, often)
+
+    fields = [("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))]
+    rows = map_rows(docs.select("id", "text"), index, fields, "id long, node long, n int, keys array<long>", 1024)
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    # the place of a spot in its set's order: keys of both partitions stand side by side
+    held = nodes.select("node", "n", F.size("keys").alias("k"), F.posexplode("keys").alias("i", "key")).select("key", "node", "n", F.expr("cast(i div (k div (n div 5 + 1)) as int)").alias("i"))
+    held = checkpointed(held.join(held.groupBy("key").count().where("count > 1").select("key"), "key"))
+    alone = checkpointed(held.groupBy("node").agg((-F.count("*")).cast("int").alias("own")))
+    wanted = if_few(alone.select("node"))
+
+    def whole(found):
+        for (text,) in found:
+            a = spots(text)
+            yield node(a), a.view(np.int64).tolist()
+
+    # texts of equal sets: the one of the least id stands for them; without any, all do
+    one = docs.join(if_few(nodes.join(wanted, "node", "left_semi").select("id").distinct()), "id", "left_semi").unionByName(docs.where("id is null"))
+    sets = map_rows(one.select("text"), whole, [("node", pa.int64()), ("held", pa.list_(pa.int64()))], "node long, held array<long>", 1024)
+    sets = checkpointed(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held")))
+    none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    group = grouped(held.join(alone, "node"), sets, none)
+    of = nodes.select("node", "id").join(group.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
+    of = checkpointed(of)
+    return checkpointed(of.join(of.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("node", "class_id"))
+
+
+FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("node", pa.int64())]
+DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, node long"
+
+
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """The columns of DDL: each row with its edited text and the next document; node is that of near_classes()."""
     def row(doc_id, text, following):
         new = edited(text, following)
         a, b, c = spots(text), spots(new), spots(following)
-        return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), digest(a), digest(b), likeness(a, b), likeness(a, c)
+        return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), digest(a), digest(b), likeness(a, b), likeness(a, c), node(a)
 
     def run(found):
         last = None
@@ -95,31 +153,10 @@ def op10(spark, sf_dir: str) -> DataFrame:
                 yield row(*last[1:], text)
             last = None if extra else (piece, doc_id, text)
 
-    fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-    return map_rows(with_next(table(spark, sf_dir, "documents")), run, fields, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", 1024)
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, spots array<long>)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    return map_rows(rows, lambda found: ((i, spots(t).view(np.int64).tolist()) for i, t in found), [("doc_id", pa.int64()), ("spots", pa.list_(pa.int64()))], "doc_id long, spots array<long>")
-
-
-def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) of each row, class the least doc_id of the same fingerprint; (a, b, likeness) of classes at least that alike."""
-    sigs = checkpointed(signatures(docs).withColumn("key", F.sha2(F.to_binary(F.concat_ws(",", F.col("spots").cast("array<string>")), F.lit("utf-8")), 256)))
-    sets = checkpointed(sigs.groupBy("key").agg(F.min("doc_id").alias("class"), F.first("spots").alias("spots")).where("class is not null"))
-    of = sigs.join(sets.select("key", "class"), "key").select("doc_id", "class")
-    one = sets.select("class", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
-    common = one.groupBy("spot").agg(F.count("*").alias("df"))
-    misses = F.floor(F.col("n") * (1 - least) + 1e-9) + 1
-    rare = one.join(common, "spot").where("df > 1").groupBy("class", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "spot"))), 1, 1 << 30).alias("held"), F.count("*").alias("shared"))
-    # spots of one set alone come first in the order; what is left of the prefix is indexed
-    prefix = rare.withColumn("take", F.greatest(misses - (F.col("n") - F.col("shared")), F.lit(0)).cast("int")).where("take > 0").select("class", "n", F.explode(F.expr("slice(held, 1, take)")).alias("s")).select("class", "n", F.col("s.spot").alias("spot"))
-    part = F.floor(F.log("n") / math.log(1 / least)).cast("int")
-    left = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "spot", part.alias("p"))
-    right = prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), "spot", F.explode(F.array(part, part - 1)).alias("p"))
-    met = left.join(right, ["spot", "p"]).where(f"a <> b and nb >= na and na >= nb * {least} - 1e-9").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = met.join(sets.select(F.col("class").alias("a"), F.col("spots").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("spots").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return of, both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("likeness")).where(F.col("likeness") >= least - 1e-12)
+    return map_rows(with_next(docs), run, FIELDS, DDL, 1024)
+
+
+def op10(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classes = near_classes(docs)
+    return fingerprinted(docs).join(classes, "node").drop("node")
