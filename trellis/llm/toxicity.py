@@ -1,21 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause's words in step: insults (a weighted lexicon of words and word beginnings, plain or
-faint), threats (phrases), targets (persons spoken of or to), negation (for the words after it), reported speech (for
-the rest of the clause).  Their composition turns a clause into a class: what was matched (insult, faint insults alone,
-threat), whether at a target, whether negated, whether reported.  A document's score is the logistic of the weighted
-counts of its clauses' classes and of the insults in them that are neither negated nor reported, so a matched clause
-counts by its make-up, not by single words.
+Five transducers stand in a row; each reads the letters that the one before writes: insults (a weighted lexicon of words
+and word beginnings, plain or faint, says what a word is), threats (phrases), targets (persons spoken of or to), negation
+(for the words after it), reported speech (for the rest of the clause, from its word on).  They are composed into one
+machine, whose arcs are made when they are first taken.  It reads a clause and adds up the weights of the arcs by what
+was matched and how it stands: live, negated or reported.  That gives a clause its class: insult, insults, faint ones alone,
+threat or both; at a target or plain, or, where nothing live was matched, negated or reported.  A document's score is
+the logistic of its clauses' classes and of the lexicon weights of its live insults, so a matched clause counts by its
+make-up, not by single words.
 
 Insult lexicon and weights are learned from labels: of the labelled rows given for training, at most TRAIN (those with
 the least hash of their id) are read; a greedy cover takes the words and beginnings that mark most toxic texts not yet
-explained and hardly any others.  Faint ones are those that other texts may hold once but hardly ever twice.  Then
-logistic regression weighs the classes.  Equal texts count once.  Labels, language, source and id are not inputs of a
-score.
+explained and hardly any others; a term's weight is its evidence in the labels.  Faint ones are those that other texts
+may hold once but hardly ever twice.  Then logistic regression weighs the classes.  Equal texts count once, as toxic if
+any of them is labelled so.  Labels, language, source and id are not inputs of a score.
 
 Defined results: null and empty texts match nothing and get the score of a text without matched clauses; labels that
 are null, of unknown ids, or null ids aren't learned from; with no toxic example, or no label, the lexicon is empty and
-the scores are the (low) base rate; rows that repeat a doc_id are scored each.
+the scores are the (low) base rate; rows that repeat a doc_id are scored each; texts of any length are read whole, clause
+by clause; columns of docs may have any names but that of the score.
 """
 
 from __future__ import annotations
@@ -31,27 +34,29 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_rows, table
 
-TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 19, 0.3
+TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 18, 0.3
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 TARGETS = frozenset("you your yours u he she they them him her his their people these those du dich dir ihr euch sie tu toi te vous votre ton ils elles tú usted ustedes ellos ella".split())
 NEGATION = frozenset("not no never isn't aren't wasn't don't nobody neither nicht kein keine nie niemals ne pas jamais aucun nunca ningún tampoco".split())
 REPORT = frozenset("said says say told claims claimed quoted quote reported wrote called sagte sagt behauptet schrieb dit disait affirme écrit dijo dice afirma escribió".split())
 THREATS = tuple(tuple(p.split()) for p in ("i will kill", "i'll kill", "kill you", "kill yourself", "hurt you", "find you", "burn you", "you will die", "you deserve to die", "hope you die", "ich bring dich um", "bringe dich um", "je vais te tuer", "te tuer", "voy a matarte", "te voy a matar"))
-THREAT_STARTS = {}
-for _p in THREATS:
-    THREAT_STARTS.setdefault(_p[0], []).append(_p)
+THREAT_STARTS = {p[0] for p in THREATS}
 NEGATED_WORDS = 3
-#: insult strength 1 or 2 and more, faint ones alone, threat, both; each plain or at a target, negated, reported.
-CLASSES = [f"{m}/{t}" for m in ("insult", "insults", "faint", "threat", "both") for t in ("plain", "target", "negated", "reported")]
+KINDS = ("insult", "insults", "faint", "threat", "both")
+CLASSES = [f"{m}/{t}" for m in KINDS for t in ("plain", "target", "negated", "reported")]
 AT = {c: i for i, c in enumerate(CLASSES)}
-#: After the classes: insults, faint insults, whether there are two and three faint ones.
+#: After the classes: weight of live insults, number of live faint ones, whether there are two and three of these.
 N_FEATURES = len(CLASSES) + 4
 #: Marks a term that stands in a text at least twice; how many clean texts may hold a term for each toxic one.
 TWICE, CLEAN, CLEAN_TWICE = "*2", 0.02, 0.25
 #: Clean texts without a match that are presumed besides the labelled ones: so few labels, or toxic ones alone, condemn nothing.
 PRESUMED = 20
 NO_INSULTS = TARGETS | NEGATION | REPORT
+#: What a letter says of its word, and, as machines add to it, of the match that ends there.
+INSULT, FAINT, THREAT, TARGET, NEGATOR, REPORTER, NEGATED, REPORTED = (1 << i for i in range(8))
+MATCH = INSULT | FAINT | THREAT
+THREAT_WORDS = {w for p in THREATS for w in p}
 
 
 def terms_of(word: str) -> list[str]:
@@ -59,61 +64,124 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in range(4, min(8, len(word))))]
 
 
-class Grammar:
-    """The composed machine; its state after a word is (insults, faint ones, threat, target, words still negated, negated, reported)."""
+class Insults:
+    """One state; writes what the lexicon and the fixed lists say of a word, with the lexicon's weight for it."""
+
+    start = ()
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.known = lexicon, {}
 
-    def insult(self, word: str) -> int:
-        """2 for an insult, 1 for a faint one."""
+    def letter(self, word: str) -> tuple[tuple[int, str], float]:
+        """((what it is, the word if a threat may hold it), weight)."""
         hit = self.known.get(word)
         if hit is None:
             if len(self.known) > KNOWN:
                 self.known.clear()
-            terms = terms_of(word)
-            hit = self.known[word] = 2 if any(t in self.lexicon for t in terms) else int(any(t + TWICE in self.lexicon for t in terms))
+            terms, bits = terms_of(word), TARGET * (word in TARGETS) | NEGATOR * (word in NEGATION) | REPORTER * (word in REPORT)
+            weight = max((self.lexicon.get(t, 0.0) for t in terms), default=0.0)
+            if not weight and (weight := max((self.lexicon.get(t + TWICE, 0.0) for t in terms), default=0.0)):
+                bits |= FAINT
+            elif weight:
+                bits |= INSULT
+            hit = self.known[word] = (bits if not bits & (NEGATOR | REPORTER) else bits & ~MATCH, word if word in THREAT_WORDS else ""), weight
         return hit
 
-    def step(self, state: tuple, words: list[str], i: int) -> tuple:
-        n, faint, threat, target, scope, negated, reported = state
-        w = words[i]
-        if w in NEGATION:
-            return n, faint, threat, target, NEGATED_WORDS, negated, reported
-        if w in REPORT:
-            return n, faint, threat, target, scope, negated, True
-        target = target or w in TARGETS
-        danger = any(tuple(words[i : i + len(p)]) == p for p in THREAT_STARTS.get(w, ()))
-        if danger or (hit := self.insult(w)):
-            if scope:
-                negated = True
-            elif danger:
-                threat = True
-            else:
-                n, faint = n + (hit == 2), faint + (hit == 1)
-        return n, faint, threat, target, max(0, scope - 1), negated, reported
-
-    def read(self, words: list[str]) -> tuple[str | None, int, int]:
-        """(class, insults, faint ones); those that are reported don't count."""
-        state = (0, 0, False, False, 0, False, False)
-        for i in range(len(words)):
-            state = self.step(state, words, i)
-        n, faint, threat, target, _, negated, reported = state
-        if not (n or faint or threat):
-            return ("insult/negated" if negated else None), 0, 0
-        kind = "both" if n and threat else "threat" if threat else "insult" if n == 1 else "insults" if n else "faint"
-        return f"{kind}/{'reported' if reported else 'target' if target else 'plain'}", n * (not reported), faint * (not reported)
-
-    def clause(self, words: list[str]) -> str | None:
-        return self.read(words)[0]
+
+class Threats:
+    """Its state is the longest end of what was read that begins a phrase; a phrase that ends is marked."""
+
+    start = ()
+    begins = {p[:n] for p in THREATS for n in range(len(p) + 1)}
+
+    def step(self, state: tuple, letter: tuple[int, str]) -> tuple[tuple, int]:
+        bits, word = letter
+        state = (*state, word)
+        hit = any(state[-len(p) :] == p for p in THREATS)
+        while state not in self.begins:
+            state = state[1:]
+        return state, bits | THREAT * hit
+
+
+class Targets:
+    """Its state is whether the clause has spoken of or to a person."""
+
+    start = False
+
+    def step(self, state: bool, bits: int) -> tuple[bool, int]:
+        return state or bool(bits & TARGET), bits
+
+
+class Negation:
+    """Its state is how many words are still negated."""
+
+    start = 0
+
+    def step(self, state: int, bits: int) -> tuple[int, int]:
+        if bits & NEGATOR:
+            return NEGATED_WORDS, bits
+        return max(0, state - 1), bits | NEGATED * bool(state and bits & MATCH)
+
+
+class Report:
+    """Its state is whether a word of saying was read."""
+
+    start = False
+
+    def step(self, state: bool, bits: int) -> tuple[bool, int]:
+        return state or bool(bits & REPORTER), bits | REPORTED * bool(state and bits & MATCH)
+
+
+class Composed:
+    """Machines in a row as one; its arcs are kept once made (states and letters are few)."""
+
+    def __init__(self, *machines):
+        self.machines, self.start, self.arcs = machines, tuple(m.start for m in machines), {}
+
+    def step(self, state: tuple, letter) -> tuple[tuple, int]:
+        arc = self.arcs.get((state, letter))
+        if arc is None:
+            to, out = [], letter
+            for m, s in zip(self.machines, state, strict=True):
+                s, out = m.step(s, out)
+                to.append(s)
+            arc = self.arcs[state, letter] = tuple(to), out
+        return arc
+
+
+class Grammar:
+    def __init__(self, lexicon: dict[str, float]):
+        self.insults, self.rest = Insults(lexicon), Composed(Threats(), Targets(), Negation(), Report())
+
+    def read(self, words: list[str]) -> tuple[str | None, float, int]:
+        """(class, weight of live insults, live faint ones) of a clause."""
+        state, step, letter = self.rest.start, self.rest.step, self.insults.letter
+        weight = 0.0
+        n = {how: [0, 0, 0] for how in (0, NEGATED, REPORTED)}
+        for w in words:
+            x, worth = letter(w)
+            state, out = step(state, x)
+            if out & MATCH:
+                how = REPORTED if out & REPORTED else out & NEGATED
+                n[how][0] += bool(out & INSULT)
+                n[how][1] += bool(out & FAINT)
+                n[how][2] += bool(out & THREAT)
+                weight += worth if out & INSULT and not how else 0.0
+        for how in (0, NEGATED, REPORTED):
+            strong, faint, threat = n[how]
+            if strong or faint or threat:
+                kind = "both" if strong and threat else "threat" if threat else "insult" if strong == 1 else "insults" if strong else "faint"
+                stands = "negated" if how == NEGATED else "reported" if how else "target" if state[1] else "plain"
+                return f"{kind}/{stands}", weight, n[0][1]
+        return None, 0.0, 0
 
     def features(self, text: str) -> np.ndarray:
-        """log(1 + number of clauses) of each class, log(1 + number) of insults and faint ones, and the steps of the latter."""
+        """log(1 + number of clauses) of each class, log(1 + weight) of live insults, that of faint ones, and their steps."""
         out = np.zeros(N_FEATURES)
-        insults = faints = 0
+        insults, faints, letter = 0.0, 0, self.insults.letter
         for c in CLAUSE.split(text.lower()):
             words = WORD.findall(c)
-            if any(map(self.insult, words)) or not THREAT_STARTS.keys().isdisjoint(words):
+            if any([letter(w)[0][0] & MATCH for w in words]) or not THREAT_STARTS.isdisjoint(words):
                 k, n, faint = self.read(words)
                 if k:
                     out[AT[k]] += 1
@@ -182,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains) -> tuple[dict[str, float], n
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN)  # the documented bound
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = checkpointed(texts.select("doc_id", "toxic", "text", F.xxhash64("text").alias("h")))
-    once = sample.join(sample.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), ["h", "doc_id", "toxic"]).select("toxic", "text")
+    once = sample.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("toxic", "text")
 
     def terms(found):
         for toxic, text in found:
