@@ -22,9 +22,14 @@ ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("body", pa.bina
 ANSWERED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary())])
 
 
-def parts(df: DataFrame) -> int:
-    """Hash partitions of a question: twice the shuffle partitions, so a group of answers is a small share of a task."""
-    return 2 * shuffle_partitions(df)
+#: Blocks for each hash partition at most: a partition gets a share of all, some tens of MB.
+BLOCKS_EACH = 8
+
+
+def parts(blocks: DataFrame) -> int:
+    """Hash partitions of a question about packed blocks: by their number, so that a partition's share fits in memory however
+    large the input is; twice the shuffle partitions at least, so that it is a small share of a task."""
+    return max(2 * shuffle_partitions(blocks), -(-blocks.count() // BLOCKS_EACH))
 
 
 def pack(docs: DataFrame, encode, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -50,7 +55,7 @@ def pack(docs: DataFrame, encode, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")  # a plan that may still change doesn't say how the checkpoint is partitioned
     try:
-        return checkpointed(docs.mapInArrow(run, "block long, payload binary").repartition(shuffle_partitions(docs), "block").sortWithinPartitions("block"))
+        return checkpointed(docs.mapInArrow(run, "block long, payload binary").repartition(shuffle_partitions(docs), "block").sortWithinPartitions("block"), release=True)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -73,7 +78,7 @@ def answer(asked: DataFrame, reply) -> DataFrame:
         said = [(to[i] if i < len(to) else -1, found[0][1], squeeze(x)) for i, x in enumerate(reply(found[0][1], [unsqueeze(r[2]) for r in found]))]
         return pa.Table.from_batches([batch_of(ANSWERED, said)])
 
-    return checkpointed(asked.groupBy("part").applyInArrow(run, "block long, part int, body binary"))
+    return checkpointed(asked.groupBy("part").applyInArrow(run, "block long, part int, body binary"), release=True)
 
 
 def asides(answers: DataFrame) -> list:

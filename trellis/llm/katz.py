@@ -65,7 +65,7 @@ class Unigrams:
         return np.where(c > 0, discounted(c, self.d) / max(self.seen_of, 1), self.unknown)
 
 
-def encode(n_parts: int, held_by: int, held_is: int):
+def encode(held_by: int, held_is: int):
     def run(held: list[tuple]) -> tuple:
         of: dict[bytes, int] = {b"": 0}
         word, lens = [], []
@@ -75,15 +75,16 @@ def encode(n_parts: int, held_by: int, held_is: int):
             word += [of.setdefault(x, len(of)) for x in w]
             word.append(0)
         vocab = list(of)
-        part = np.fromiter((xxhash.xxh32_intdigest(x) for x in vocab), np.int64) % n_parts
+        part = np.fromiter((xxhash.xxh32_intdigest(x) for x in vocab), np.int64) >> 1
         out = np.array([remainder(i, held_by) == held_is for i, _ in held])
         return b"\n".join(vocab), part.astype(np.int32), np.array(word, np.int32), np.array(lens, np.int64), [i for i, _ in held], out
 
     return run
 
 
-def ask_words(payload):
+def ask_words(payload, n_parts: int):
     vocab, part, word, lens, _, out = payload
+    part = part % n_parts
     count = np.bincount(word[~np.repeat(out, lens)], minlength=len(part)).astype(np.int64)
     vocab = vocab.split(b"\n")
     order, cuts = by_part(part)
@@ -112,6 +113,7 @@ class Bigrams:
 
     def __init__(self, payload, got, n_parts: int, hot: int):
         _, part, self.word, self.lens, self.ids, self.out = payload
+        part = part % n_parts
         self.count, number = gathered(part, got, 0, np.int64), gathered(part, got, 1, np.int64)
         v = len(part)
         history = np.r_[v, self.word[:-1]].astype(np.int64) if len(self.word) else np.empty(0, np.int64)
@@ -163,9 +165,9 @@ def reply_bigrams(uni: Unigrams, n_parts: int):
 
 def katz_scores(docs: DataFrame, held_by: int = 7, held_is: int = 2) -> DataFrame:
     """The columns of DDL for each row; documents with crc32(doc_id) mod held_by = held_is don't train."""
-    n_parts = parts(docs)
-    blocks = pack(documents(docs), encode(n_parts, held_by, held_is))
-    words = answer(ask(blocks, ask_words), reply_words(n_parts))
+    blocks = pack(documents(docs), encode(held_by, held_is))
+    n_parts = parts(blocks)
+    words = answer(ask(blocks, lambda payload: ask_words(payload, n_parts)), reply_words(n_parts))
     uni = Unigrams(asides(words))
     hot = max(64, uni.n // (8 * n_parts))
 

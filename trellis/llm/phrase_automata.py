@@ -5,23 +5,24 @@ starts earlier (in a smaller doc_id, or earlier in the same document).
 
 1. Phrases: of the 8-word phrases in a window, the one with the least hash stands for it, so equal windows have equal
    phrases.  Each block of documents tells every hash partition its distinct standing phrases (about 14 in 100 words),
-   and hears which of them recur anywhere.
-2. Automata: each block compiles an Aho-Corasick automaton (pyahocorasick, over word numbers) of its own recurring
-   phrases, a shard whose size is bounded by that of the block, and streams its documents through it.  What it
-   locates are all windows that can recur.
-3. Confirmation: of these alone, whole windows are compared by 64-bit hashes; a partition says of each whether the
-   block holds its first place.  All later places go.
+   and hears which of them recur anywhere, and which stand in many blocks: of these, one block is told to speak for them.
+2. Passages: where all phrases of a stretch are so, its speaker hands in the words, with their place.  Those in most blocks
+   are confirmed, up to a bounded number of bytes, and compiled into Aho-Corasick automata (pyahocorasick), in shards.
+3. Automata: all documents are streamed through the shards.  An occurrence after the speaker's place is settled, word by
+   word: its windows go, and are not asked about.  So a passage that stands everywhere costs no partition anything.
+4. The rest, exactly: of all other windows whose phrase recurs, 128-bit hashes go to partitions, which say of each whether
+   the block holds its first place.  All later places go.  The first place of a window is never settled, so it is there.
 
 Defined results: a null or empty text has no words; a text of fewer than 20 words loses nothing; a null doc_id comes
 before all others; rows that repeat a doc_id count as documents of their own, in the order of their texts within a
-block, of their blocks otherwise.  Hashes are of 64 bits: two different windows of n are taken as equal with a chance
-of about n * n / 2 ** 65.
+block, of their blocks otherwise; texts of any length are read whole; columns of docs keep any names but those of the
+operator's own.  Two different windows of n are taken as equal with a chance of about n * n / 2 ** 129.
 """
 
 from __future__ import annotations
 
-
 import zlib
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import answer, answered, ask, by_part, opened, pack, parts
-from .common import rows, table, unsqueeze
+from .common import map_rows, rows, table, unsqueeze
 
 WINDOW, PHRASE = 20, 8
+#: A phrase in so many blocks is common; windows in one passage at most; bytes of all confirmed passages and of a shard.
+COMMON, PIECE, PASSAGE_BYTES, SHARD_BYTES = 8, 100, 1 << 20, 1 << 19
 NULL_ID = -(1 << 63)
 KEPT = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.BinaryType())]
 
@@ -46,12 +49,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
+def rolling(h: np.ndarray, k: int, by: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A hash of each run of k items."""
     n = max(0, len(h) - k + 1)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        out = out * np.uint64(by) + h[j : j + n]
     return mixed(out)
 
 
@@ -93,57 +96,115 @@ class Windows:
             better = self.phrases[j : j + n] < least
             least[better], stands[better] = self.phrases[j : j + n][better], j
         self.stands = self.at + stands[self.at]
-        self.hash = lambda: rolling(h, WINDOW)[self.at]
+        self.words = h
+
+    def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each chosen window."""
+        at = self.at[chosen]
+        return rolling(self.words, WINDOW)[at], rolling(mixed(self.words), WINDOW, 0xD6E8FEB86659FD93)[at]
 
 
 def phrases_of(w: Windows, n_parts: int):
-    """(distinct standing phrases, a place of each, whether it has several, part of each)."""
-    at = np.unique(w.stands)
-    x, first, n = np.unique(w.phrases[at], return_index=True, return_counts=True)
-    return x, at[first], n > 1, (x % np.uint64(n_parts)).astype(np.int32)
+    """(distinct standing phrases, inverse of the windows', whether it has several places, part of each)."""
+    at, of_window = np.unique(w.stands, return_inverse=True)
+    x, of_place, n = np.unique(w.phrases[at], return_inverse=True, return_counts=True)
+    return x, of_place[of_window], n > 1, (x % np.uint64(n_parts)).astype(np.int32)
 
 
 def reply_recurring(_, bodies):
-    """For each phrase: does it have a second place, in this block or another?"""
+    """For each phrase: does it have a second place, in this block or another? Which of the common ones does the block speak
+    for (the one with the least id does), and in how many blocks is that?"""
     if not bodies:
         return
     x = np.concatenate([b[0] for b in bodies])
     many = np.concatenate([np.unpackbits(b[1], count=len(b[0])) for b in bodies]).astype(np.int64)
-    _, inverse = np.unique(x, return_inverse=True)
+    first = np.repeat(np.array([b[2] for b in bodies]), [len(b[0]) for b in bodies])
+    _, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
     yes = np.bincount(inverse, 1 + many)[inverse] > 1
-    for part in np.split(yes, np.cumsum([len(b[0]) for b in bodies])[:-1]):
-        yield (np.packbits(part),)
+    order = np.lexsort((first, inverse))
+    speaks = np.zeros(len(x), bool)
+    speaks[order[np.r_[0, np.cumsum(n)[:-1]]]] = True
+    spoken = np.where(speaks & (n[inverse] >= COMMON), n[inverse], 0)
+    at = np.cumsum([len(b[0]) for b in bodies])[:-1]
+    for part, times in zip(np.split(yes, at), np.split(spoken, at), strict=True):
+        yield np.packbits(part), np.flatnonzero(times), times[times > 0]
 
 
-def located(w: Windows, x, at, part, got) -> np.ndarray:
-    """Which windows hold a recurring phrase where their standing one is, by the block's automaton."""
+def heard(part: np.ndarray, got: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct phrase: whether it recurs, and in how many blocks if this one speaks for it."""
     order, cuts = by_part(part)
-    recurs = np.zeros(len(x), bool)
+    recurs, spoken = np.zeros(len(part), bool), np.zeros(len(part), np.int64)
     for p, s in cuts:
-        recurs[order[s]] = np.unpackbits(got[p][0], count=s.stop - s.start).astype(bool)
-    found = np.zeros(len(w.word), bool)
-    if recurs.any():
-        trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for a in at[recurs].tolist():
-            trie.add_word(tuple(w.word[a : a + PHRASE].tolist()), 1)
-        trie.make_automaton()
+        bits, at, times = got[p]
+        recurs[order[s]] = np.unpackbits(bits, count=s.stop - s.start).astype(bool)
+        spoken[order[s][at]] = times
+    return recurs, spoken
+
+
+def passages(w: Windows, spoken: np.ndarray):
+    """(words joined by spaces, doc_id, first word, in how many blocks at least) of stretches that the block speaks for."""
+    yes = spoken > 0
+    cut = np.flatnonzero(np.diff(np.r_[0, yes.astype(np.int8), 0]))
+    starts, vocab = np.r_[0, np.cumsum(w.lens)], None
+    for a, b in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True):
+        breaks = np.flatnonzero((np.diff(w.at[a:b]) != 1) | (np.diff(w.doc[w.at[a:b]]) != 0)) + a + 1
+        for i, j in zip([a, *breaks.tolist()], [*breaks.tolist(), b], strict=True):
+            for k in range(i, j, PIECE):
+                n, at = min(PIECE, j - k), int(w.at[k])
+                vocab = vocab or w.vocab.to_pylist()
+                doc = int(w.doc[at])
+                yield b" ".join([vocab[x] for x in w.word[at : at + n + WINDOW - 1].tolist()]), int(w.ids[doc]), at - int(starts[doc]), int(spoken[k : k + n].min())
+
+
+class Automata:
+    """Shards of confirmed passages (words, doc_id, first word)."""
+
+    def __init__(self, confirmed: list[tuple[bytes, int, int]]):
+        self.shards, size = [], SHARD_BYTES
+        for words, doc, at in confirmed:
+            if size >= SHARD_BYTES:
+                self.shards.append(ahocorasick.Automaton())
+                size = 0
+            text = f" {words.decode('latin-1')} "  # a character for each byte
+            if text not in self.shards[-1]:
+                self.shards[-1].add_word(text, (len(text), words.count(b" ") + 1, doc, at))
+            size += len(text)
+        for s in self.shards:
+            s.make_automaton()
+
+    def settled(self, w: Windows, texts: list[bytes]) -> np.ndarray:
+        """Which windows of the block's documents lie in a passage that a smaller doc_id holds."""
+        edge = np.zeros(len(w.word) + 1, np.int64)
         a = 0
-        for n in w.lens.tolist():
-            if n >= WINDOW:
-                ends = [e for e, _ in trie.iter(tuple(w.word[a : a + n].tolist()))]
-                found[np.array(ends, np.int64) + (a - PHRASE + 1)] = True
+        for doc, (n, text) in enumerate(zip(w.lens.tolist(), texts, strict=True)):
+            if n >= WINDOW and self.shards:
+                words = text.split()
+                line = f" {b' '.join(words).decode('latin-1')} "
+                id_, ends = w.ids[doc], None
+                for shard in self.shards:
+                    for e, (_, count, of, _) in shard.iter(line):
+                        if of < id_:
+                            if ends is None:
+                                ends = {e: k for k, e in enumerate(accumulate([len(x) + 1 for x in words]), 1)}
+                            last = a + ends[e]  # words before the passage's end
+                            edge[last - count] += 1
+                            edge[last - WINDOW + 1] -= 1
             a += n
-    return found[w.stands]
+        return np.cumsum(edge)[:-1][w.at] > 0
 
 
 def windows_of(w: Windows, may: np.ndarray, n_parts: int):
-    """(distinct hashes of windows that may recur in order of their first place, those places, inverse, part)."""
-    h = w.hash()[may]
-    x, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    order = np.argsort(first)
-    rank = np.empty(len(x), np.int64)
-    rank[order] = np.arange(len(x))
-    return x[order], w.at[may][first[order]], rank[inverse], (x[order] % np.uint64(n_parts)).astype(np.int32)
+    """(both hashes of the distinct windows that may recur in order of their first place, those places, inverse, part)."""
+    x, y = w.hashes(may)
+    order = np.lexsort((y, x))  # stable: of equal ones the first place comes first
+    new = np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])] if len(x) else np.empty(0, bool)
+    first, inverse = order[new], np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    by_place = np.argsort(first)
+    rank = np.empty(len(first), np.int64)
+    rank[by_place] = np.arange(len(first))
+    first = first[by_place]
+    return x[first], y[first], w.at[may][first], rank[inverse], (x[first] % np.uint64(n_parts)).astype(np.int32)
 
 
 def reply_first(part, bodies):
@@ -153,29 +214,30 @@ def reply_first(part, bodies):
         return
     if not bodies:
         return
-    x, doc = np.concatenate([b[0] for b in bodies]), np.concatenate([np.repeat(b[1], b[2]) for b in bodies])
+    x, y, doc = np.concatenate([b[0] for b in bodies]), np.concatenate([b[1] for b in bodies]), np.concatenate([np.repeat(b[2], b[3]) for b in bodies])
     block = np.repeat(np.arange(len(bodies)), [len(b[0]) for b in bodies])
-    order = np.lexsort((block, doc, x))
+    order = np.lexsort((block, doc, y, x))
     later = np.zeros(len(x), bool)
-    later[order[1:]] = x[order[1:]] == x[order[:-1]]
+    later[order[1:]] = (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
     for part in np.split(later, np.cumsum([len(b[0]) for b in bodies])[:-1]):
         yield (np.packbits(part),)
 
 
-def removed(w: Windows, n_parts: int, got: dict) -> np.ndarray:
-    """Which words go."""
-    may = next((np.unpackbits(x[0], count=len(w.at)).astype(bool) for p, x in got.items() if p < 0), np.zeros(len(w.at), bool))
-    x, first, inverse, part = windows_of(w, may, n_parts)
+def removed(kept: tuple, got: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each document, which words go) from what the block kept for itself and the partitions' answers."""
+    lens, places, ranks, part, settled = kept
+    at, rank, settled = np.cumsum(places), np.cumsum(ranks), np.cumsum(settled)
     order, cuts = by_part(part)
-    later = np.zeros(len(x), bool)
+    later = np.zeros(len(part), bool)
     for p, s in cuts:
         later[order[s]] = np.unpackbits(got[p][0], count=s.stop - s.start).astype(bool)
-    at = w.at[may]
-    at = at[later[inverse] | (at != first[inverse])]
-    edge = np.zeros(len(w.word) + 1, np.int64)
+    first = np.zeros(len(rank), bool)
+    first[np.unique(rank, return_index=True)[1]] = True
+    at = np.r_[at[later[rank] | ~first], settled]
+    edge = np.zeros(int(lens.sum()) + 1, np.int64)
     edge[at] += 1  # each place is there once
     edge[at + WINDOW] -= 1
-    return np.cumsum(edge)[:-1] > 0
+    return lens, np.cumsum(edge)[:-1] > 0
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -183,30 +245,33 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*(n for n, _ in KEPT))
     flat = docs.withColumn("text", F.col("text").cast("binary")).withColumn("__id", F.col("doc_id").cast("long"))
     schema = pa.schema([(f.name, pa.null()) for f in flat.schema])
-    n_parts = parts(docs)
     blocks = pack(flat, encode(schema))
+    n_parts = parts(blocks)
 
     def ask_phrases(payload):
-        x, _, many, part = phrases_of(Windows(payload), n_parts)
+        w = Windows(payload)
+        x, _, many, part = phrases_of(w, n_parts)
         order, cuts = by_part(part)
         for p, s in cuts:
-            yield p, (x[order[s]], np.packbits(many[order[s]]))
+            yield p, (x[order[s]], np.packbits(many[order[s]]), int(w.ids[0]))
 
-    recurring = answer(ask(blocks, ask_phrases), reply_recurring)
-    stage = answered(blocks, recurring)
+    stage = answered(blocks, answer(ask(blocks, ask_phrases), reply_recurring))
+    automata = docs.sparkSession.sparkContext.broadcast(confirmed(stage, n_parts))
 
     def ask_windows(payload, got):
         w = Windows(payload)
-        phrases, at, _, of_part = phrases_of(w, n_parts)
-        may = located(w, phrases, at, of_part, got)
-        if may.any():
-            yield -1 - (zlib.crc32(w.ids.tobytes()) & 0xFFFFF), (np.packbits(may),)  # spread, as many groups as blocks
-        x, first, _, part = windows_of(w, may, n_parts)
+        _, of_window, _, part = phrases_of(w, n_parts)
+        may = heard(part, got)[0][of_window]
+        settled = machines(automata).settled(w, payload[1])
+        may &= ~settled
+        x, y, first, rank, part = windows_of(w, may, n_parts)
+        change = lambda v: np.diff(v, prepend=0)  # noqa: E731  of numbers in a row: ones, which compress
+        yield -1 - (zlib.crc32(w.ids.tobytes()) & 0xFFFFF), (w.lens, change(w.at[may]), change(rank), part, change(w.at[settled]))  # spread, as many groups as blocks
         order, cuts = by_part(part)
         for p, s in cuts:
             doc = w.doc[first[order[s]]]
             runs = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            yield p, (x[order[s]], w.ids[doc[runs]], np.diff(np.r_[runs, len(doc)]))
+            yield p, (x[order[s]], y[order[s]], w.ids[doc[runs]], np.diff(np.r_[runs, len(doc)]))
 
     stage = answered(blocks, answer(ask(stage, ask_windows), reply_first))
     out = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in KEPT)])
@@ -217,14 +282,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def finish(batches):
         for b in batches:
             for _, payload, windows in rows(b):
-                p = unsqueeze(payload)
-                w = Windows(p)
-                gone = removed(w, n_parts, opened(windows))
+                _, texts, others = unsqueeze(payload)
+                got = opened(windows)
+                lens, gone = removed(next(x for p, x in got.items() if p < 0), got)
                 a, held = 0, []
-                for n, whole, r in zip(w.lens.tolist(), p[1], p[2], strict=True):
-                    stay = w.word[a : a + n][~gone[a : a + n]]
-                    kept = whole.split() if len(stay) == n else w.vocab.take(pa.array(stay)).to_pylist()
-                    held.append((*(v.decode() if i == text and v is not None else v for i, v in enumerate(r)), n, n - len(stay), b" ".join(kept)))
+                for n, whole, r in zip(lens.tolist(), texts, others, strict=True):
+                    words, out = whole.split(), gone[a : a + n]
+                    lost = int(out.sum())
+                    kept = [words[i] for i in np.flatnonzero(~out).tolist()] if lost else words
+                    held.append((*(v.decode() if i == text and v is not None else v for i, v in enumerate(r)), n, lost, b" ".join(kept)))
                     a += n
                     if len(held) == 256:
                         yield of(held)
@@ -238,6 +304,32 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return stage.mapInArrow(finish, out)
 
 
+_machines: list = []
+
+
+def machines(automata) -> Automata:
+    """The worker's own of what was broadcast; one is kept."""
+    passages = automata.value  # one object in a worker
+    if not _machines or _machines[0] is not passages:
+        _machines[:] = passages, Automata(passages)
+    return _machines[1]
+
+
+def confirmed(stage: DataFrame, n_parts: int) -> list[tuple[bytes, int, int]]:
+    """Passages (words, doc_id, first word) that stand in most blocks: at most PASSAGE_BYTES of words; other windows are asked about."""
+    def emit(found):
+        for _, payload, got in found:
+            w = Windows(unsqueeze(payload))
+            _, of_window, _, part = phrases_of(w, n_parts)
+            yield from passages(w, heard(part, opened(got))[1][of_window])
+
+    fields = [("words", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]
+    made = map_rows(stage, emit, fields, "words binary, doc long, at long, n long", 1024)
+    most = made.orderBy(F.desc("n"), "doc", "at").limit(PASSAGE_BYTES // (2 * WINDOW)).collect()  # a window has 2 * WINDOW - 1 bytes at least
+    size = np.cumsum([len(r["words"]) for r in most])
+    return [(bytes(r["words"]), r["doc"], r["at"]) for r, n in zip(most, size, strict=True) if n <= PASSAGE_BYTES]
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
