@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tests.llm.helpers import frame
 from trellis.llm import near_copies as m
 
@@ -60,6 +62,21 @@ def test_chains_and_groups_of_all_sizes(spark, monkeypatch):
     want = brute(rows)
     got = lambda: sorted(x.doc_id for x in m.one_of_each(frame(spark, rows)).collect())
     assert got() == want
-    monkeypatch.setattr(m, "FEW", 0)
+    monkeypatch.setattr(m, "MANY", 2)
+    assert got() == want
     monkeypatch.setattr(m, "ROUNDS", 2)
     assert got() == want
+
+
+def test_bands_find_what_is_alike():
+    """Of 4000 pairs of sets at a similarity just over 0.8, all share a key, on both sides of the bounds of length."""
+    r, none = np.random.default_rng(5), (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for n in (100, 160, 178, 190, 201, 240, 900, 5000):
+        for _ in range(500):
+            union = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            cut = int(0.1 * n)
+            a, b = np.unique(union[cut:]), np.unique(np.r_[union[: cut], union[2 * cut :]])
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            x, y = m.minima(a), m.minima(b)
+            assert not set(m.keys(a, x, none)[0]).isdisjoint(m.keys(b, y, none)[0]), n
+            assert sum(p == q for p, q in zip(m.signature(x), m.signature(y), strict=True)) >= m.EQUAL

@@ -34,17 +34,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return place.get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes df to the cluster's checkpoint folder and cuts its lineage.
 
-    What the step before needed (shuffle files) is then garbage, and is released.
+    release: what the steps before needed (shuffle files, earlier checkpoints) is then garbage; after large steps it is
+    dropped at once instead of whenever the driver happens to collect it.
     """
     checkpoint_dir(df.sparkSession)
     sc = df.sparkSession.sparkContext
     out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
+    if release:
+        del df
+        gc.collect()
+        sc._jvm.System.gc()
     return out
 
 
@@ -136,7 +138,7 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    now = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    now = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), release=True)
     before = None
     while (after := state(now)) != before and after[0]:
         before, now = after, checkpointed(rewire(rewire(now, True), False))

@@ -1,12 +1,20 @@
-"""One document of each group of near copies: every pair whose five-word shingles are alike, found by an exact prefix filter.
+"""One document of each group of near copies: pairs whose five-word shingles are alike, by an index, compared whole.
 
 Equal texts are one node.  Two nodes are linked if the Jaccard similarity of their sets of shingles is at least 0.8;
-linked nodes are a group.  In any common order of shingles, the first one that two such sets share is among the first
-fifth of each, so nodes are indexed under these.  The order puts shingles last that recur in a sample of texts; it
-decides what is compared, not what is found.  Pairs under a key are pruned by the places of the key in both and by
-sizes.  Large groups are joined first: SimHash fingerprints at most three bits apart, then rounds in which each key's
-members are compared with one of them, that with the fewest shingles of its own.  A pair is left out only if it was
-compared or its nodes are in one group already; what the rounds leave is compared pair by pair.
+linked nodes are a group.  A node has some 40 index keys at most, whatever its length:
+
+- Sets of at most SHORT shingles stand under the first fifth of them in a common order, an exact filter: the first one that two
+  such sets share is among these.  The order puts shingles last that recur in a sample of texts; it decides what is
+  compared, not what is found.
+- Larger ones (and those that can be alike to larger ones) stand under BANDS bands of ROWS minima each.  Of two sets of
+  similarity 0.8 each band is equal with a chance of 0.41, so that both lack a common key in 5 of 10 ** 8 cases; the more
+  alike, the fewer.
+
+Pairs under a key are pruned by sizes, by the places of the key in both, and by how many of BANDS x ROWS minima are equal: at a
+similarity of 0.8 fewer than EQUAL are so in 8 of 10 ** 8 cases.  Large groups are joined first: SimHash fingerprints
+at most three bits apart, then, under keys of more than MANY nodes, rounds of comparing all with one member, that with
+the fewest keys of its own.  A pair is left out only if it was compared or its nodes are in one group already; what the
+rounds leave is compared pair by pair.
 
 Defined results: a null text is empty, empty texts are equal; a text of fewer than five words is one shingle; the least
 doc_id of a group stays (null ids last), rows that repeat it with the same text are one, whose other columns are any
@@ -18,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +36,11 @@ from .simhash_variants import fingerprint, links, shingles
 WORDS, LEAST = 5, 0.8
 #: Texts that the order of shingles is estimated from, how often one recurs there to be put last, and how many are.
 SAMPLE, OFTEN, HOT = 3_000, 3, 1 << 16
-#: Rounds of comparing with one member at most, and pairs for each row of the index that are few enough to end them.
-ROUNDS, FEW = 6, 8
+#: Shingles of a set that stands under its first fifth at most; of one that may be alike to a larger one at least.
+SHORT, LONG = 200, 160
+BANDS, ROWS, EQUAL = 32, 4, 75
+#: Rounds of comparing with one member at most, and nodes of a key that are compared pair by pair without.
+ROUNDS, MANY = 3, 32
 LAST = (1 << 63) - 1
 
 
@@ -57,26 +69,65 @@ def prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], more: int = 2) -
     return h[np.lexsort((h, rank))[: len(h) // 5 + more]]
 
 
+def factors(n: int) -> np.ndarray:
+    """Odd numbers, always the same."""
+    return np.array([xxhash.xxh64_intdigest(f"minimum {i}") | 1 for i in range(n)], np.uint64)
+
+
+FACTORS = factors(BANDS * ROWS)
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least element of a set in each of BANDS x ROWS orders."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for a in range(0, len(h), 2048):
+        x = h[a : a + 2048, None] * FACTORS
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(0))
+    return least
+
+
+def signature(least: np.ndarray) -> bytes:
+    """A byte of each minimum; two that differ have equal bytes by chance at times, which only keeps a pair."""
+    return (least * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its minima."""
+    out = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BANDS, ROWS).T:
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def keys(h: np.ndarray, least: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], int]:
+    """(index keys of a set with these minima, how many of them, the first ones, are its prefix)."""
+    first = prefix(h, often) if len(h) <= SHORT else h[:0]
+    return np.r_[first, bands(least) if len(h) >= LONG else h[:0]].view(np.int64).tolist(), len(first)
+
+
 def sketches(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, node, fp, n, keys)."""
+    """(id, node, fp, n, first, sig, keys)."""
     def run(found):
         for i, node, text in found:
             words = shingles(text.lower().split(), WORDS)
             h = np.unique(np.array(words or [0], np.uint64))
-            yield i, node, fingerprint(words), len(h), prefix(h, often).view(np.int64).tolist()
+            least = minima(h)
+            held, first = keys(h, least, often)
+            yield i, node, fingerprint(words), len(h), first, signature(least), held
 
-    fields = [("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))]
-    return map_rows(docs, run, fields, "id long, node long, fp long, n int, keys array<long>", 1024)
+    fields = [("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    return map_rows(docs, run, fields, "id long, node long, fp long, n int, first int, sig binary, keys array<long>", 1024)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, set of 32-bit shingle hashes)."""
+    """(node, sig, set of 32-bit shingle hashes) of (node, sig, text)."""
     def run(found):
-        for node, text in found:
+        for node, sig, text in found:
             h = np.array(shingles(text.lower().split(), WORDS) or [0], np.uint64)
-            yield node, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()
+            yield node, sig, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()
 
-    return map_rows(docs, run, [("node", pa.int64()), ("held", pa.list_(pa.int32()))], "node long, held array<int>")
+    return map_rows(docs, run, [("node", pa.int64()), ("sig", pa.binary()), ("held", pa.list_(pa.int32()))], "node long, sig binary, held array<int>", 1024)
 
 
 def starred(df: DataFrame, key: str) -> DataFrame:
@@ -85,35 +136,70 @@ def starred(df: DataFrame, key: str) -> DataFrame:
     return df.join(least, key).where("a <> node").select("a", F.col("node").alias("b"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike, each once; few pairs go to the sets, of many the sets are shuffled."""
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    set_of = lambda x: sets.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures (node, sig) have EQUAL bytes in common at least."""
+    def run(batches):
+        bytes_of = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
+        for b in batches:
+            keep = (bytes_of(b.column(2)) == bytes_of(b.column(3))).sum(1) >= EQUAL
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], schema=PAIR)
+
+    sig_of = lambda x: sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
+    return pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike, each once, by nodes (node, sig, held); few pairs go to the sets, for many the sets are shuffled."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = checkpointed(plausible(pairs, nodes.select("node", "sig")))
+    set_of = lambda x: nodes.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
     one = set_of("a").join(if_few(pairs), "a")
     other = set_of("b").join(if_few(pairs.select("b").distinct()), "b", "left_semi")
     common = F.size(F.array_intersect("held_a", "held_b"))
     likeness = common / (F.size("held_a") + F.size("held_b") - common)
-    return checkpointed(one.join(other, "b").where(likeness >= LEAST).select("a", "b"))
+    return checkpointed(one.join(other, "b").where(likeness >= LEAST).select("a", "b"), release=True)
+
+
+def indexed(nodes: DataFrame, place: str = "pos") -> DataFrame:
+    """(key, node, n, i, m, own) of nodes (node, n, keys): keys that m > 1 nodes have, i the place of the key, own how many keys
+    of the node no other one has."""
+    one = nodes.select("*", F.size("keys").alias("k"), F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", F.expr(place).cast("int").alias("i"), "k")
+    held = checkpointed(one.join(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), release=True)
+    own = held.groupBy("node").agg((F.first("k") - F.count("*")).cast("int").alias("own"))
+    return checkpointed(held.drop("k").join(own, "node").select("key", "node", "n", "i", "m", "own"))
+
+
+#: Of two sets, all from the first shingle in common on at most: 0.8 of the union is 4 / 9 of both sizes; one more as above.
+MAY = "9 * (least({0}.n - {0}.i, {1}.n - {1}.i) + 1) >= 4 * ({0}.n + {1}.n) and {0}.c <> {1}.c"
+
+
+def mixed(held: DataFrame, group: DataFrame) -> DataFrame:
+    """(key, x, s): entries x under keys whose nodes are in several groups, s the one of these with the fewest keys of its own."""
+    now = held.join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("key", F.struct("own", "node", "n", "i", F.coalesce("component", "node").alias("c")).alias("x"), "m")
+    of = now.groupBy("key").agg(F.min("x").alias("s"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1")
+    return now.join(of.select("key", "s"), "key")
 
 
 def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) by all links of the index held (key, node, n, i, own); edges are links known before."""
-    # of two sets, all from the first shingle in common on at most: 0.8 of the union is 4 / 9 of both sizes; one more as above
-    may = "9 * (least({0}.n - {0}.i, {1}.n - {1}.i) + 1) >= 4 * ({0}.n + {1}.n) and {0}.c <> {1}.c"
-    for k in range(ROUNDS + 1):
-        group = checkpointed(components(edges))
-        now = held.join(group.withColumnRenamed("id", "node"), "node", "left").select("key", F.struct("own", "node", "n", "i", F.coalesce("component", "node").alias("c")).alias("x"))
-        mixed = now.groupBy("key").agg(F.min("x").alias("s"), F.count("*").alias("m"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
-        now = checkpointed(now.join(mixed, "key"))
-        size, pairs = now.agg(F.count("*"), F.sum((F.col("m") - 1) / 2)).first()
-        if not size:
-            return group
-        if k == ROUNDS or pairs <= FEW * size:
-            two = now.select("key", F.col("x").alias("p")).join(now.select("key", F.col("x").alias("q")), "key").where(f"p.node < q.node and {may.format('p', 'q')}")
-            return components(edges.unionByName(verified(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), sets)))
-        star = now.where(f"x.node <> s.node and {may.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b"))
+    """(id, component) by all links of what indexed() gives; edges are links known before."""
+    group = checkpointed(components(edges))
+    large = held.where(F.col("m") > MANY)
+    for _ in range(ROUNDS):
+        now = checkpointed(mixed(large, group))
+        if now.isEmpty():
+            large = large.limit(0)
+            break
+        star = now.where(f"x.node <> s.node and {MAY.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b"))
         edges = checkpointed(edges.unionByName(verified(star, sets)))
-        held = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "x.own")
+        group = checkpointed(components(edges))
+        large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m", "x.own")
+    left = held.where(F.col("m") <= MANY).unionByName(large)
+    now = checkpointed(mixed(left, group).select("key", "x"))
+    two = now.select("key", F.col("x").alias("p")).join(now.select("key", F.col("x").alias("q")), "key").where(f"p.node < q.node and {MAY.format('p', 'q')}")
+    return components(edges.unionByName(verified(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), sets)))
 
 
 def node_of(docs: DataFrame, text):
@@ -130,19 +216,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node.alias("node"), ids.alias("id"), text.cast("binary").alias("text"))
     often = recurring(own.select("node", "text"))
     rows = sketches(own.select("id", "node", "text"), often)
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "first", "sig", "keys"))), release=True)
     repeated = checkpointed(own.groupBy("node", "id").count().where("count > 1").select("node", "id"))
-    held = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
-    held = checkpointed(held.join(held.groupBy("key").count().where("count > 1").select("key"), "key"))
-    alone = held.groupBy("node").agg(F.expr("least(first(n), first(n) div 5 + 2) - count(*)").alias("own"))
-    wanted = checkpointed(alone.join(nodes.select("node", "id"), "node"))
-    sets = shingle_sets(own.join(if_few(wanted), ["node", "id"], "left_semi").select("node", "text"))
-    sets = checkpointed(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]))
+    held = indexed(nodes, "if(pos < first, pos, 0)")
+    wanted = checkpointed(nodes.select("node", "id", "sig").join(held.select("node").distinct(), "node"))
+    sets = shingle_sets(own.join(if_few(wanted), ["node", "id"]).select("node", "sig", "text"))
+    sets = checkpointed(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), release=True)
     fps = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(fps.select("fp")).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     near = near.join(fps.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb").select("a", "b")
     edges = verified(near.unionByName(starred(nodes.select("node", "fp"), "fp")), sets)
-    group = grouped(held.join(wanted.select("node", "own"), "node"), sets, edges).select(F.col("id").alias("node"), "component")
+    group = grouped(held, sets, edges).select(F.col("id").alias("node"), "component")
     of = nodes.select("node", "id").join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "id", "node")
     stays = of.groupBy("component").agg(F.min(F.struct("id", "node")).alias("s")).select("s.id", "s.node")
     stays = checkpointed(stays.join(repeated.withColumn("many", F.lit(True)), ["id", "node"], "left"))

@@ -187,7 +187,7 @@ def placed(length: np.ndarray, rank: np.ndarray, plan: list[tuple]) -> tuple[np.
 
 def packed(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFrame:
     """Each piece with its sequence_id and offset."""
-    cut = checkpointed(pieces(docs, path, room))
+    cut = checkpointed(pieces(docs, path, room), release=True)
     made = checkpointed(cut.groupBy("length", "task").agg(F.count("*").alias("n")))
     plan = docs.sparkSession.sparkContext.broadcast(best_fit({r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}, room))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

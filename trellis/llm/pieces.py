@@ -302,7 +302,7 @@ def encoded(docs: DataFrame, path: str | None = None, size: int = CHUNK, group:
     plain = map_rows(docs.where("not long").select("doc_id", "text"), short, fields, ddl)
     place = [("uid", pa.int64()), ("doc_id", pa.int64()), ("g", pa.int32()), ("k", pa.int32())]
     parts = map_rows(docs.where("long").select("doc_id", "text"), cut, [*place, ("text", pa.string()), ("at", pa.int32()), ("n", pa.int32())], "uid long, doc_id long, g int, k int, text string, at int, n int", 64)
-    made = checkpointed(map_rows(parts.repartition("uid", "k"), measured, [*place, ("t", pa.binary()), ("paths", pa.binary())], "uid long, doc_id long, g int, k int, t binary, paths binary", 64))
+    made = checkpointed(map_rows(parts.repartition("uid", "k"), measured, [*place, ("t", pa.binary()), ("paths", pa.binary())], "uid long, doc_id long, g int, k int, t binary, paths binary", 64), release=True)
     of_group = made.select("uid", "g", "k", "t").groupBy("uid", "g").applyInArrow(folded, "uid long, g int, t binary").groupBy("uid").applyInArrow(between_groups, "uid long, g int, a int, b int")
     ids = made.join(of_group, ["uid", "g"]).groupBy("uid", "g").applyInArrow(within_group, "uid long, doc_id long, g int, ids binary")
     return plain.unionByName(ids.groupBy("uid").applyInArrow(joined, ddl))

@@ -159,7 +159,7 @@ def classes(fps: DataFrame) -> DataFrame:
 
 def simhash_classes(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of each row."""
-    fps = checkpointed(fingerprints(docs, k))
+    fps = checkpointed(fingerprints(docs, k), release=True)
     return fps.join(classes(fps), "fp").select("doc_id", "fp", "component_id")
 
 

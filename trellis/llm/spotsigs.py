@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, if_few, map_rows, shuffle_partitions, table
-from .near_copies import grouped, prefix, recurring
+from .near_copies import grouped, indexed, minima, prefix, recurring, signature
 
 ANCHORS = frozenset("the a an of to and in is that for it was on are with as at be this by from der die das und ist ein eine den von zu mit auf für nicht sich des le la les de un une et en est que pour du des au el los las y es por con una se no".split())
 COMMON = ANCHORS | frozenset("or not have he she they you we his her their dem im als auch er sie wir il elle ne pas sur ce qui dans lo su al como más".split())
@@ -108,16 +108,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     def index(found):
         for i, text in found:
             a = spots(text)
-            yield i, node(a), len(a), keys(a, often)
+            yield i, node(a), len(a), signature(minima(a)), keys(a, often)
 
-    fields = [("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))]
-    rows = map_rows(docs.select("id", "text"), index, fields, "id long, node long, n int, keys array<long>", 1024)
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    fields = [("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    rows = map_rows(docs.select("id", "text"), index, fields, "id long, node long, n int, sig binary, keys array<long>", 1024)
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys"))), release=True)
     # the place of a spot in its set's order: keys of both partitions stand side by side
-    held = nodes.select("node", "n", F.size("keys").alias("k"), F.posexplode("keys").alias("i", "key")).select("key", "node", "n", F.expr("cast(i div (k div (n div 5 + 1)) as int)").alias("i"))
-    held = checkpointed(held.join(held.groupBy("key").count().where("count > 1").select("key"), "key"))
-    alone = checkpointed(held.groupBy("node").agg((-F.count("*")).cast("int").alias("own")))
-    wanted = if_few(alone.select("node"))
+    held = indexed(nodes, "pos div (size(keys) div (n div 5 + 1))")
+    wanted = checkpointed(nodes.select("node", "id", "sig").join(held.select("node").distinct(), "node"))
+    mine = wanted.select("node", "sig")
 
     def whole(found):
         for (text,) in found:
@@ -125,14 +124,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
             yield node(a), a.view(np.int64).tolist()
 
     # texts of equal sets: the one of the least id stands for them; without any, all do
-    one = docs.join(if_few(nodes.join(wanted, "node", "left_semi").select("id").distinct()), "id", "left_semi").unionByName(docs.where("id is null"))
+    one = docs.join(if_few(wanted.select("id").distinct()), "id", "left_semi").unionByName(docs.where("id is null"))
     sets = map_rows(one.select("text"), whole, [("node", pa.int64()), ("held", pa.list_(pa.int64()))], "node long, held array<long>", 1024)
-    sets = checkpointed(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held")))
+    sets = checkpointed(sets.join(if_few(mine), "node").groupBy("node").agg(F.first("sig").alias("sig"), F.first("held").alias("held")), release=True)
     none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    group = grouped(held.join(alone, "node"), sets, none)
+    group = grouped(held, sets, none)
     of = nodes.select("node", "id").join(group.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     of = checkpointed(of)
-    return checkpointed(of.join(of.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("node", "class_id"))
+    return checkpointed(of.join(of.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("node", "class_id"), release=True)
 
 
 FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("node", pa.int64())]

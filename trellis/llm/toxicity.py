@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains) -> tuple[dict[str, float], n
         for toxic, text in found:
             yield toxic, sorted(terms_in(text))
 
-    by_text = checkpointed(map_rows(once, terms, [("toxic", pa.int32()), ("terms", pa.list_(pa.string()))], "toxic int, terms array<string>"))
+    by_text = checkpointed(map_rows(once, terms, [("toxic", pa.int32()), ("terms", pa.list_(pa.string()))], "toxic int, terms array<string>"), release=True)
     by_term = by_text.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where(f"k >= {AT_LEAST} and n - k <= if(endswith(term, '{TWICE}'), {CLEAN_TWICE}, {CLEAN}) * k")
     held = by_term.collect()  # of a bounded sample
     clean = Counter({r.term: r.n - r.k for r in held})
