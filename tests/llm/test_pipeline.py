@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 from tests.llm.helpers import corpus, frame
@@ -71,3 +72,30 @@ def test_stages_take_empty_tables_and_nulls(spark, folder):
     nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (None, "text", None, None, None)], docs.schema)
     for name, stage in c.STAGES:
         assert stage(spark, nulls, folder).count() == (2 if name == "simhash_near_dedup" else 3), name
+
+
+def test_columns_with_the_operators_own_names_stay(spark, folder):
+    """Values of columns that are called like those of an operator come through all stages."""
+    own = ("kept", "n_words", "n_removed", "score", "node", "id", "own 2", "__id", "toxic_score", "spans")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for c in own:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")))
+    for name, stage in c_stages():
+        docs = stage(spark, docs, folder)
+        assert docs.columns[-len(own) :] == list(own), name
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in own)
+
+
+def c_stages():
+    return c.STAGES[:-1]
+
+
+def test_a_long_text_goes_through_all_stages(spark, tmp_path):
+    d = str(tmp_path)
+    long = " ".join(f"w{i % 9973}x{i}" for i in range(60_000)) + " write to me@example.org " + "you are fine " * 50
+    rows = [(1, long), (2, long + " and more"), (3, "short text")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = c.run(spark, d).collect()
+    assert {r.doc_id for r in got} == {1, 3} and sum(r.length for r in got if r.doc_id == 1) > 60_000

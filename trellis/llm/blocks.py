@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpointed, rows, shuffle_partitions, squeeze, unsqueeze
+from .common import batch_of, checkpointed, rows, shuffle_partitions, squeeze, trimmed, unsqueeze
 
 BLOCK_BYTES = 4 << 20
 PACKED = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
@@ -55,7 +55,7 @@ def pack(docs: DataFrame, encode, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")  # a plan that may still change doesn't say how the checkpoint is partitioned
     try:
-        return checkpointed(docs.mapInArrow(run, "block long, payload binary").repartition(shuffle_partitions(docs), "block").sortWithinPartitions("block"), release=True)
+        return checkpointed(docs.mapInArrow(trimmed(run), "block long, payload binary").repartition(shuffle_partitions(docs), "block").sortWithinPartitions("block"), release=True)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -67,7 +67,7 @@ def ask(blocks: DataFrame, emit) -> DataFrame:
             for r in rows(b):
                 yield batch_of(ASKED, [(p, r[0], squeeze(x)) for p, x in emit(unsqueeze(r[1]), *(opened(a) for a in r[2:]))])
 
-    return blocks.mapInArrow(run, "part int, block long, body binary")
+    return blocks.mapInArrow(trimmed(run), "part int, block long, body binary")
 
 
 def answer(asked: DataFrame, reply) -> DataFrame:
@@ -78,7 +78,7 @@ def answer(asked: DataFrame, reply) -> DataFrame:
         said = [(to[i] if i < len(to) else -1, found[0][1], squeeze(x)) for i, x in enumerate(reply(found[0][1], [unsqueeze(r[2]) for r in found]))]
         return pa.Table.from_batches([batch_of(ANSWERED, said)])
 
-    return checkpointed(asked.groupBy("part").applyInArrow(run, "block long, part int, body binary"), release=True)
+    return checkpointed(asked.groupBy("part").applyInArrow(trimmed(run), "block long, part int, body binary"), release=True)
 
 
 def asides(answers: DataFrame) -> list:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import pickle
 import tempfile
@@ -45,11 +47,16 @@ def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     out = df.checkpoint(eager=True)
     if release:
         del df
-        gc.collect()
-        sc._jvm.System.gc()
+        released(out.sparkSession)
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Drops what nothing refers to any more: shuffle files, checkpoints, broadcasts."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a few numbers that may be broadcast.
 FEW_ROWS = 1 << 18
 
@@ -77,6 +84,32 @@ def batch_of(schema: pa.Schema, found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def trimmed(fn):
+    """fn for mapInArrow or applyInArrow; when it ends, the worker gives freed memory back instead of keeping it for its next task."""
+    def give_back():
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+        if trim:
+            trim(0)
+
+    @functools.wraps(fn)
+    def run(given):
+        if isinstance(given, pa.Table):
+            try:
+                return fn(given)
+            finally:
+                give_back()
+        return batches(given)
+
+    def batches(given):
+        try:
+            yield from fn(given)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_rows(df: DataFrame, fn, fields: list[tuple[str, pa.DataType]], ddl: str, every: int = 256) -> DataFrame:
     """mapInArrow of fn(rows) -> tuples, in batches of at most `every` rows so that long rows stay bounded."""
     schema = pa.schema(fields)
@@ -90,7 +123,7 @@ def map_rows(df: DataFrame, fn, fields: list[tuple[str, pa.DataType]], ddl: str,
                 held = []
         yield batch_of(schema, held)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(trimmed(run), ddl)
 
 
 class _Planes:
@@ -143,3 +176,8 @@ def components(edges: DataFrame) -> DataFrame:
     while (after := state(now)) != before and after[0]:
         before, now = after, checkpointed(rewire(rewire(now, True), False))
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def removed_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answer, answered, asides, ask, by_part, gathered, opened, pack, parts
-from .common import batch_of, documents, remainder, rows, table, unsqueeze
+from .common import batch_of, documents, remainder, rows, table, trimmed, unsqueeze
 
 CUT = 5
 FIELDS = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
@@ -226,7 +226,7 @@ def katz_scores(docs: DataFrame, held_by: int = 7, held_is: int = 2) -> DataFram
                 base = np.log10((c + 1) / (uni.n + uni.v + 1))
                 yield batch_of(schema, list(zip(b.ids, b.out.tolist(), b.lens.tolist(), add((c > 0).astype(np.int64)), [uni.n] * len(b.ids), add(base), add(score(b, opened(g))[b.inverse]), strict=True)))
 
-    return answered(blocks, words, bigrams).mapInArrow(finish, DDL)
+    return answered(blocks, words, bigrams).mapInArrow(trimmed(finish), DDL)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, if_few, map_rows
+from .common import checkpointed, components, if_few, map_rows, trimmed
 from .simhash_variants import fingerprint, links, shingles
 
 WORDS, LEAST = 5, 0.8
@@ -39,8 +39,9 @@ SAMPLE, OFTEN, HOT = 3_000, 3, 1 << 16
 #: Shingles of a set that stands under its first fifth at most; of one that may be alike to a larger one at least.
 SHORT, LONG = 200, 160
 BANDS, ROWS, EQUAL = 32, 4, 75
-#: Rounds of comparing with one member at most, and nodes of a key that are compared pair by pair without.
-ROUNDS, MANY = 3, 32
+#: Rounds of comparing with one member at most, which end when fewer than WORTH of the pairs are alike; nodes of a key that are
+#: compared pair by pair without.
+ROUNDS, WORTH, MANY = 24, 0.02, 32
 LAST = (1 << 63) - 1
 
 
@@ -148,7 +149,7 @@ def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], schema=PAIR)
 
     sig_of = lambda x: sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -192,13 +193,18 @@ def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
         if now.isEmpty():
             large = large.limit(0)
             break
-        star = now.where(f"x.node <> s.node and {MAY.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b"))
-        edges = checkpointed(edges.unionByName(verified(star, sets)))
+        star = checkpointed(now.where(f"x.node <> s.node and {MAY.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b")).distinct())
+        found = verified(star, sets)
+        edges = checkpointed(edges.unionByName(found))
         group = checkpointed(components(edges))
         large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m", "x.own")
-    left = held.where(F.col("m") <= MANY).unionByName(large)
-    now = checkpointed(mixed(left, group).select("key", "x"))
-    two = now.select("key", F.col("x").alias("p")).join(now.select("key", F.col("x").alias("q")), "key").where(f"p.node < q.node and {MAY.format('p', 'q')}")
+        if found.count() < WORTH * star.count():
+            break
+    # of a key's largest group, members needn't be compared with each other
+    now = checkpointed(mixed(held.where(F.col("m") <= MANY).unionByName(large), group).select("key", "x"))
+    most = now.groupBy("key", "x.c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    outside = now.join(most, "key").where("x.c <> most").select("key", "most", F.col("x").alias("p"))
+    two = outside.join(now.select(F.col("key").alias("k"), F.col("x").alias("q")), F.expr(f"key = k and (q.c = most or p.node < q.node) and {MAY.format('p', 'q')}"))
     return components(edges.unionByName(verified(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), sets)))
 
 

@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import answer, answered, ask, by_part, opened, pack, parts
-from .common import map_rows, rows, table, unsqueeze
+from .common import map_rows, rows, table, trimmed, unsqueeze
 
 WINDOW, PHRASE = 20, 8
 #: A phrase in so many blocks is common; windows in one passage at most; bytes of all confirmed passages and of a shard.
-COMMON, PIECE, PASSAGE_BYTES, SHARD_BYTES = 8, 100, 1 << 20, 1 << 19
+COMMON, PIECE, PASSAGE_BYTES, SHARD_BYTES = 8, 100, 1 << 18, 1 << 17
+#: Bytes of text in a block.
+BLOCK = 2 << 20
 NULL_ID = -(1 << 63)
 KEPT = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.BinaryType())]
 
@@ -245,7 +247,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*(n for n, _ in KEPT))
     flat = docs.withColumn("text", F.col("text").cast("binary")).withColumn("__id", F.col("doc_id").cast("long"))
     schema = pa.schema([(f.name, pa.null()) for f in flat.schema])
-    blocks = pack(flat, encode(schema))
+    blocks = pack(flat, encode(schema), BLOCK)
     n_parts = parts(blocks)
 
     def ask_phrases(payload):
@@ -301,7 +303,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         columns = zip(*held, strict=True) if held else [[] for _ in arrow]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return stage.mapInArrow(finish, out)
+    return stage.mapInArrow(trimmed(finish), out)
 
 
 _machines: list = []

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpointed, components, documents, map_rows, table
+from .common import batch_of, checkpointed, components, documents, map_rows, table, trimmed
 
 SEED, MOST = 42, 3
 #: Members of a run that are compared outright; longer ones are split first.
@@ -145,7 +145,7 @@ def links(fps: DataFrame) -> DataFrame:
         if len(key):
             yield settle(key, x)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
 def classes(fps: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ No spot is too frequent to be an index key; no pair is left out but those that a
 Defined results: a null text is empty; a text without spots has one made of its whole text, so only equal ones are
 alike; the document after the last one is the first; null doc_ids come first; of rows that repeat a doc_id, each is
 the next one of the one before, in the order of their texts.  A class is named by its least doc_id, null if all are null.
-Sets are told apart by 64-bit hashes of their spots: of n different ones two coincide with a chance of n * n / 2 ** 65.
+Sets are told apart by 64-bit hashes of their spots (of n different ones two coincide with a chance of n * n / 2 ** 65) and
+compared by 32-bit hashes of them; a pair at the threshold is missed in 1 of 10 ** 7 cases (see near_copies).
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_few, map_rows, shuffle_partitions, table
-from .near_copies import grouped, indexed, minima, prefix, recurring, signature
+from .common import checkpointed, if_few, map_rows, released, shuffle_partitions, table
+from .near_copies import LAST, grouped, indexed, minima, prefix, recurring, signature
 
 ANCHORS = frozenset("the a an of to and in is that for it was on are with as at be this by from der die das und ist ein eine den von zu mit auf für nicht sich des le la les de un une et en est que pour du des au el los las y es por con una se no".split())
 COMMON = ANCHORS | frozenset("or not have he she they you we his her their dem im als auch er sie wir il elle ne pas sur ce qui dans lo su al como más".split())
@@ -102,7 +103,7 @@ def keys(a: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> list[int]:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """(node, class_id) of each different set of spots."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     often = recurring(docs.select(F.xxhash64("text").alias("node"), "text"), spots)
 
     def index(found):
@@ -111,27 +112,28 @@ def near_classes(docs: DataFrame) -> DataFrame:
             yield i, node(a), len(a), signature(minima(a)), keys(a, often)
 
     fields = [("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
-    rows = map_rows(docs.select("id", "text"), index, fields, "id long, node long, n int, sig binary, keys array<long>", 1024)
+    rows = map_rows(docs, index, fields, "id long, node long, n int, sig binary, keys array<long>", 1024)
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys"))), release=True)
     # the place of a spot in its set's order: keys of both partitions stand side by side
     held = indexed(nodes, "pos div (size(keys) div (n div 5 + 1))")
     wanted = checkpointed(nodes.select("node", "id", "sig").join(held.select("node").distinct(), "node"))
-    mine = wanted.select("node", "sig")
 
     def whole(found):
-        for (text,) in found:
+        for i, text in found:
             a = spots(text)
-            yield node(a), a.view(np.int64).tolist()
+            yield i, node(a), np.unique((a >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()
 
-    # texts of equal sets: the one of the least id stands for them; without any, all do
-    one = docs.join(if_few(wanted.select("id").distinct()), "id", "left_semi").unionByName(docs.where("id is null"))
-    sets = map_rows(one.select("text"), whole, [("node", pa.int64()), ("held", pa.list_(pa.int64()))], "node long, held array<long>", 1024)
-    sets = checkpointed(sets.join(if_few(mine), "node").groupBy("node").agg(F.first("sig").alias("sig"), F.first("held").alias("held")), release=True)
+    # of texts with equal sets, that of the least id stands for them
+    sets = map_rows(docs.join(if_few(wanted.select("id").distinct()), "id", "left_semi"), whole, [("id", pa.int64()), ("node", pa.int64()), ("held", pa.list_(pa.int32()))], "id long, node long, held array<int>", 1024)
+    sets = sets.join(if_few(wanted), ["node", "id"]).select("node", "sig", "held")
+    repeated = not docs.groupBy("id").count().where("count > 1").isEmpty()
+    sets = checkpointed(sets.dropDuplicates(["node"]) if repeated else sets, release=True)
     none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     group = grouped(held, sets, none)
     of = nodes.select("node", "id").join(group.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     of = checkpointed(of)
-    return checkpointed(of.join(of.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("node", "class_id"), release=True)
+    least = F.nullif(F.min("id"), F.lit(LAST)).alias("class_id")
+    return checkpointed(of.join(of.groupBy("root").agg(least), "root").select("node", "class_id"), release=True)
 
 
 FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("node", pa.int64())]
@@ -158,4 +160,5 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     classes = near_classes(docs)
+    released(spark)
     return fingerprinted(docs).join(classes, "node").drop("node")

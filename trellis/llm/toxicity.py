@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, table
+from .common import checkpointed, map_rows, table, trimmed
 
-TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 18, 0.3
+TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 17, 0.3
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 TARGETS = frozenset("you your yours u he she they them him her his their people these those du dich dir ihr euch sie tu toi te vous votre ton ils elles tú usted ustedes ellos ella".split())
@@ -287,7 +287,7 @@ def scored(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, colu
             score = [1 / (1 + math.exp(-float(g.features(t or "") @ weights[:-1] + weights[-1]))) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def held_out(doc_id):
