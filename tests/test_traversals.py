@@ -156,3 +156,35 @@ def test_random_graphs(spark, seed):
     for unique in (True, False):
         t = traverse.breadth_first(b, e, n(0), direction, max_depth=3, max_results=limit, semantics="contract" if unique else "literal")
         assert shown(t) == model(edges, missing, 0, 3, limit, direction, unique)
+
+
+def test_depth_first_is_the_same_read_whole_and_in_parts(spark):
+    """Random graphs with missing blocks, parallel edges and limits; depths reached included."""
+    r = random.Random(11)
+    for case in range(8):
+        size = r.randint(3, 9)
+        edges = [(r.randint(1, size), r.randint(1, size), CALLS) for _ in range(r.randint(2, 24))]
+        edges = [e for e in edges if e[0] != e[1]] or [(1, 2, CALLS)]
+        missing = {x for x in range(2, size + 1) if r.random() < 0.3}
+        b, e = make(spark, edges, {1}, missing)
+        for depth, most in ((1, 1000), (3, 2), (3, 4), (9, 1000)):
+            whole, parts = (traverse.depth_first(b, e, n(1), max_depth=depth, max_results=most, driver_edges=k) for k in (10**6, 0))
+            assert shown(whole) == shown(parts), (case, depth, most)
+            assert whole.max_depth_reached == parts.max_depth_reached, (case, depth, most)
+
+
+def test_large_steps_give_what_small_ones_give(spark, monkeypatch):
+    r = random.Random(12)
+    edges = [(r.randint(1, 8), r.randint(1, 8), CALLS) for _ in range(24)]
+    b, e = make(spark, [x for x in edges if x[0] != x[1]], {1}, {5, 6})
+    want = [(shown(t), t.max_depth_reached) for t in (traverse.breadth_first(b, e, n(1), max_depth=4, max_results=m, semantics=s) for m in (3, 100) for s in ("contract", "literal"))]
+    starts = b.select(b.id.alias("start"))
+    reached = sorted(map(tuple, traverse.reach(e, starts, max_depth=3, blocks=b).collect()))
+    monkeypatch.setattr(traverse, "MAX_STEP", 0)
+    monkeypatch.setattr("trellis.model.FEW_ROWS", 0)
+    assert [(shown(t), t.max_depth_reached) for t in (traverse.breadth_first(b, e, n(1), max_depth=4, max_results=m, semantics=s) for m in (3, 100) for s in ("contract", "literal"))] == want
+    assert sorted(map(tuple, traverse.reach(e, starts, max_depth=3, blocks=b).collect())) == reached
+    tree_b, tree_e = make(spark, CALL_TREE)
+    large = shown(graph.topological_sort(tree_b, tree_e, n(1)))
+    monkeypatch.undo()
+    assert shown(graph.topological_sort(tree_b, tree_e, n(1))) == large

@@ -124,16 +124,33 @@ def split_valid(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("error is null").drop("error"), marked.where("error is not null")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names (a temporary one only where it is unset), lineage cut."""
+def shared_folder(spark) -> str:
+    """The checkpoint folder, which driver and executors share, as the session names it; a temporary one only where all runs on one machine."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids that may be broadcast or brought to the driver.
+FEW_ROWS = 1 << 17
+
+
+def few(df: DataFrame) -> bool:
+    return df.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with its place (from 1) in a total order, without bringing all rows to one task.
 

@@ -152,6 +152,7 @@ class FilteredResult:
     blocks: DataFrame
     matches: DataFrame
     source: DataFrame
+    where: Column
     offset: int
     max_results: int
 
@@ -165,8 +166,10 @@ class FilteredResult:
         return not self.matches.select("id").orderBy("id").offset(self.offset + self.max_results).limit(1).isEmpty()
 
     def stats(self) -> FilterStats:
-        returned = self.blocks.count()
-        return FilterStats(self.source.count(), self.total_matches, returned, not self.has_more)
+        """From one pass over the blocks."""
+        n = self.source.agg(F.count("*").alias("all"), F.count_if(self.where).alias("matched")).first()
+        returned = min(max(n.matched - self.offset, 0), self.max_results)
+        return FilterStats(n["all"], n.matched, returned, n.matched <= self.offset + returned)
 
     def __iter__(self):
         return self.blocks.toLocalIterator(prefetchPartitions=False)
@@ -185,7 +188,7 @@ def filter_blocks(blocks: DataFrame, where: Expression, max_results: int = DEFAU
         raise InvalidQuery("InvalidOffset", str(offset))
     found = matching(blocks, where, semantics)
     page = found.orderBy("id").offset(offset).limit(max_results)
-    return FilteredResult(page, found, blocks, offset, max_results)
+    return FilteredResult(page, found, blocks, where.column(semantics), offset, max_results)
 
 
 def contains_text(blocks: DataFrame, text: str, **kw) -> FilteredResult:

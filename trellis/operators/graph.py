@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Direction, checkpointed, parse_id, ranked
+from ..model import Direction, checkpointed, few, parse_id, ranked
 from .traverse import ALL_EDGES, DEFAULT_DEPTH, DEFAULT_RESULTS, EdgeFilter, Traversal, neighbours, reach, validate
 
 ORDER = "rank long, id string, depth int, path array<string>"
@@ -22,6 +22,9 @@ def topological_layers(nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
     Layer 0 has no incoming edge; each round takes off the nodes that none of the rest points to.
     """
     nodes, pairs, out, layer = checkpointed(nodes.select("id")), checkpointed(pairs.select("at", "to").distinct()), None, 0
+    if few(nodes) and few(pairs):
+        found = _layers([r.id for r in nodes.collect()], [(r["at"], r.to) for r in pairs.collect()])
+        return None if found is None else nodes.sparkSession.createDataFrame(found, "id string, layer int")
     left = nodes.count()
     while left:
         free = nodes.join(pairs.select(F.col("to").alias("id")).distinct(), "id", "left_anti")
@@ -39,6 +42,26 @@ def topological_layers(nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
     return out
 
 
+def _layers(nodes: list[str], pairs: list[tuple[str, str]]) -> list[tuple[str, int]] | None:
+    """The same for a graph of bounded size, on the driver."""
+    into, out = dict.fromkeys(nodes, 0), {n: [] for n in nodes}
+    for a, b in pairs:
+        into[b] += 1
+        out[a].append(b)
+    now, found = [n for n in nodes if not into[n]], []
+    layer = 0
+    while now:
+        found += [(n, layer) for n in now]
+        later = []
+        for n in now:
+            for m in out[n]:
+                into[m] -= 1
+                if not into[m]:
+                    later.append(m)
+        now, layer = later, layer + 1
+    return found if len(found) == len(nodes) else None
+
+
 def _within(blocks: DataFrame, edges: DataFrame, start: str, direction: Direction, edge_filter: EdgeFilter, max_depth: int) -> DataFrame:
     """(id, depth) of the blocks that start reaches; none if it isn't a block."""
     here = blocks.where(F.col("id") == parse_id(start)).select(F.col("id").alias("start"))
@@ -54,12 +77,17 @@ def topological_sort(blocks, edges, start: str, edge_filter: EdgeFilter = ALL_ED
     spark = blocks.sparkSession
     nodes = _within(blocks, edges, start, Direction.OUTGOING, edge_filter, max_depth).select("id")
     near = neighbours(edges, Direction.OUTGOING, edge_filter).select("at", "to")
-    inside = near.join(nodes.withColumnRenamed("id", "at"), "at", "left_semi").join(nodes.withColumnRenamed("id", "to"), "to", "left_semi")
+    small = F.broadcast if few(nodes) else lambda x: x
+    inside = near.join(small(nodes.withColumnRenamed("id", "at")), "at", "left_semi").join(small(nodes.withColumnRenamed("id", "to")), "to", "left_semi")
     # an edge back to the start closes a cycle as well
     layered = topological_layers(nodes, inside)
     if layered is None:
         return Traversal(spark.createDataFrame([], ORDER), 0)
-    rows = ranked(layered, "layer", "id").select("rank", "id", (F.col("rank") - 1).cast("int").alias("depth"), F.array("id").alias("path"))
+    if few(layered):
+        rows = layered.withColumn("rank", F.row_number().over(Window.orderBy("layer", "id")).cast("long"))  # of a bounded number
+    else:
+        rows = ranked(layered, "layer", "id")
+    rows = rows.select("rank", "id", (F.col("rank") - 1).cast("int").alias("depth"), F.array("id").alias("path"))
     return Traversal(rows, rows.count())
 
 

@@ -3,10 +3,11 @@
 A level has at most `max_results` (10,000) rows that stand on a block: order inside a level is the order of their paths
 (outgoing edges before incoming ones, each by insertion, equal places by id), and a level that fills the limit by itself ends the traversal
 before the next one is seen, so later rows of it can't matter.  The frontier is therefore small by proof: each level is
-one job, which takes the frontier as a broadcast local relation, passes over the edges without shuffling them, and
-brings back the next frontier.
+one pass over the edges, which takes the frontier as a broadcast local relation and doesn't shuffle them; what it finds,
+while it is few, goes over the blocks in the same way, to tell which exist.
 
-`reach` has no limit: its frontiers stay distributed, are joined by shuffle and checkpointed.
+`reach` has no limit: a frontier that is counted to be small is broadcast to the edges; larger ones stay distributed and are
+joined by shuffle to edges that are checkpointed once.
 
 Semantics.  `contract`: each block once, at its least depth.  `literal`: walks that never come back to the start, so a
 block may come again by another path.  Edges to missing blocks are not followed or emitted.
@@ -21,11 +22,13 @@ from enum import IntEnum
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Direction, EdgeType, InvalidQuery, checkpointed, parse_id
+from ..model import Direction, EdgeType, InvalidQuery, checkpointed, few, parse_id
 
 MAX_DEPTH, MAX_RESULTS, DEFAULT_DEPTH, DEFAULT_RESULTS = 100, 10_000, 10, 1000
-#: A graph of so many edges (after the edge filter) is walked depth-first from one read of it.
+#: A graph of so many edges (after the edge filter) is walked depth-first from one read of it; the result is the same.
 DRIVER_EDGES = 200_000
+#: Rows of a step that are brought to the driver at most; of a larger step only those that can be emitted are.
+MAX_STEP = 50_000
 #: A block of a level and the way to it: each step's direction, place of the edge and block (which parts equal places).
 LEVEL = "id string, depth int, way array<struct<dir:int,seq:bigint,to:string>>"
 
@@ -128,8 +131,14 @@ def levels(blocks: DataFrame, edges: DataFrame, start: str, direction: Direction
         step = _step(local(now), near, start, unique)
         if unique:
             step = step.join(local(emitted).select("id"), "id", "left_anti")
-        found = step.join(ids, "id", "left_semi").orderBy("way").limit(left)
-        rows = [(r.id, depth, [tuple(x) for x in r.way]) for r in found.collect()]
+        near_by = [(r.id, depth, [tuple(x) for x in r.way]) for r in step.limit(MAX_STEP + 1).collect()]
+        if len(near_by) <= MAX_STEP:
+            exist = {r.id for r in ids.join(local(near_by).select("id").distinct(), "id", "left_semi").collect()} if near_by else set()
+            rows = sorted((r for r in near_by if r[0] in exist), key=lambda r: r[2])[:left]
+            step = spark.createDataFrame(near_by, LEVEL)
+        else:
+            found = step.join(ids, "id", "left_semi").orderBy("way").limit(left)
+            rows = [(r.id, depth, [tuple(x) for x in r.way]) for r in found.collect()]
         if not rows:  # edges to missing blocks still count as depth, those met before only in walks
             gone = step.select("id").join(ids, "id", "left_anti")
             if unique and depth > 1:
@@ -164,11 +173,12 @@ def bidirectional_search(blocks, edges, start, direction=Direction.BIDIRECTIONAL
 
 
 class _Adjacency:
-    """Neighbours of blocks in edge order, existing ones only told apart.
+    """Neighbours of blocks in edge order, existing ones told apart.
 
     A graph of at most DRIVER_EDGES edges is read once.  Of a larger one, neighbours are fetched for what stands on top
     of the stack.  Of one block's neighbours only the last `bound` distinct existing ones can be emitted (each popped
-    earlier either is emitted or was before), so what is held is bounded by the limits of the query.
+    earlier either is emitted or was before); of missing ones between two of these, which only count as depth, one
+    tells as much as all.  So what is held is bounded by the limits of the query.
     """
 
     BATCH = 64
@@ -191,12 +201,14 @@ class _Adjacency:
                 if len(wanted) == self.BATCH:
                     break
             last = self.near.where(F.col("at").isin(wanted)).groupBy("at", "to").agg(F.max(F.struct("dir", "seq", "to")).alias("o"))
-            last = last.join(self.blocks.withColumn("found", F.lit(True)).withColumnRenamed("id", "to"), "to", "left")
-            last = last.withColumn("n", F.row_number().over(Window.partitionBy("at").orderBy(F.col("found").desc_nulls_last(), F.col("o").desc()))).where((F.col("n") <= self.bound) & F.col("found"))
-            got = last.select("at", "to", "o").collect()
+            last = last.join(self.blocks.withColumn("found", F.lit(True)).withColumnRenamed("id", "to"), "to", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+            back = Window.partitionBy("at").orderBy(F.col("o").desc())
+            after = F.coalesce(F.sum(F.col("found").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            last = last.withColumn("after", after).withColumn("alone", F.col("found") | F.coalesce(F.lag("found").over(back), F.lit(True)))
+            got = last.where((F.col("after") < self.bound) & F.col("alone")).select("at", "to", "o", "found").collect()
             self.held.update({w: [] for w in wanted})
             for r in sorted(got, key=lambda r: tuple(r.o)):
-                self.held[r["at"]].append((r.to, True))
+                self.held[r["at"]].append((r.to, r.found))
         return self.held.get(id_, [])
 
 
@@ -264,13 +276,23 @@ def traverse_astar(blocks, edges, start, max_depth) -> Traversal:
 
 def reach(edges: DataFrame, starts: DataFrame, direction=Direction.OUTGOING, edge_filter=ALL_EDGES, max_depth=DEFAULT_DEPTH, blocks: DataFrame | None = None) -> DataFrame:
     """(start, id, depth): all that many starts (column start) reach, without limit; with blocks, only by way of these."""
-    near = neighbours(edges, direction, edge_filter).select("at", "to").distinct()
+    near, shared = neighbours(edges, direction, edge_filter).select("at", "to"), None
     if blocks is not None:
-        near = near.join(blocks.select(F.col("id").alias("to")), "to", "left_semi")
+        blocks = blocks.select(F.col("id").alias("to"))
     seen = now = checkpointed(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct())
     for depth in range(1, max_depth + 1):
-        step = now.join(near, now["id"] == near["at"]).select("start", F.col("to").alias("id")).distinct()
-        now = checkpointed(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if few(now):
+            step = near.join(F.broadcast(now.select("start", F.col("id").alias("at"))), "at")
+        else:
+            shared = shared or checkpointed(near.distinct())
+            step = shared.join(now.select("start", F.col("id").alias("at")), "at")
+        step = step.select("start", F.col("to").alias("id")).distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        if blocks is not None:
+            step = checkpointed(step)
+            ids = step.select(F.col("id").alias("to")).distinct()
+            real = blocks.join(F.broadcast(ids), "to", "left_semi") if few(ids) else blocks.join(ids, "to", "left_semi")
+            step = step.join(real.select(F.col("to").alias("id")), "id", "left_semi").select("start", "id")
+        now = checkpointed(step.withColumn("depth", F.lit(depth)))
         if now.isEmpty():
             break
         seen = seen.unionByName(now)

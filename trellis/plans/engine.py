@@ -15,7 +15,7 @@ from ..operators.store import Store
 from ..sources import wire
 from . import formats
 from .cache import QueryCache
-from .stats import QueryPlan, QueryStatistics, plan_query
+from .stats import QueryPlan, QueryStatistics, plan_of
 
 
 PROTOCOL = "trellis 1"
@@ -99,9 +99,9 @@ class Engine:
                 self.cache.put(key, held)
             return held
 
-    def plan(self, kind: str, estimated_results: int = 0) -> QueryPlan:
-        c = lookup.graph_counts(self.blocks.select("id"), self.edges).first()
-        return plan_query(kind, c.block_count, c.edge_count, estimated_results, self.stats)
+    def plan(self, where: filters.Expression, semantics: str = "contract") -> QueryPlan:
+        """What Spark means to do for a filter over the blocks."""
+        return plan_of(filters.matching(self.blocks, where, semantics))
 
     def explain(self, where: filters.Expression, semantics: str = "contract") -> None:
         filters.matching(self.blocks, where, semantics).explain("formatted")

@@ -313,12 +313,21 @@ def dfs_preorder_forest(spark, d):
     return _shown(traverse.depth_first(*_fk(spark, d), NATION_5, _IN, traverse.ALL_EDGES, 2, 1000))
 
 
-@query(None)
+def _dfs(prelude: str, near: str, start: str, depth: int, limit: int) -> str:
+    """The stack as a list: its last entry is taken off, and, if it wasn't met before, emitted and its neighbours put on."""
+    return f"""with recursive {prelude}, {near}, nb as (select a, list(z order by o) as zs from n join b on b.id = n.z group by a),
+w as (select 0 as step, [{{'id': '{start}', 'depth': 0, 'path': '{start}'}}] as stack, cast([] as varchar[]) as seen, cast(null as varchar) as id, 0 as depth, '' as path
+union all select step + 1, list_concat(stack[:-2], case when list_contains(seen, stack[-1].id) or stack[-1].depth >= {depth} then [] else list_transform(coalesce(zs, []), lambda z: {{'id': z, 'depth': stack[-1].depth + 1, 'path': stack[-1].path || '>' || z}}) end),
+list_append(seen, stack[-1].id), case when not list_contains(seen, stack[-1].id) then stack[-1].id end, stack[-1].depth, stack[-1].path from w left join nb on nb.a = stack[-1].id where len(stack) > 0)
+select row_number() over (order by step) as rank, id, depth, path from w where id is not null qualify rank <= {limit}"""
+
+
+@query(_dfs(_EVENTS_E, _near(1), CLICK, 4, 1000))
 def dfs_cyclic(spark, d):
     return _shown(traverse.depth_first(*t.event_graph(spark, d), CLICK, _OUT, traverse.ALL_EDGES, 4, 1000))
 
 
-@query(None)
+@query(_dfs(_EVENTS_E, _near(1), CLICK, 10, 1000))
 def scc_literal_dfs(spark, d):
     return _shown(traverse.traverse(*t.event_graph(spark, d), CLICK, traverse.Algorithm.STRONGLY_CONNECTED, semantics="literal"))
 
@@ -328,9 +337,21 @@ def topo_forest(spark, d):
     return _shown(graph.topological_sort(*_order(spark, d), ORDER_1))
 
 
-@query("select cast(1 as bigint) as rank, '' as id, 0 as depth, '' as path where false")
-def topo_cycle_empty(spark, d):
-    return _shown(graph.topological_sort(*t.event_graph(spark, d), CLICK))
+OUTSIDE, APART = "0e" + "1".zfill(30), "0e" + "2".zfill(30)
+
+
+@query(
+    f"with recursive {_EVENTS_E}, g as (select s, d from e union all select '{OUTSIDE}', '{CLICK}' union all select '{OUTSIDE}', '{APART}'), p as (select s, d from g union select p.s, g.d from p join g on g.s = p.d), starts(start) as (values ('{CLICK}'), ('{OUTSIDE}'), ('{APART}')), "
+    "r as (select start, start as id from starts union select start, d from starts join p on p.s = start) select start, case when exists (select 1 from r r2 join p on p.s = r2.id and p.d = r2.id where r2.start = r.start) then 0 else count(*) end as length from r group by start"
+)
+def topo_cycles(spark, d):
+    """How long the order is from a block on a cycle, from one that leads to it, and from one apart."""
+    b, e = t.event_graph(spark, d)
+    b = b.select("id").unionByName(spark.createDataFrame([(OUTSIDE,), (APART,)], "id string"))
+    more = [(OUTSIDE, CLICK, 7, 1), (OUTSIDE, APART, 7, 2)]
+    e = e.unionByName(spark.createDataFrame(more, e.schema))
+    rows = [(s, graph.topological_sort(b, e, s).rows.count()) for s in (CLICK, OUTSIDE, APART)]
+    return spark.createDataFrame(rows, "start string, length long")
 
 
 _CLOSURE = f"with recursive {_EVENTS_E}, c as (select id as a, id as z from b union select c.a, e.d from c join e on e.s = c.z)"
@@ -416,7 +437,7 @@ def live_edges(spark, d):
     return store.current_edges(ops.unionByName(puts))
 
 
-@query(f"with {_OPS} select count(*) as entries, count_if(op = 1 and version < 1) as corrupted, count_if(op = 1 and version < 1) * 100.0 / count(*) as corruption_rate from o")
+@query(f"with {_OPS} select count(*) as entries, count_if(op = 1 and version < 1) as corrupted, count_if(op = 1 and version < 1) * 100.0 / count(*) as corruption_rate, count_if(op = 1 and version >= 1) as blocks_recovered, cast(0 as bigint) as edges_recovered, count_if(op = 2) as deletes_recovered from o")
 def log_recovery(spark, d):
     return store.recovery(t.event_ops(spark, d))
 
@@ -441,50 +462,74 @@ def glob_match(spark, d):
     return t.table(spark, d, "documents").select("doc_id", matches_glob(path, "src1*/**/*.zig").alias("deep"), matches_glob(path, "src[1-3]/*.md").alias("set_star"), matches_glob(path, "*.md").alias("star"))
 
 
-_LINES = ['const std = @import("std");', "pub const S{k} = struct {{", "    pub fn get_{k}(self: *S) u32 {{", "        setup_logging(); helper_{k}();", "    }}", "}};", "fn helper_{k}() void {{}}", "const limit_{k} = 10;", 'test "t {k}" {{}}']
+_LINES = [
+    'const std = @import("std");', 'const next = @import("s@N.zig");', "pub const S@K = struct {", "    pub fn get_@K(self: *S@K) u32 {", '        setup_logging(); helper(); next.helper(); self.get_@K(); // gone("', "    }",
+    "    const kept_@K = outside();", "};", 'fn helper() void { inner("text(}"); }', "const limit_@K = 10;", 'test "t @K" {}',
+]
+_EVEN = "pub fn extra_@K() void { helper(); }"
 
 
 def _sources(spark, d):
-    """One source text for each supplier."""
-    key = F.col("s_suppkey").cast("string")
-    text = F.lit("\n".join(x.format(k="@K") for x in _LINES))
+    """One source text for each supplier, in two repositories that have the same paths; those of the first have a function more."""
+    key, nth = F.col("s_suppkey").cast("string"), F.floor(F.col("s_suppkey") / 2).cast("string")
+    text = F.concat(F.lit("\n".join(_LINES)), F.when(F.col("s_suppkey") % 2 == 0, "\n" + _EVEN).otherwise(""))
+    text = F.regexp_replace(F.regexp_replace(text, F.lit("@K"), key), F.lit("@N"), (F.floor(F.col("s_suppkey") / 2) + 1).cast("string"))
+    path = F.concat(F.lit("src/s"), nth, F.lit(".zig"))
     return t.table(spark, d, "supplier").select(
-        F.regexp_replace(text, F.lit("@K"), key).alias("data"), F.lit("text/zig").alias("content_type"),
-        F.create_map(F.lit("file_path"), F.concat(F.lit("src/s"), key, F.lit(".zig"))).alias("metadata"), F.lit(0).cast("long").alias("timestamp_ns"),
+        text.alias("data"), F.lit("text/zig").alias("content_type"),
+        F.create_map(F.lit("repository_path"), F.concat(F.lit("r"), (F.col("s_suppkey") % 2).cast("string")), F.lit("file_path"), path).alias("metadata"), F.lit(0).cast("long").alias("timestamp_ns"),
     )
 
 
-_SRC = "src as (select 'src/s' || s_suppkey || '.zig' as file, string_split(replace('" + "\n".join(x.format(k="@K") for x in _LINES) + "', '@K', cast(s_suppkey as varchar)), chr(10)) as lines from supplier), l as (select file, unnest(lines) as line, generate_subscripts(lines, 1) as no from src), tr as (select *, trim(line) as x from l)"
+_TEXT = "replace(replace('" + "\n".join(_LINES) + "' || case when s_suppkey % 2 = 0 then chr(10) || '" + _EVEN + "' else '' end, '@K', cast(s_suppkey as varchar)), '@N', cast(s_suppkey // 2 + 1 as varchar))"
+_SRC = f"src as (select s_suppkey as k, 'r' || (s_suppkey % 2) as repository, 'src/s' || (s_suppkey // 2) || '.zig' as file, string_split({_TEXT}, chr(10)) as lines from supplier), l as (select repository, file, unnest(lines) as line, generate_subscripts(lines, 1) as no from src), tr as (select *, trim(line) as x from l)"
 _CONST = "trim(regexp_extract(x, 'const (.*?) =', 1))"
 
 
 @query(
-    f"with {_SRC} select 'import_' || no as id, 'import' as unit_type, file, no as line_no from tr where starts_with(x, '@import(') or starts_with(x, 'const std = @import(\"std\");') "
-    "union all select file || ':' || trim(regexp_extract(x, 'fn (.*?)\\(', 1)), 'function', file, no from tr where regexp_matches(x, 'fn .*?\\(') "
-    f"union all select file || ':' || {_CONST}, 'type', file, no from tr where contains(line, 'struct {{') or contains(line, '= struct') "
-    f"union all select file || ':' || {_CONST}, 'constant', file, no from tr where contains(line, 'const ') and contains(line, ' = ') and not contains(line, '@import') "
-    "union all select 'test:' || file || ':' || no, 'test', file, no from tr where contains(line, 'test ')"
+    f"with {_SRC} select repository, 'import_' || no as id, 'import' as unit_type, file, no as line_no from tr where starts_with(x, '@import(') or starts_with(x, 'const std = @import(\"std\");') "
+    "union all select repository, file || ':' || trim(regexp_extract(x, 'fn (.*?)\\(', 1)), 'function', file, no from tr where regexp_matches(x, 'fn .*?\\(') "
+    f"union all select repository, file || ':' || {_CONST}, 'type', file, no from tr where contains(line, 'struct {{') or contains(line, '= struct') "
+    f"union all select repository, file || ':' || {_CONST}, 'constant', file, no from tr where contains(line, 'const ') and contains(line, ' = ') and not contains(line, '@import') "
+    "union all select repository, 'test:' || file || ':' || no, 'test', file, no from tr where contains(line, 'test ')"
 )
 def code_units(spark, d):
-    return ingest.parse_units(_sources(spark, d)).select("id", "unit_type", F.col("location.file_path").alias("file"), F.col("location.line_start").cast("long").alias("line_no"))
+    return ingest.parse_units(_sources(spark, d)).select("repository", "id", "unit_type", F.col("location.file_path").alias("file"), F.col("location.line_start").cast("long").alias("line_no"))
 
 
-@query("select 'src/s' || s_suppkey || '.zig:get_' || s_suppkey as id, unnest(['setup_logging', 'helper_' || s_suppkey]) as target_id, 11 as edge_type from supplier")
+_CALLS = (
+    "select repository, file, k, 'get_' || k as f, unnest(['setup_logging', 'helper', 'helper', 'get_' || k]) as target_id, unnest([11, 11, 10, 10]) as edge_type, unnest(['', '', 'next', 'self']) as qualifier from src "
+    "union all select repository, file, k, 'helper', 'inner', 11, '' from src union all select repository, file, k, 'extra_' || k, 'helper', 11, '' from src where k % 2 = 0"
+)
+
+
+@query(f"with {_SRC}, c as ({_CALLS}) select repository, file || ':' || f as id, target_id, edge_type, qualifier from c")
 def code_calls(spark, d):
-    return ingest.call_edges(_sources(spark, d))
+    """Calls in bodies: not in comments, texts, or between functions."""
+    return ingest.call_edges(_sources(spark, d)).select(F.substring_index("file", "\n", 1).alias("repository"), "id", "target_id", "edge_type", "qualifier")
+
 
+def _unit_id(file: str, name: str, line: str) -> str:
+    return f"substr(sha256('unit_' || {file} || '_function_' || regexp_extract({file}, '[^\\n]*$') || ':' || {name} || '_' || {line} || '_1'), 1, 32)"
 
-@query("with x as (select 'src/s' || s_suppkey || '.zig' as f, s_suppkey as k from supplier), h as (select substr(sha256('unit_function_' || f || ':get_' || k || '_3_1'), 1, 32) as source_id, substr(sha256('unit_function_' || f || ':helper_' || k || '_7_1'), 1, 32) as target_id from x) select *, 11 as edge_type from h")
+
+@query(
+    f"with {_SRC}, s as (select *, repository || chr(10) || file as here, repository || chr(10) || 'src/s' || (k // 2 + 1) || '.zig' as nxt from src) "
+    f"select {_unit_id('here', chr(39) + 'get_' + chr(39) + ' || k', '4')} as source_id, {_unit_id('here', chr(39) + 'helper' + chr(39), '9')} as target_id, 11 as edge_type from s "
+    f"union all select {_unit_id('here', chr(39) + 'get_' + chr(39) + ' || k', '4')}, {_unit_id('nxt', chr(39) + 'helper' + chr(39), '9')}, 10 from s where nxt in (select here from s) "
+    f"union all select {_unit_id('here', chr(39) + 'extra_' + chr(39) + ' || k', '12')}, {_unit_id('here', chr(39) + 'helper' + chr(39), '9')}, 11 from s where k % 2 = 0"
+)
 def code_resolved_edges(spark, d):
+    """Calls as edges between blocks: by the same file's functions, by imported files'."""
     return ingest.resolve_edges(ingest.units_with_edges(_sources(spark, d)))
 
 
-@query("select count(*) as files, count(*) as functions, count(*) as methods, count(*) as structs from supplier")
+@query("select count(*) as files, count(*) + count_if(s_suppkey % 2 = 0) as functions, count(*) as methods, count(*) as structs from supplier")
 def code_statistics(spark, d):
     return analytics.code_statistics(_sources(spark, d)).select("files", "functions", "methods", "structs")
 
 
-@query("select cast(2 * count(*) as bigint) as units_parsed, count(*) as sources_processed from supplier")
+@query("select cast(2 * count(*) + count_if(s_suppkey % 2 = 0) as bigint) as units_parsed, count(*) as sources_processed from supplier")
 def ingest_functions(spark, d):
     """Functions found, and sources read, by the whole pipeline from sources to blocks."""
     src = _sources(spark, d)
@@ -494,8 +539,12 @@ def ingest_functions(spark, d):
 
 
 def queries() -> dict:
-    return dict(_Q)
+    from . import service_queries
+
+    return _Q | service_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import service_queries
+
+    return _SQL | service_queries.SQL
