@@ -76,7 +76,9 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def rows(batch: pa.RecordBatch):
-    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    """Its rows as tuples, some at a time."""
+    for i in range(0, batch.num_rows, 512):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True)
 
 
 def batch_of(schema: pa.Schema, found: list[tuple]) -> pa.RecordBatch:
@@ -84,6 +86,11 @@ def batch_of(schema: pa.Schema, found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def slices(batch: pa.RecordBatch, n: int = 512):
+    """A batch in parts, so that what is sent back is never large."""
+    return (batch.slice(i, n) for i in range(0, batch.num_rows, n))
+
+
 def trimmed(fn):
     """fn for mapInArrow or applyInArrow; when it ends, the worker gives freed memory back instead of keeping it for its next task."""
     def give_back():

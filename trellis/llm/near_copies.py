@@ -34,14 +34,17 @@ from .common import checkpointed, components, if_few, map_rows, trimmed
 from .simhash_variants import fingerprint, links, shingles
 
 WORDS, LEAST = 5, 0.8
-#: Texts that the order of shingles is estimated from, how often one recurs there to be put last, and how many are.
-SAMPLE, OFTEN, HOT = 3_000, 3, 1 << 16
+#: Texts that the order of shingles is estimated from at least, their share of all, how often one recurs there to be put
+#: last, and how many are.
+SAMPLE, SHARE, OFTEN, HOT = 3_000, 0.05, 3, 1 << 16
 #: Shingles of a set that stands under its first fifth at most; of one that may be alike to a larger one at least.
 SHORT, LONG = 200, 160
 BANDS, ROWS, EQUAL = 32, 4, 75
 #: Rounds of comparing with one member at most, which end when fewer than WORTH of the pairs are alike; nodes of a key that are
 #: compared pair by pair without.
 ROUNDS, WORTH, MANY = 24, 0.02, 32
+#: Entries under a key that one task compares with each other.
+CELL = 2048
 LAST = (1 << 63) - 1
 
 
@@ -52,7 +55,7 @@ def hashes(text: bytes) -> np.ndarray:
 
 def recurring(texts: DataFrame, hashes=hashes) -> tuple[np.ndarray, np.ndarray]:
     """Ascending hashes (of shingles) that recur in a sample of (node, text), and in how many of its texts."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
+    share = min(1.0, max(SAMPLE / max(1, texts.count()), SHARE))
     some = texts.where(F.pmod("node", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["node"])
     one = map_rows(some.select("text"), lambda found: ((x,) for (t,) in found for x in hashes(t).view(np.int64).tolist()), [("h", pa.int64())], "h long", 1 << 14)
     got = one.groupBy("h").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "h").limit(HOT).collect()
@@ -143,19 +146,81 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures (node, sig) have EQUAL bytes in common at least."""
     def run(batches):
-        bytes_of = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
         for b in batches:
-            keep = (bytes_of(b.column(2)) == bytes_of(b.column(3))).sum(1) >= EQUAL
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], schema=PAIR)
+            keep = pa.array((matrix(b.column(2)) == matrix(b.column(3))).sum(1) >= EQUAL)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=PAIR)
 
     sig_of = lambda x: sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
     return pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(trimmed(run), "a long, b long")
 
 
+def matrix(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(len(sigs), -1)
+
+
+def within(key: np.ndarray, node: np.ndarray, n: np.ndarray, i: np.ndarray, c: np.ndarray, part: np.ndarray, sig: np.ndarray):
+    """(a, b) arrays of plausible pairs of entries that stand side by side under equal keys: those of short runs by distance, of
+    long ones member by member."""
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[cuts, len(key)])
+    of = np.repeat(size, size)
+
+    def keep(x, y):
+        may = (c[x] != c[y]) & (9 * (np.minimum(n[x] - i[x], n[y] - i[y]) + 1) >= 4 * (n[x] + n[y])) & ((part[x] < 0) | (part[x] != part[y]))
+        x, y = x[may], y[may]
+        same = (sig[x] == sig[y]).sum(1) >= EQUAL
+        return node[x[same]], node[y[same]]
+
+    for d in range(1, 16):
+        x = np.flatnonzero((key[:-d] == key[d:]) & (of[:-d] <= 16)) if len(key) > d else np.empty(0, np.int64)
+        if not len(x):
+            break
+        yield keep(x, x + d)
+    for start, many in zip(cuts[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        for k in range(start, start + many - 1):
+            y = np.arange(k + 1, start + many)
+            yield keep(np.full(len(y), k), y)
+
+
+def pairs_under(entries: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b) of plausible pairs among entries (key, x, m).  A key of more than CELL entries is dealt to cells of two of its parts each."""
+    p = F.ceil(F.col("m") / CELL)
+    dealt = entries.select("key", "x.*", p.alias("p")).join(sigs, "node").withColumn("part", F.pmod(F.xxhash64("node"), "p"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
+    # in a cell of two different parts, only pairs across them count
+    dealt = dealt.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "node", "n", "i", "c", F.expr("p > 1 and part <> other").alias("across"), "part", "sig")
+    crossed = dealt.withColumn("part", F.expr("if(across, part, -1)")).drop("across").repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = [*(b.column(k).to_numpy(zero_copy_only=False) for k in range(6)), matrix(b.column(6)) if len(b) else None]
+            if not len(b):
+                continue
+            held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
+            if cut:
+                yield from told([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield from told(held)
+
+    def told(columns):
+        for a, b in within(*columns):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIR)
+
+    return crossed.mapInArrow(trimmed(run), "a long, b long")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike, each once, by nodes (node, sig, held); few pairs go to the sets, for many the sets are shuffled."""
+    """The pairs (a, b) that are alike, each once, by nodes (node, sig, held)."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = checkpointed(plausible(pairs, nodes.select("node", "sig")))
+    return compared(plausible(pairs, nodes.select("node", "sig")), nodes)
+
+
+def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for plausible pairs; few pairs go to the sets, for many the sets are shuffled."""
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     set_of = lambda x: nodes.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
     one = set_of("a").join(if_few(pairs), "a")
     other = set_of("b").join(if_few(pairs.select("b").distinct()), "b", "left_semi")
@@ -200,12 +265,8 @@ def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
         large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m", "x.own")
         if found.count() < WORTH * star.count():
             break
-    # of a key's largest group, members needn't be compared with each other
-    now = checkpointed(mixed(held.where(F.col("m") <= MANY).unionByName(large), group).select("key", "x"))
-    most = now.groupBy("key", "x.c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
-    outside = now.join(most, "key").where("x.c <> most").select("key", "most", F.col("x").alias("p"))
-    two = outside.join(now.select(F.col("key").alias("k"), F.col("x").alias("q")), F.expr(f"key = k and (q.c = most or p.node < q.node) and {MAY.format('p', 'q')}"))
-    return components(edges.unionByName(verified(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), sets)))
+    left = mixed(held.where(F.col("m") <= MANY).unionByName(large), group)
+    return components(edges.unionByName(compared(pairs_under(left, sets.select("node", "sig")), sets)))
 
 
 def node_of(docs: DataFrame, text):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, trimmed
+from .common import map_rows, slices, table, trimmed
 from .toxicity import logistic
 
 BASE, MORE = ("email", "ip", "card", "phone"), ("secret", "iban", "national_id", "local_phone")
@@ -209,7 +209,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     find, at = Finder(learn(docs)), docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             texts = [t if t is None else redact(t, s) if (s := find.all(t)[1]) else t for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, b.schema.types[at]), *b.columns[at + 1 :]], schema=b.schema)
 

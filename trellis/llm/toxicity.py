@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, table, trimmed
+from .common import checkpointed, map_rows, slices, table, trimmed
 
 TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 17, 0.3
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -283,9 +283,10 @@ def scored(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, colu
 
     def run(batches):
         g = Grammar(lexicon)
-        for b in batches:
-            score = [1 / (1 + math.exp(-float(g.features(t or "") @ weights[:-1] + weights[-1]))) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, column])
+        for whole in batches:
+            for b in slices(whole):
+                score = [1 / (1 + math.exp(-float(g.features(t or "") @ weights[:-1] + weights[-1]))) for t in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, column])
 
     return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
