@@ -1,3 +1,4 @@
+import functools
 import math
 import zlib
 from collections import Counter
@@ -17,6 +18,79 @@ def held(i):
     return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
 
 
+def grams_of(w, k):
+    """The k-grams of a text as (history, word); a start sign stands before it."""
+    full = [None, *w]
+    return [(tuple(full[j - k + 1 : j]), full[j]) for j in range(1, len(full)) if j - k + 1 >= 0]
+
+
+def brute_of_order(rows, order):
+    """Scores by a recursion over dictionaries, for any order; and the recursion."""
+    tables = {k: Counter() for k in range(1, order + 1)}
+    for i, t in rows:
+        if not held(i):
+            for k in tables:
+                tables[k].update(grams_of(tokens(t), k))
+    follow = {k: {} for k in tables}
+    for k, table in tables.items():
+        for (h, w), c in table.items():
+            follow[k].setdefault(h, {})[w] = c
+
+    def discounts(counts):
+        cc, out = Counter(counts), {}
+        for r in range(1, 6):
+            try:
+                big = 6 * cc[6] / cc[1]
+                d = ((r + 1) * cc[r + 1] / (r * cc[r]) - big) / (1 - big)
+            except ZeroDivisionError:
+                d = -1
+            out[r] = d if 0 < d < 1 else (r - 0.5) / r
+        return lambda c: c * out.get(c, 1.0)
+
+    d = {k: discounts(tables[k].values()) for k in tables}
+
+    @functools.cache
+    def weights(h):
+        """(sum of counts, alpha, whether none is left) of a seen history."""
+        k = len(h) + 1
+        n, left = sum(follow[k][h].values()), sum(c - d[k](c) for c in follow[k][h].values())
+        mass = sum(p(h[1:], w) for w in follow[k][h]) if h else 0.0
+        return n, (left / n if left > 0 else 1 / (n + 1)) / (1 - mass), left <= 0
+
+    def p(h, w):
+        k = len(h) + 1
+        if h not in follow[k]:
+            return p(h[1:], w) if h else 1.0
+        n, alpha, none = weights(h)
+        if w in follow[k][h]:
+            return follow[k][h][w] / (n + 1) if none else d[k](follow[k][h][w]) / n
+        return alpha * p(h[1:], w) if h else alpha
+
+    def score(w):
+        full = [None, *w]
+        return sum(math.log10(p(tuple(full[max(0, j - order + 1) : j]), full[j])) for j in range(1, len(full)))
+
+    return [score(tokens(t)) for _, t in rows], p, follow
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_against_a_recursion(spark, order):
+    rows = corpus(3, 40)
+    want = brute_of_order(rows, order)[0]
+    got = m.katz_scores(frame(spark, rows), order=order).collect()
+    key = lambda r: (repr(r[0]), r[1], round(r[2], 6))
+    told = sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=key)
+    for a, b in zip(told, sorted(((i, len(tokens(t)), x) for (i, t), x in zip(rows, want, strict=True)), key=key), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9, abs_tol=1e-9), (a, b)
+
+
+def test_each_history_of_each_order_adds_up_to_one():
+    _, p, follow = brute_of_order(corpus(2, 30), 3)
+    words = [*follow[1][()], b"never seen"]
+    for h in [(), (None,), *list(follow[2])[:15], *list(follow[3])[:25], (b"never", b"seen")]:
+        assert math.isclose(sum(p(h, w) for w in words), 1, rel_tol=1e-9), h
+
+
 def brute(rows):
     """Plain dictionaries: {row: (n_tokens, n_known, N, base, score)}."""
     uni, bi = Counter(), Counter()

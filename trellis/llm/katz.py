@@ -1,23 +1,25 @@
-"""Language-model scores by Katz backoff over word bigrams.
+"""Language-model scores by Katz backoff over word n-grams of any order.
 
-Katz's recursion: P(w | v) = d(c(v, w)) c(v, w) / c(v) where the pair was seen, else alpha(v) P(w); and P(w) =
-d(c(w)) c(w) / N where the word was seen, else the mass that the discounts leave, as that of one unknown word.  The
-discounts d are Good-Turing's for counts of at most 5, from counts of counts over all of the training documents.
-alpha(v) = (1 - sum of the seen P(w | v)) / (1 - sum of P(w) over the same words), so that each history's
-probabilities over the vocabulary and the unknown word add up to one; a history never seen has alpha 1.
+Katz's recursion: P(w | h) = d(c(h, w)) c(h, w) / c(h) where the gram was seen, else alpha(h) P(w | h'), h' the history
+without its first word; and P(w) = d(c(w)) c(w) / N where the word was seen, else the mass that the discounts leave, as
+that of one unknown word.  The discounts d are Good-Turing's for counts of at most 5, for each order from its counts of
+counts over all of the training documents.  alpha(h) = (1 - sum of the seen P(w | h)) / (1 - sum of P(w | h') over the
+same words), so that each history's probabilities over the vocabulary and the unknown word add up to one; a history
+never seen has alpha 1.
 
-The count tables are partitioned by hash (of the word, of the history) and checkpointed: the partitions keep each
-block's share of the answers.  Words get numbers in the first round, most frequent first in each partition, so a
-bigram takes a few bytes.  Histories with over N / (8 * partitions) tokens are salted by the word that follows; what
-the salts know of one history is added up on the driver, at most 16 rows for each partition.
+The count tables, one for each order, are partitioned by hash (of the word, of the history) and checkpointed: the
+partitions keep each block's share of the answers.  Words get numbers in the first round, most frequent first in each
+partition, so a bigram takes a few bytes.  The grams of the next order are asked about with the probabilities of the
+shorter ones, which the answers before gave.  Histories with over N / (8 * partitions) tokens are salted by the word
+that follows; what the salts know of one history is added up on the driver, at most 16 rows for each partition.
 
 A text's tokens are its lower-cased words and then one end; the first word's history is a start sign.
 
 Defined results: a null text is empty (its only token is the end); a null doc_id is in the training part; rows that
-repeat a doc_id each count and each get a score.  Where counts of counts can't give a discount in (0, 1) (tables of a
-few rows), it is (r - 0.5) / r.  A history all of whose followers have undiscounted counts leaves nothing to back off
-with; then c(v, w) / (c(v) + 1) and 1 / (c(v) + 1) take their places.  Without any training token every word is
-unknown, with probability 1.
+repeat a doc_id each count and each get a score; texts of any length are scored whole.  Where counts of counts can't give
+a discount in (0, 1) (tables of a few rows), it is (r - 0.5) / r.  A history all of whose followers have undiscounted
+counts leaves nothing to back off with; then c(h, w) / (c(h) + 1) and 1 / (c(h) + 1) take their places.  Without any
+training token every word is unknown, with probability 1.  Histories of two words and more are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from .blocks import answer, answered, asides, ask, by_part, gathered, opened, pack, parts
 from .common import batch_of, documents, remainder, rows, table, trimmed, unsqueeze
 
-CUT = 5
+#: Counts that are discounted at most; the order of the query's model.
+CUT, ORDER = 5, 2
 FIELDS = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -108,35 +111,58 @@ def reply_words(n_parts: int):
     return run
 
 
-class Bigrams:
-    """The distinct bigrams of a block, in order of history and word."""
+class Block:
+    """A block's tokens with the counts and numbers of its words."""
 
-    def __init__(self, payload, got, n_parts: int, hot: int):
+    def __init__(self, payload, got, n_parts: int):
         _, part, self.word, self.lens, self.ids, self.out = payload
         part = part % n_parts
-        self.count, number = gathered(part, got, 0, np.int64), gathered(part, got, 1, np.int64)
-        v = len(part)
-        history = np.r_[v, self.word[:-1]].astype(np.int64) if len(self.word) else np.empty(0, np.int64)
-        history[np.r_[0, np.cumsum(self.lens)[:-1]]] = v
-        key, self.inverse = np.unique(history * (v + 1) + self.word, return_inverse=True)
+        self.count, self.number = gathered(part, got, 0, np.int64), gathered(part, got, 1, np.int64)
+        self.at = np.r_[0, np.cumsum(self.lens)[:-1]]
+        self.trains = ~np.repeat(self.out, self.lens)
+
+
+class Grams:
+    """The distinct grams of an order in a block, in order of history and word; below: those of the order before and their counts."""
+
+    def __init__(self, block: Block, n_parts: int, hot: int, below: tuple | None = None):
+        v, tokens = len(block.count), np.arange(len(block.word))
+        if below is None:
+            history = np.r_[v, block.word[:-1]].astype(np.int64) if len(tokens) else np.empty(0, np.int64)
+            history[block.at] = v
+            names, of = np.r_[block.number, -1], np.r_[block.count, block.count[0]]  # a start for each end
+        else:
+            grams, of = below
+            before = np.r_[-1, grams.inverse[:-1]] if len(tokens) else np.empty(0, np.int64)
+            before[block.at] = -1
+            tokens = np.flatnonzero(before >= 0)
+            history, names = before[tokens], mixed(grams.h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + grams.n.view(np.uint64)).view(np.int64)
+        key, inverse = np.unique(history * (v + 1) + block.word[tokens], return_inverse=True)
+        self.inverse = np.full(len(block.word), -1)
+        self.inverse[tokens] = inverse
         h, self.w = np.divmod(key, v + 1)
-        self.of = np.r_[self.count, self.count[0]][h]  # a start for each end
-        self.h, self.n = np.r_[number, -1][h], number[self.w]
-        self.seen = np.bincount(self.inverse, ~np.repeat(self.out, self.lens), len(key)).astype(np.int64)
+        self.of, self.h, self.n = of[h], names[h], block.number[self.w]
+        self.seen = np.bincount(inverse, block.trains[tokens], len(key)).astype(np.int64)
         salts = -(-self.of // hot)
         self.part = np.where(salts > 1, (self.h * 31 + (self.n * 0x9E3779B1 >> 7) % np.maximum(salts, 1)) % n_parts + n_parts, self.h % n_parts).astype(np.int64)
         self.part[self.of == 0] = -1  # a history never seen: nothing to ask
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def unseen(total: np.ndarray, runs: np.ndarray) -> np.ndarray:
     """Which runs (histories, by their first places) hold a bigram that wasn't seen."""
     return np.add.reduceat((total == 0).astype(np.int64), runs) > 0
 
 
-def reply_bigrams(uni: Unigrams, n_parts: int):
-    """To each body: the counts of its bigrams; of each of its histories, whether nothing is left to back off with; and of
-    histories with a bigram never seen, the followers counted 1 to 5 times and the sum of P(w) of all followers.
-    Then counts of counts, and what this part knows of salted histories."""
+def reply_grams(lower, n_parts: int):
+    """To each body: the counts of its grams; of each of its histories, whether nothing is left to back off with; and of
+    histories with a gram never seen, the followers counted 1 to 5 times and the sum of the shorter grams' probabilities
+    (lower of what the body says) of all followers.  Then counts of counts, and what this part knows of salted histories."""
     def run(p, bodies):
         h, w, c, cw = (np.concatenate([b[i] for b in bodies]) for i in range(4))
         order = np.lexsort((w, h))
@@ -148,7 +174,7 @@ def reply_bigrams(uni: Unigrams, n_parts: int):
         mine = hs[new]
         first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
         low = np.stack([np.add.reduceat((total == r).astype(np.int64), first) for r in range(1, CUT + 1)], 1)
-        mass = np.add.reduceat(np.where(total > 0, uni.p(cw[order][new]), 0.0), first)
+        mass = np.add.reduceat(np.where(total > 0, lower(cw[order][new]), 0.0), first)
         salted, names = p >= n_parts, mine[first]
         for b, i in zip(bodies, np.split(inverse, np.cumsum([len(b[0]) for b in bodies])[:-1]), strict=True):
             runs = np.flatnonzero(np.r_[True, b[0][1:] != b[0][:-1]])
@@ -163,70 +189,101 @@ def reply_bigrams(uni: Unigrams, n_parts: int):
     return run
 
 
-def katz_scores(docs: DataFrame, held_by: int = 7, held_is: int = 2) -> DataFrame:
+def probabilities(b: Grams, got: dict, known: tuple, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(P, count) of each distinct gram; known: discounts and salted histories of its order, lower: P of the shorter grams."""
+    d, salted = known
+    n = len(b.h)
+    total, left, mass, none = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+    leaves = np.arange(1, CUT + 1) - discounted(np.arange(1, CUT + 1), d)
+    order, cuts = by_part(b.part)
+    for p, s in cuts:
+        if p < 0:
+            continue
+        i, (t, *more) = order[s], got[p]
+        total[i] = t
+        h = b.h[i]
+        new = np.r_[True, h[1:] != h[:-1]]
+        if more[0] is None:
+            lo, ma = (np.array([salted[x][k] for x in h[new].tolist()]) for k in (0, 1))
+            nothing = ~lo.any(1)
+        else:
+            backs = unseen(t, np.flatnonzero(new))
+            lo, ma, nothing = np.zeros((len(backs), CUT), np.int64), np.zeros(len(backs)), ~np.unpackbits(more[0], count=len(backs)).astype(bool)
+            lo[backs], ma[backs] = more[1].reshape(CUT, -1).T, more[2].view(np.float64)
+        of_run = np.cumsum(new) - 1
+        left[i], mass[i], none[i] = (lo * leaves).sum(1)[of_run], ma[of_run], nothing[of_run]
+    of = np.maximum(b.of, 1)
+    p_seen = np.where(none, total / (of + 1), discounted(total, d) / of)
+    alpha = np.where(none, 1 / (of + 1), left / of) / np.maximum(1 - mass, 1e-300)
+    return np.where(b.of == 0, lower, np.where(total > 0, p_seen, alpha * lower)), total
+
+
+def katz_scores(docs: DataFrame, held_by: int = 7, held_is: int = 2, order: int = ORDER) -> DataFrame:
     """The columns of DDL for each row; documents with crc32(doc_id) mod held_by = held_is don't train."""
     blocks = pack(documents(docs), encode(held_by, held_is))
     n_parts = parts(blocks)
     words = answer(ask(blocks, lambda payload: ask_words(payload, n_parts)), reply_words(n_parts))
     uni = Unigrams(asides(words))
     hot = max(64, uni.n // (8 * n_parts))
-
-    def ask_bigrams(payload, got):
-        b = Bigrams(payload, got, n_parts, hot)
-        order, cuts = by_part(b.part)
-        for p, s in cuts:
-            if p >= 0:
-                i = order[s]
-                yield p, (b.h[i], b.n[i], b.seen[i], b.count[b.w[i]])
-
-    bigrams = answer(ask(answered(blocks, words), ask_bigrams), reply_bigrams(uni, n_parts))
-    said = asides(bigrams)
-    d2 = discounts(sum((x[0] for x in said), np.zeros(CUT + 2, np.int64)))
-    salted: dict[int, list] = {}
-    for _, x in said:
-        for name, low, mass in zip(*x, strict=True) if x else ():
-            old = salted.get(int(name), (0, 0.0))
-            salted[int(name)] = (old[0] + low, old[1] + mass)
-
-    def score(b: Bigrams, got) -> np.ndarray:
-        """log10 P of each distinct bigram."""
-        n = len(b.h)
-        total, left, mass, none = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, bool)
-        leaves = np.arange(1, CUT + 1) - discounted(np.arange(1, CUT + 1), d2)
-        order, cuts = by_part(b.part)
-        for p, s in cuts:
-            if p < 0:
-                continue
-            i, (t, *more) = order[s], got[p]
-            total[i] = t
-            h = b.h[i]
-            new = np.r_[True, h[1:] != h[:-1]]
-            if more[0] is None:
-                lo, ma = (np.array([salted[x][k] for x in h[new].tolist()]) for k in (0, 1))
-                nothing = ~lo.any(1)
-            else:
-                backs = unseen(t, np.flatnonzero(new))
-                lo, ma, nothing = np.zeros((len(backs), CUT), np.int64), np.zeros(len(backs)), ~np.unpackbits(more[0], count=len(backs)).astype(bool)
-                lo[backs], ma[backs] = more[1].reshape(CUT, -1).T, more[2].view(np.float64)
-            of_run = np.cumsum(new) - 1
-            left[i], mass[i], none[i] = (lo @ leaves)[of_run], ma[of_run], nothing[of_run]
-        p1, of = uni.p(b.count[b.w]), np.maximum(b.of, 1)
-        p_seen = np.where(none, total / (of + 1), discounted(total, d2) / of)
-        alpha = np.where(none, 1 / (of + 1), left / of) / np.maximum(1 - mass, 1e-300)
-        return np.log10(np.where(b.of == 0, p1, np.where(total > 0, p_seen, alpha * p1)))
+    levels: list[DataFrame] = []
+    known: list[tuple] = []  # of each order from 2 on: discounts, salted histories
+
+    def climb(payload, got_words, gots):
+        """(block, grams and their P by order, grams of the next order and P of the shorter ones)."""
+        block, below, out = Block(payload, got_words, n_parts), None, []
+        lower = lambda g: uni.p(block.count[g.w])
+        for got, of in zip(gots, known, strict=True):
+            g = Grams(block, n_parts, hot, below)
+            p, total = probabilities(g, got, of, lower(g))
+            out.append((g, p))
+            below, lower = (g, total), shorter(block, g, p)
+        return block, out, below, lower
+
+    for k in range(2, order + 1):
+        def ask_grams(payload, got_words, *gots):
+            block, _, below, lower = climb(payload, got_words, gots)
+            b = Grams(block, n_parts, hot, below)
+            low = block.count[b.w] if below is None else lower(b).view(np.int64)
+            by, cuts = by_part(b.part)
+            for p, s in cuts:
+                if p >= 0:
+                    i = by[s]
+                    yield p, (b.h[i], b.n[i], b.seen[i], low[i])
+
+        levels.append(answer(ask(answered(blocks, words, *levels), ask_grams), reply_grams(uni.p if k == 2 else lambda x: x.view(np.float64), n_parts)))
+        said = asides(levels[-1])
+        salted: dict[int, list] = {}
+        for _, x in said:
+            for name, low, mass in zip(*x, strict=True) if x else ():
+                old = salted.get(int(name), (0, 0.0))
+                salted[int(name)] = (old[0] + low, old[1] + mass)
+        known.append((discounts(sum((x[0] for x in said), np.zeros(CUT + 2, np.int64))), salted))
 
     def finish(batches):
         schema = pa.schema(FIELDS)
         for batch in batches:
-            for _, payload, w, g in rows(batch):
-                b = Bigrams(unsqueeze(payload), opened(w), n_parts, hot)
-                at = np.r_[0, np.cumsum(b.lens)[:-1]]
-                add = lambda x: np.add.reduceat(x, at).tolist()  # noqa: B023, E731
+            for _, payload, w, *gots in rows(batch):
+                b, grams, *_ = climb(unsqueeze(payload), opened(w), [opened(g) for g in gots])
+                p = uni.p(b.count[b.word])
+                for g, of_gram in grams:  # the longest history that a token has
+                    p = np.where(g.inverse >= 0, of_gram[g.inverse], p)
+                add = lambda x: np.add.reduceat(x, b.at).tolist()  # noqa: B023, E731
                 c = b.count[b.word]
                 base = np.log10((c + 1) / (uni.n + uni.v + 1))
-                yield batch_of(schema, list(zip(b.ids, b.out.tolist(), b.lens.tolist(), add((c > 0).astype(np.int64)), [uni.n] * len(b.ids), add(base), add(score(b, opened(g))[b.inverse]), strict=True)))
+                yield batch_of(schema, list(zip(b.ids, b.out.tolist(), b.lens.tolist(), add((c > 0).astype(np.int64)), [uni.n] * len(b.ids), add(base), add(np.log10(p)), strict=True)))
+
+    return answered(blocks, words, *levels).mapInArrow(trimmed(finish), DDL)
+
+
+def shorter(block: Block, grams: Grams, p: np.ndarray):
+    """For grams of the next order: P of each one's word after the history without its first word, which ends the same token."""
+    def lower(g: Grams) -> np.ndarray:
+        token = np.zeros(len(g.h), np.int64)
+        at = np.flatnonzero(g.inverse >= 0)
+        token[g.inverse[at]] = at
+        return p[grams.inverse[token]]
 
-    return answered(blocks, words, bigrams).mapInArrow(trimmed(finish), DDL)
+    return lower
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
