@@ -66,6 +66,11 @@ def test_chains_and_groups_of_all_sizes(spark, monkeypatch):
     assert got() == want
     monkeypatch.setattr(m, "ROUNDS", 2)
     assert got() == want
+    monkeypatch.setattr(m, "ROUNDS", 0)  # all by runs and cells
+    monkeypatch.setattr(m, "PAIRED", 1)
+    assert got() == want
+    monkeypatch.setattr(m, "CELL", 5)
+    assert got() == want
 
 
 def test_bands_find_what_is_alike():

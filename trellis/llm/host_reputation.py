@@ -10,7 +10,8 @@ Rules come first.  They are few (at most MAX_RULES, checked) and go into the pla
 all subdomains if the path starts with the rule's, and the longest wins.
 
 Defined results: a null url, or one without "://", has an empty host and path and fits no rule; a host without a dot is
-its own domain and suffix; a page without an outcome counts nowhere; without any outcome the global rate is 0.5 with
+its own domain and suffix; ports count for the host alone; a registered domain is the label before the suffix, which is the
+last label, or the last two where a country gives out names under one of SECOND; a page without an outcome counts nowhere; without any outcome the global rate is 0.5 with
 no evidence, and nothing is blocked but by rules; rows that repeat a page are judged each, their outcomes counted each.
 """
 
@@ -19,11 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MAX_RULES, LEAST_GOOD, Z = 10_000, 0.5, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Labels under which countries' domains are given out, as in co.uk; with the country they are a suffix.
+SECOND = "ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch"
+SUFFIX, DOMAIN = rf"(?:^|\.)((?:{SECOND})\.[a-z][a-z]|[^.]*)$", rf"(?:^|\.)([^.]*\.(?:(?:{SECOND})\.[a-z][a-z]|[^.]*))$"
+#: A port isn't part of a name; a number for a host is its own domain, all of these have one suffix.
+PORT, ADDRESS, NUMBERS = r":[0-9]*$", r"^([0-9.]+|\[.*)$", "(number)"
 #: Least and greatest strength of a prior, in observations.
 WEAK, STRONG = 1.0, 1000.0
 
@@ -51,7 +57,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def with_levels(df: DataFrame) -> DataFrame:
-    return df.withColumn("domain", F.when(F.instr("host", ".") > 0, F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)).otherwise(F.col("host"))).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
+    """df with domain and suffix of its host."""
+    bare = F.regexp_replace("host", PORT, "")
+    named = lambda shape: F.coalesce(F.nullif(F.regexp_extract(bare, shape, 1), F.lit("")), bare)
+    number = bare.rlike(ADDRESS)
+    return df.withColumn("domain", F.when(number, bare).otherwise(named(DOMAIN))).withColumn("suffix", F.when(number, NUMBERS).otherwise(named(SUFFIX)))
 
 
 def shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str | None) -> DataFrame:
@@ -75,7 +85,7 @@ def shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str | None
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """(host, n, good, mean, strength) for a table (host, good 0/1/null); counts are combined before they are shuffled."""
-    hosts = with_levels(outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
+    hosts = checkpointed(with_levels(outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))))  # all levels are made of these
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     top = suffixes.agg(((F.sum("good") + 0.5) / (F.sum("n") + 1)).alias("mean"))
@@ -112,8 +122,10 @@ ORACLE_SQL = f"""
 with cut as (select page_id, case when url is null or position('://' in url) = 0 then '' else substr(url, position('://' in url) + 3) end as rest from pages),
 named as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
 known as (select doc_id as page_id, min(quality) as good from labels group by 1),
-hosts as (select host, case when contains(host, '.') then regexp_extract(host, '([^.]*\\.[^.]*)$', 1) else host end as domain, regexp_extract(host, '([^.]*)$', 1) as suffix, count(good)::double as n, coalesce(sum(good), 0)::double as good
-  from named left join known using (page_id) group by 1, 2, 3),
+cleaned as (select *, regexp_replace(host, '{PORT}', '') as bare from named),
+hosts as (select host, case when regexp_matches(bare, '{ADDRESS}') then bare else coalesce(nullif(regexp_extract(bare, '{DOMAIN}', 1), ''), bare) end as domain,
+  case when regexp_matches(bare, '{ADDRESS}') then '{NUMBERS}' else coalesce(nullif(regexp_extract(bare, '{SUFFIX}', 1), ''), bare) end as suffix, count(good)::double as n, coalesce(sum(good), 0)::double as good
+  from cleaned left join known using (page_id) group by 1, 2, 3),
 domains as (select domain, suffix, sum(n) as n, sum(good) as good from hosts group by 1, 2),
 suffixes as (select suffix, 1 as one, sum(n) as n, sum(good) as good from domains group by 1),
 top as (select 1 as one, (sum(good) + 0.5) / (sum(n) + 1) as mean from suffixes),

@@ -43,8 +43,8 @@ BANDS, ROWS, EQUAL = 32, 4, 75
 #: Rounds of comparing with one member at most, which end when fewer than WORTH of the pairs are alike; nodes of a key that are
 #: compared pair by pair without.
 ROUNDS, WORTH, MANY = 24, 0.02, 32
-#: Entries under a key that one task compares with each other.
-CELL = 2048
+#: Entries of a key that are joined to pairs at most; of more, those that one task compares with each other.
+PAIRED, CELL = 8, 2048
 LAST = (1 << 63) - 1
 
 
@@ -125,13 +125,13 @@ def sketches(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, sig, set of 32-bit shingle hashes) of (node, sig, text)."""
+    """(node, set of 32-bit shingle hashes) of (node, text)."""
     def run(found):
-        for node, sig, text in found:
+        for node, text in found:
             h = np.array(shingles(text.lower().split(), WORDS) or [0], np.uint64)
-            yield node, sig, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()
+            yield node, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()
 
-    return map_rows(docs, run, [("node", pa.int64()), ("sig", pa.binary()), ("held", pa.list_(pa.int32()))], "node long, sig binary, held array<int>", 1024)
+    return map_rows(docs, run, [("node", pa.int64()), ("held", pa.list_(pa.int32()))], "node long, held array<int>", 1024)
 
 
 def starred(df: DataFrame, key: str) -> DataFrame:
@@ -212,16 +212,16 @@ def pairs_under(entries: DataFrame, sigs: DataFrame) -> DataFrame:
     return crossed.mapInArrow(trimmed(run), "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike, each once, by nodes (node, sig, held)."""
+def verified(pairs: DataFrame, sets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike, each once, by sets (node, held) and signatures (node, sig)."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    return compared(plausible(pairs, nodes.select("node", "sig")), nodes)
+    return compared(plausible(pairs, sigs), sets)
 
 
-def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The same for plausible pairs; few pairs go to the sets, for many the sets are shuffled."""
     pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    set_of = lambda x: nodes.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
+    set_of = lambda x: sets.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
     one = set_of("a").join(if_few(pairs), "a")
     other = set_of("b").join(if_few(pairs.select("b").distinct()), "b", "left_semi")
     common = F.size(F.array_intersect("held_a", "held_b"))
@@ -249,7 +249,7 @@ def mixed(held: DataFrame, group: DataFrame) -> DataFrame:
     return now.join(of.select("key", "s"), "key")
 
 
-def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+def grouped(held: DataFrame, sets: DataFrame, sigs: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) by all links of what indexed() gives; edges are links known before."""
     group = checkpointed(components(edges))
     large = held.where(F.col("m") > MANY)
@@ -259,14 +259,17 @@ def grouped(held: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
             large = large.limit(0)
             break
         star = checkpointed(now.where(f"x.node <> s.node and {MAY.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b")).distinct())
-        found = verified(star, sets)
+        found = verified(star, sets, sigs)
         edges = checkpointed(edges.unionByName(found))
-        group = checkpointed(components(edges))
+        group = checkpointed(components(edges), release=True)
         large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m", "x.own")
         if found.count() < WORTH * star.count():
             break
-    left = mixed(held.where(F.col("m") <= MANY).unionByName(large), group)
-    return components(edges.unionByName(compared(pairs_under(left, sets.select("node", "sig")), sets)))
+    left = checkpointed(mixed(held.where(F.col("m") <= MANY).unionByName(large), group).select("key", "x", "m"))
+    few = left.where(F.col("m") <= PAIRED).select("key", "x")
+    two = few.select("key", F.col("x").alias("p")).join(few.select("key", F.col("x").alias("q")), "key").where(f"p.node < q.node and {MAY.format('p', 'q')}")
+    two = plausible(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), sigs)
+    return components(edges.unionByName(compared(two.unionByName(pairs_under(left.where(F.col("m") > PAIRED), sigs)), sets)))
 
 
 def node_of(docs: DataFrame, text):
@@ -283,21 +286,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node.alias("node"), ids.alias("id"), text.cast("binary").alias("text"))
     often = recurring(own.select("node", "text"))
     rows = sketches(own.select("id", "node", "text"), often)
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "first", "sig", "keys"))), release=True)
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "n", "first", "sig", "keys"))), release=True)
     repeated = checkpointed(own.groupBy("node", "id").count().where("count > 1").select("node", "id"))
     held = indexed(nodes, "if(pos < first, pos, 0)")
     wanted = checkpointed(nodes.select("node", "id", "sig").join(held.select("node").distinct(), "node"))
-    sets = shingle_sets(own.join(if_few(wanted), ["node", "id"]).select("node", "sig", "text"))
-    sets = checkpointed(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), release=True)
+    sets = shingle_sets(own.join(if_few(wanted.select("node", "id")), ["node", "id"]).select("node", "text"))
+    sets, sigs = checkpointed(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), release=True), wanted.select("node", "sig")
     fps = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(fps.select("fp")).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     near = near.join(fps.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb").select("a", "b")
-    edges = verified(near.unionByName(starred(nodes.select("node", "fp"), "fp")), sets)
-    group = grouped(held, sets, edges).select(F.col("id").alias("node"), "component")
-    of = nodes.select("node", "id").join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "id", "node")
-    stays = of.groupBy("component").agg(F.min(F.struct("id", "node")).alias("s")).select("s.id", "s.node")
-    stays = checkpointed(stays.join(repeated.withColumn("many", F.lit(True)), ["id", "node"], "left"))
-    kept = own.drop("text").join(if_few(stays), ["id", "node"])
+    edges = verified(near.unionByName(starred(nodes.select("node", "fp"), "fp")), sets, sigs)
+    group = grouped(held, sets, sigs, edges).select(F.col("id").alias("node"), "component")
+    of = nodes.select("node", "id", "copies").join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "id", "node", "copies")
+    stays = of.groupBy("component").agg(F.min(F.struct("id", "node")).alias("s")).select("component", F.col("s.node").alias("stays"))
+    # nodes that go, or of whose copies one stays: few beside the rows that are left alone
+    touched = of.join(stays, "component").where("node <> stays or copies > 1").select("node", F.expr("if(node = stays, id, null)").alias("keep"))
+    touched = checkpointed(touched.join(repeated.select("node", F.col("id").alias("keep"), F.lit(True).alias("many")), ["node", "keep"], "left"), release=True)
+    kept = own.drop("text").join(if_few(touched.withColumn("touched", F.lit(True))), "node", "left").where("touched is null or id = keep")
     if not repeated.isEmpty():
         kept = kept.where("many is null").unionByName(kept.where("many").dropDuplicates(["id", "node"]))
     return kept.select("row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_few, map_rows, released, shuffle_partitions, table
+from .common import checkpointed, if_few, map_rows, shuffle_partitions, table
 from .near_copies import LAST, grouped, indexed, minima, prefix, recurring, signature
 
 ANCHORS = frozenset("the a an of to and in is that for it was on are with as at be this by from der die das und ist ein eine den von zu mit auf für nicht sich des le la les de un une et en est que pour du des au el los las y es por con una se no".split())
@@ -125,11 +125,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     # of texts with equal sets, that of the least id stands for them
     sets = map_rows(docs.join(if_few(wanted.select("id").distinct()), "id", "left_semi"), whole, [("id", pa.int64()), ("node", pa.int64()), ("held", pa.list_(pa.int32()))], "id long, node long, held array<int>", 1024)
-    sets = sets.join(if_few(wanted), ["node", "id"]).select("node", "sig", "held")
+    sets = sets.join(if_few(wanted.select("node", "id")), ["node", "id"]).select("node", "held")
     repeated = not docs.groupBy("id").count().where("count > 1").isEmpty()
     sets = checkpointed(sets.dropDuplicates(["node"]) if repeated else sets, release=True)
     none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    group = grouped(held, sets, none)
+    group = grouped(held, sets, wanted.select("node", "sig"), none)
     of = nodes.select("node", "id").join(group.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     of = checkpointed(of)
     least = F.nullif(F.min("id"), F.lit(LAST)).alias("class_id")
@@ -159,6 +159,5 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    classes = near_classes(docs)
-    released(spark)
-    return fingerprinted(docs).join(classes, "node").drop("node")
+    out = checkpointed(fingerprinted(docs), release=True)  # a small row each, before the join needs room
+    return out.join(near_classes(docs), "node").drop("node")
