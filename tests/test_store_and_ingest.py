@@ -344,3 +344,16 @@ def test_a_run_goes_on_after_a_source_that_fails(spark, tmp_path):
     assert (r.sources_processed, r.sources_failed, r.texts_parsed) == (2, 1, 4) and len(r.errors) == 1
     assert r.blocks_created == store.blocks().count() and r.edges_created == store.edges().count()
     assert ingest.ingest(spark, store, [Given(None), Given(SOURCES)], continue_on_error=False).sources_processed == 0
+
+
+def test_calls_are_linked_across_loads(spark, tmp_path):
+    """A call of a stored function is linked at once, one of a function that comes later by relink()."""
+    s = Store(spark, str(tmp_path / "s"))
+    load = lambda rows: ingest.ingest(spark, s, [type("Given", (), {"read": lambda self, spark: sources(spark, rows)})()])
+    load([("r", "a.zig", ["fn a() void {", "    b();", "}"])])
+    assert s.edges().count() == 0 and ingest.relink(s) == 0
+    load([("r", "b.zig", ["fn b() void {}"])])
+    assert ingest.relink(s) == 1 and s.edges().count() == 1 and ingest.relink(s) == 0
+    units = ingest.units_with_edges(sources(spark, [("r", "c.zig", ["fn c() void {", "    a();", "}"])]))
+    known = ingest.symbols_of(ingest.stored_units(s.blocks()))
+    assert ingest.resolve_edges(units).count() == 0 and ingest.resolve_edges(units, known=known).count() == 1

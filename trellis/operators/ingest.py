@@ -157,7 +157,7 @@ def chunk(units: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFram
         parts.append(F.when(F.size("metadata") > 0, F.col("metadata")).alias("original_metadata"))
     parts.append(F.when(F.col("repository") != "", F.col("repository")).alias("repository"))
     if "edges" in units.columns:
-        named = F.transform("edges", lambda e: F.struct(e["target_id"].alias("target_id"), edge_type_name(e["edge_type"]).alias("edge_type")))
+        named = F.transform("edges", lambda e: F.struct(e["target_id"].alias("target_id"), edge_type_name(e["edge_type"]).alias("edge_type"), F.nullif(e["imported"], F.lit("")).alias("imported")))
         parts.append(F.when(F.size("edges") > 0, named).alias("edges"))
     uri = F.format_string("file://%s#L%d-%d", F.col("location.file_path"), F.col("location.line_start"), F.col("location.line_end"))
     small = units.where(F.octet_length("content") <= config.max_unit_bytes)
@@ -175,7 +175,7 @@ def resolve_edges(units: DataFrame, config: ChunkerConfig = ChunkerConfig(), kno
     symbols = symbols if known is None else symbols.unionByName(known)
     place = F.struct("file", "line")
     last = lambda *by: symbols.groupBy(*by).agg(F.max_by("target", place).alias("target"))
-    calls = units.select(block_id(config.id_prefix).alias("source_id"), "file", "repository", F.explode("edges").alias("e"))
+    calls = units.select(_own_id(units, config).alias("source_id"), "file", "repository", F.explode("edges").alias("e"))
     calls = calls.select("source_id", "file", "repository", F.col("e.target_id").alias("name"), F.col("e.edge_type").alias("edge_type"), F.col("e.imported").alias("imported"))
     kind = F.col("edge_type") == int(EdgeType.CALLS_METHOD)
     calls = calls.withColumn("method", F.explode(F.when(F.col("edge_type") == int(EdgeType.CALLS), F.array(F.lit(False), F.lit(True))).when(F.col("imported") != "", F.array(F.lit(False))).otherwise(F.array(kind))))
@@ -189,7 +189,34 @@ def resolve_edges(units: DataFrame, config: ChunkerConfig = ChunkerConfig(), kno
 def symbols_of(units: DataFrame, config: ChunkerConfig = ChunkerConfig()) -> DataFrame:
     """(file, repository, name, method, line, target) of functions."""
     is_method = F.coalesce(F.try_element_at("metadata", F.lit("is_method")) == "true", F.lit(False))
-    return units.where("unit_type = 'function'").select("file", "repository", "name", is_method.alias("method"), F.col("location.line_start").alias("line"), block_id(config.id_prefix).alias("target"))
+    return units.where("unit_type = 'function'").select("file", "repository", "name", is_method.alias("method"), F.col("location.line_start").alias("line"), _own_id(units, config).alias("target"))
+
+
+def _own_id(units: DataFrame, config: ChunkerConfig) -> Column:
+    return F.col("block_id") if "block_id" in units.columns else block_id(config.id_prefix)
+
+
+STORED = "unit_type string, unit_id string, location struct<file_path:string,line_start:int,line_end:int,col_start:int,col_end:int>, original_metadata map<string,string>, repository string, edges array<struct<target_id:string,edge_type:string,imported:string>>"
+
+
+def stored_units(blocks: DataFrame) -> DataFrame:
+    """Units as chunk() wrote them into blocks, with the block's id as block_id: what resolve_edges() and symbols_of() need."""
+    m = blocks.select(F.col("id").alias("block_id"), F.from_json("metadata_json", STORED).alias("m")).where("m.unit_type is not null and m.location is not null").select("block_id", "m.*")
+    code = F.create_map(*(F.lit(x) for t in EdgeType for x in (t.name.lower(), int(t))))
+    repository = F.coalesce("repository", F.lit(""))
+    edges = F.transform(F.coalesce("edges", F.array()), lambda e: F.struct(e["target_id"].alias("target_id"), code[e["edge_type"]].cast("short").alias("edge_type"), F.coalesce(e["imported"], F.lit("")).alias("imported")))
+    name = F.when(F.col("unit_type") == "function", F.substring_index("unit_id", ":", -1)).otherwise("")
+    return m.select("block_id", F.concat_ws("\n", repository, "location.file_path").alias("file"), repository.alias("repository"), F.col("unit_id").alias("id"), "unit_type", name.alias("name"), "location", F.coalesce("original_metadata", F.create_map().cast("map<string,string>")).alias("metadata"), edges.alias("edges"))
+
+
+def relink(store, config: ChunkerConfig = ChunkerConfig()) -> int:
+    """Puts the edges that the calls of all stored units mean now and that the store hasn't; how many there are.  For calls of functions
+    that came into the store later than their callers."""
+    found = resolve_edges(stored_units(store.blocks()), config)
+    new = checkpointed(found.join(store.edges(), ["source_id", "target_id", "edge_type"], "left_anti"))
+    if n := new.count():
+        store.put_edges(new)
+    return n
 
 
 def pipeline_stats(sources: DataFrame, units: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Op, block_error, edge_error, split_valid
-from ..operators.ingest import ChunkerConfig, ParserConfig, chunk, resolve_edges, units_with_edges
+from ..operators.ingest import ChunkerConfig, ParserConfig, chunk, resolve_edges, stored_units, symbols_of, units_with_edges
 from ..operators.store import OPS, Store
 
 
@@ -33,10 +33,14 @@ def _start(stream: DataFrame, write, checkpoint: str, once: bool):
 
 
 def ingest_stream(sources: DataFrame, store: Store, checkpoint: str, parser: ParserConfig = ParserConfig(), chunker: ChunkerConfig = ChunkerConfig(), once: bool = True):
-    """Parses source rows (see `sources.files.stream_tree`) into the store; edges resolve within a micro-batch."""
+    """Parses source rows (see `sources.files.stream_tree`) into the store; calls mean functions of the micro-batch or of the store.
+
+    Calls of functions that come in a later micro-batch are linked by `operators.ingest.relink`.
+    """
     def write(df: DataFrame, batch: int) -> None:
         units = units_with_edges(df.drop("replaced"), parser)
-        store.append(as_ops(chunk(units, chunker), resolve_edges(units, chunker)), store.batch_for(_name(checkpoint), batch))
+        known = symbols_of(stored_units(store.blocks()), chunker)
+        store.append(as_ops(chunk(units, chunker), resolve_edges(units, chunker, known)), store.batch_for(_name(checkpoint), batch))
 
     return _start(sources, write, checkpoint, once)
 
