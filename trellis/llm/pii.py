@@ -10,13 +10,15 @@ logistic regression on votes, kind, length and make-up.  Candidates with a proba
 Only counts by pattern (a bounded number: kinds x votes x lengths) come to the driver.
 
 Defined results: a null text is empty and has no spans; positions are code points, ends exclusive; a candidate that
-overlaps a base span or an earlier candidate isn't one; without candidates nothing is learned or added.
+overlaps a base span or an earlier candidate isn't one; without candidates nothing is learned or added; texts of any
+length are searched whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -88,11 +90,20 @@ def candidates(text: str, base: list) -> list[tuple[str, int, int]]:
         found += [("secret", *m.span(1)) for m in QUOTED.finditer(text)]
     for kind, shape in (("secret", KEY), ("iban", IBAN), ("national_id", NATIONAL), ("local_phone", LOCAL_PHONE)):
         found += [(kind, *m.span()) for m in shape.finditer(text)]
-    taken, out = sorted((a, b) for _, a, b in base), []
+    # base spans as stretches that are apart; candidates come by start, so of those taken the last end is the furthest
+    begins, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    out, last = [], 0
     for kind, a, b in sorted(set(found), key=lambda c: (c[1], c[2], KINDS[c[0]])):
-        if all(b <= x or a >= y for x, y in taken):
+        k = bisect_left(begins, b) - 1  # the last stretch that begins before the candidate ends
+        if a >= last and (k < 0 or ends[k] <= a):
             out.append((kind, a, b))
-            taken.append((a, b))
+            last = b
     return out
 
 
