@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpointed, rows, shuffle_partitions, squeeze, trimmed, unsqueeze
+from .common import all_rows, batch_of, checkpointed, rows, shuffle_partitions, squeeze, trimmed, unsqueeze
 
 BLOCK_BYTES = 4 << 20
 PACKED = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
@@ -41,13 +41,12 @@ def pack(docs: DataFrame, encode, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     def run(batches):
         first, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for b in batches:
-            for r in rows(b):
-                held.append(r)
-                size += len(r[at] or b"") + 64
-                if size >= block_bytes:
-                    yield batch_of(PACKED, [(first, squeeze(encode(held)))])
-                    first, held, size = first + 1, [], 0
+        for r in all_rows(batches):
+            held.append(r)
+            size += len(r[at] or b"") + 64
+            if size >= block_bytes:
+                yield batch_of(PACKED, [(first, squeeze(encode(held)))])
+                first, held, size = first + 1, [], 0
         if held:
             yield batch_of(PACKED, [(first, squeeze(encode(held)))])
 
@@ -64,7 +63,8 @@ def ask(blocks: DataFrame, emit) -> DataFrame:
     """emit(payload[, answers by part]) yields (part, body)."""
     def run(batches):
         for b in batches:
-            for r in rows(b):
+            for r in (b.slice(i, 1) for i in range(b.num_rows)):
+                r = next(rows(r))
                 yield batch_of(ASKED, [(p, r[0], squeeze(x)) for p, x in emit(unsqueeze(r[1]), *(opened(a) for a in r[2:]))])
 
     return blocks.mapInArrow(trimmed(run), "part int, block long, body binary")

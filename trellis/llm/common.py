@@ -81,26 +81,34 @@ def rows(batch: pa.RecordBatch):
         yield from zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True)
 
 
+def all_rows(batches):
+    """Rows of all batches, of which one is held at a time."""
+    for b in batches:
+        yield from rows(b)
+        del b
+
+
 def batch_of(schema: pa.Schema, found: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*found, strict=True)) if found else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def slices(batch: pa.RecordBatch, n: int = 512):
-    """A batch in parts, so that what is sent back is never large."""
-    return (batch.slice(i, n) for i in range(0, batch.num_rows, n))
+    """A batch in parts of their own memory, so that what is sent back is never large, nor keeps the batch."""
+    return (batch.take(pa.array(np.arange(i, min(i + n, batch.num_rows)))) for i in range(0, batch.num_rows, n))
 
 
 def trimmed(fn):
     """fn for mapInArrow or applyInArrow; when it ends, the worker gives freed memory back instead of keeping it for its next task."""
+    libc = lambda name: getattr(ctypes.CDLL(None), name, lambda *_: 0)  # noqa: E731  glibc's alone has these
+
     def give_back():
         pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
-        if trim:
-            trim(0)
+        libc("malloc_trim")(0)
 
     @functools.wraps(fn)
     def run(given):
+        libc("mallopt")(-3, 1 << 20)  # arrays of a MB and more are of their own, and go back when they are freed
         if isinstance(given, pa.Table):
             try:
                 return fn(given)
@@ -123,7 +131,7 @@ def map_rows(df: DataFrame, fn, fields: list[tuple[str, pa.DataType]], ddl: str,
 
     def run(batches):
         held = []
-        for x in fn(r for b in batches for r in rows(b)):
+        for x in fn(all_rows(batches)):
             held.append(x)
             if len(held) >= every:
                 yield batch_of(schema, held)
@@ -160,6 +168,10 @@ def remainder(doc_id, by: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % by
 
 
+#: Edges in one part of a checkpoint.
+EDGES_EACH = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each id of edges (a, b) is joined to; alternating large and small stars.
 
@@ -181,7 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), release=True)
     before = None
     while (after := state(now)) != before and after[0]:
-        before, now = after, checkpointed(rewire(rewire(now, True), False))
+        # few edges are kept in few parts: a round is then some tasks and files, not one for each shuffle partition
+        before, now = after, checkpointed(rewire(rewire(now, True), False).coalesce(-(-after[0] // EDGES_EACH)))
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 

@@ -160,16 +160,19 @@ def matrix(sigs: pa.Array) -> np.ndarray:
 
 def within(key: np.ndarray, node: np.ndarray, n: np.ndarray, i: np.ndarray, c: np.ndarray, part: np.ndarray, sig: np.ndarray):
     """(a, b) arrays of plausible pairs of entries that stand side by side under equal keys: those of short runs by distance, of
-    long ones member by member."""
+    long ones member by member.  A pair with several bands in common is told under the first one."""
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[cuts, len(key)])
-    of = np.repeat(size, size)
+    of, place = np.repeat(size, size), np.maximum(i, 0)
 
     def keep(x, y):
-        may = (c[x] != c[y]) & (9 * (np.minimum(n[x] - i[x], n[y] - i[y]) + 1) >= 4 * (n[x] + n[y])) & ((part[x] < 0) | (part[x] != part[y]))
+        may = (c[x] != c[y]) & (9 * (np.minimum(n[x] - place[x], n[y] - place[y]) + 1) >= 4 * (n[x] + n[y])) & ((part[x] < 0) | (part[x] != part[y]))
         x, y = x[may], y[may]
-        same = (sig[x] == sig[y]).sum(1) >= EQUAL
-        return node[x[same]], node[y[same]]
+        same = sig[x] == sig[y]
+        enough = same.sum(1) >= EQUAL
+        x, y, same = x[enough], y[enough], same[enough]
+        first = (i[x] >= 0) | (same.reshape(len(x), BANDS, ROWS).all(2).argmax(1) == -1 - i[x])
+        return node[x[first]], node[y[first]]
 
     for d in range(1, 16):
         x = np.flatnonzero((key[:-d] == key[d:]) & (of[:-d] <= 16)) if len(key) > d else np.empty(0, np.int64)
@@ -230,8 +233,8 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def indexed(nodes: DataFrame, place: str = "pos") -> DataFrame:
-    """(key, node, n, i, m, own) of nodes (node, n, keys): keys that m > 1 nodes have, i the place of the key, own how many keys
-    of the node no other one has."""
+    """(key, node, n, i, m, own) of nodes (node, n, keys): keys that m > 1 nodes have, i the place of the key (-1 - band of one
+    that isn't of a prefix), own how many keys of the node no other one has."""
     one = nodes.select("*", F.size("keys").alias("k"), F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", F.expr(place).cast("int").alias("i"), "k")
     held = checkpointed(one.join(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), release=True)
     own = held.groupBy("node").agg((F.first("k") - F.count("*")).cast("int").alias("own"))
@@ -239,7 +242,7 @@ def indexed(nodes: DataFrame, place: str = "pos") -> DataFrame:
 
 
 #: Of two sets, all from the first shingle in common on at most: 0.8 of the union is 4 / 9 of both sizes; one more as above.
-MAY = "9 * (least({0}.n - {0}.i, {1}.n - {1}.i) + 1) >= 4 * ({0}.n + {1}.n) and {0}.c <> {1}.c"
+MAY = "9 * (least({0}.n - greatest({0}.i, 0), {1}.n - greatest({1}.i, 0)) + 1) >= 4 * ({0}.n + {1}.n) and {0}.c <> {1}.c"
 
 
 def mixed(held: DataFrame, group: DataFrame) -> DataFrame:
@@ -288,7 +291,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = sketches(own.select("id", "node", "text"), often)
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "n", "first", "sig", "keys"))), release=True)
     repeated = checkpointed(own.groupBy("node", "id").count().where("count > 1").select("node", "id"))
-    held = indexed(nodes, "if(pos < first, pos, 0)")
+    held = indexed(nodes, "if(pos < first, pos, first - pos - 1)")
     wanted = checkpointed(nodes.select("node", "id", "sig").join(held.select("node").distinct(), "node"))
     sets = shingle_sets(own.join(if_few(wanted.select("node", "id")), ["node", "id"]).select("node", "text"))
     sets, sigs = checkpointed(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), release=True), wanted.select("node", "sig")

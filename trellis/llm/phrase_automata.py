@@ -282,8 +282,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     arrow, text = to_arrow_schema(out), docs.columns.index("text")
 
     def finish(batches):
-        for b in batches:
-            for _, payload, windows in rows(b):
+        for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            for _, payload, windows in rows(one):
                 _, texts, others = unsqueeze(payload)
                 got = opened(windows)
                 lens, gone = removed(next(x for p, x in got.items() if p < 0), got)

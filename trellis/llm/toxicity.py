@@ -287,6 +287,7 @@ def scored(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, colu
             for b in slices(whole):
                 score = [1 / (1 + math.exp(-float(g.features(t or "") @ weights[:-1] + weights[-1]))) for t in b.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, column])
+            del whole
 
     return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
