@@ -232,32 +232,33 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(one.join(other, "b").where(likeness >= LEAST).select("a", "b"), release=True)
 
 
-def indexed(nodes: DataFrame, place: str = "pos") -> DataFrame:
-    """(key, node, n, i, m, own) of nodes (node, n, keys): keys that m > 1 nodes have, i the place of the key (-1 - band of one
-    that isn't of a prefix), own how many keys of the node no other one has."""
+def indexed(nodes: DataFrame, place: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """(key, node, n, i, m) of nodes (node, n, keys): keys that m > 1 nodes have, i the place of the key (-1 - band of one
+    that isn't of a prefix); and (node, own): how many keys of the node no other one has."""
     one = nodes.select("*", F.size("keys").alias("k"), F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", F.expr(place).cast("int").alias("i"), "k")
     held = checkpointed(one.join(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), release=True)
-    own = held.groupBy("node").agg((F.first("k") - F.count("*")).cast("int").alias("own"))
-    return checkpointed(held.drop("k").join(own, "node").select("key", "node", "n", "i", "m", "own"))
+    own = checkpointed(held.groupBy("node").agg((F.first("k") - F.count("*")).cast("int").alias("own")))
+    return held.drop("k"), own
 
 
 #: Of two sets, all from the first shingle in common on at most: 0.8 of the union is 4 / 9 of both sizes; one more as above.
 MAY = "9 * (least({0}.n - greatest({0}.i, 0), {1}.n - greatest({1}.i, 0)) + 1) >= 4 * ({0}.n + {1}.n) and {0}.c <> {1}.c"
 
 
-def mixed(held: DataFrame, group: DataFrame) -> DataFrame:
-    """(key, x, s): entries x under keys whose nodes are in several groups, s the one of these with the fewest keys of its own."""
-    now = held.join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("key", F.struct("own", "node", "n", "i", F.coalesce("component", "node").alias("c")).alias("x"), "m")
+def mixed(held: DataFrame, own: DataFrame, group: DataFrame) -> DataFrame:
+    """(key, x, m, s): entries x under keys whose nodes are in several groups, s the one of these with the fewest keys of its own."""
+    of = own.join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "own", F.coalesce("component", "node").alias("c"))
+    now = held.join(of, "node").select("key", F.struct("own", "node", "n", "i", "c").alias("x"), "m")
     of = now.groupBy("key").agg(F.min("x").alias("s"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1")
     return now.join(of.select("key", "s"), "key")
 
 
-def grouped(held: DataFrame, sets: DataFrame, sigs: DataFrame, edges: DataFrame) -> DataFrame:
+def grouped(held: DataFrame, own: DataFrame, sets: DataFrame, sigs: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) by all links of what indexed() gives; edges are links known before."""
     group = checkpointed(components(edges))
     large = held.where(F.col("m") > MANY)
     for _ in range(ROUNDS):
-        now = checkpointed(mixed(large, group))
+        now = checkpointed(mixed(large, own, group))
         if now.isEmpty():
             large = large.limit(0)
             break
@@ -265,10 +266,11 @@ def grouped(held: DataFrame, sets: DataFrame, sigs: DataFrame, edges: DataFrame)
         found = verified(star, sets, sigs)
         edges = checkpointed(edges.unionByName(found))
         group = checkpointed(components(edges), release=True)
-        large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m", "x.own")
+        large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m")
         if found.count() < WORTH * star.count():
             break
-    left = checkpointed(mixed(held.where(F.col("m") <= MANY).unionByName(large), group).select("key", "x", "m"))
+    left = mixed(held.where(F.col("m") <= MANY).unionByName(large), own, group)
+    left = checkpointed(left.select("key", F.struct("x.node", "x.n", "x.i", "x.c").alias("x"), "m"), release=True)
     few = left.where(F.col("m") <= PAIRED).select("key", "x")
     two = few.select("key", F.col("x").alias("p")).join(few.select("key", F.col("x").alias("q")), "key").where(f"p.node < q.node and {MAY.format('p', 'q')}")
     two = plausible(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), sigs)
@@ -291,15 +293,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = sketches(own.select("id", "node", "text"), often)
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "n", "first", "sig", "keys"))), release=True)
     repeated = checkpointed(own.groupBy("node", "id").count().where("count > 1").select("node", "id"))
-    held = indexed(nodes, "if(pos < first, pos, first - pos - 1)")
-    wanted = checkpointed(nodes.select("node", "id", "sig").join(held.select("node").distinct(), "node"))
+    held, alone = indexed(nodes, "if(pos < first, pos, first - pos - 1)")
+    wanted = checkpointed(nodes.select("node", "id", "sig").join(alone.select("node"), "node"))
     sets = shingle_sets(own.join(if_few(wanted.select("node", "id")), ["node", "id"]).select("node", "text"))
     sets, sigs = checkpointed(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), release=True), wanted.select("node", "sig")
     fps = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(fps.select("fp")).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     near = near.join(fps.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb").select("a", "b")
     edges = verified(near.unionByName(starred(nodes.select("node", "fp"), "fp")), sets, sigs)
-    group = grouped(held, sets, sigs, edges).select(F.col("id").alias("node"), "component")
+    nodes = checkpointed(nodes.select("node", "id", "copies"))  # the keys aren't needed any more
+    group = grouped(held, alone, sets, sigs, edges).select(F.col("id").alias("node"), "component")
     of = nodes.select("node", "id", "copies").join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "id", "node", "copies")
     stays = of.groupBy("component").agg(F.min(F.struct("id", "node")).alias("s")).select("component", F.col("s.node").alias("stays"))
     # nodes that go, or of whose copies one stays: few beside the rows that are left alone

@@ -115,8 +115,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = map_rows(docs, index, fields, "id long, node long, n int, sig binary, keys array<long>", 1024)
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys"))), release=True)
     # the place of a spot in its set's order: keys of both partitions stand side by side
-    held = indexed(nodes, "pos div (size(keys) div (n div 5 + 1))")
-    wanted = checkpointed(nodes.select("node", "id", "sig").join(held.select("node").distinct(), "node"))
+    held, alone = indexed(nodes, "pos div (size(keys) div (n div 5 + 1))")
+    wanted = checkpointed(nodes.select("node", "id", "sig").join(alone.select("node"), "node"))
+    nodes = checkpointed(nodes.select("node", "id"))  # the keys aren't needed any more
 
     def whole(found):
         for i, text in found:
@@ -129,7 +130,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     repeated = not docs.groupBy("id").count().where("count > 1").isEmpty()
     sets = checkpointed(sets.dropDuplicates(["node"]) if repeated else sets, release=True)
     none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    group = grouped(held, sets, wanted.select("node", "sig"), none)
+    group = grouped(held, alone, sets, wanted.select("node", "sig"), none)
     of = nodes.select("node", "id").join(group.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     of = checkpointed(of)
     least = F.nullif(F.min("id"), F.lit(LAST)).alias("class_id")
