@@ -225,21 +225,20 @@ def reply_first(part, bodies):
         yield (np.packbits(part),)
 
 
-def removed(kept: tuple, got: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(words of each document, which words go) from what the block kept for itself and the partitions' answers."""
-    lens, places, ranks, part, settled = kept
-    at, rank, settled = np.cumsum(places), np.cumsum(ranks), np.cumsum(settled)
+def removed(w: Windows, n_parts: int, got: dict) -> np.ndarray:
+    """Which words go, from what the block kept for itself and the partitions' answers."""
+    may, settled = (np.unpackbits(x, count=len(w.at)).astype(bool) for x in next(x for p, x in got.items() if p < 0))
+    _, _, first, inverse, part = windows_of(w, may, n_parts)
     order, cuts = by_part(part)
     later = np.zeros(len(part), bool)
     for p, s in cuts:
         later[order[s]] = np.unpackbits(got[p][0], count=s.stop - s.start).astype(bool)
-    first = np.zeros(len(rank), bool)
-    first[np.unique(rank, return_index=True)[1]] = True
-    at = np.r_[at[later[rank] | ~first], settled]
-    edge = np.zeros(int(lens.sum()) + 1, np.int64)
+    at = w.at[may]
+    at = np.r_[at[later[inverse] | (at != first[inverse])], w.at[settled]]
+    edge = np.zeros(len(w.word) + 1, np.int64)
     edge[at] += 1  # each place is there once
     edge[at + WINDOW] -= 1
-    return lens, np.cumsum(edge)[:-1] > 0
+    return np.cumsum(edge)[:-1] > 0
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -267,8 +266,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         settled = machines(automata).settled(w, payload[1])
         may &= ~settled
         x, y, first, rank, part = windows_of(w, may, n_parts)
-        change = lambda v: np.diff(v, prepend=0)  # noqa: E731  of numbers in a row: ones, which compress
-        yield -1 - (zlib.crc32(w.ids.tobytes()) & 0xFFFFF), (w.lens, change(w.at[may]), change(rank), part, change(w.at[settled]))  # spread, as many groups as blocks
+        yield -1 - (zlib.crc32(w.ids.tobytes()) & 0xFFFFF), (np.packbits(may), np.packbits(settled))  # spread, as many groups as blocks
         order, cuts = by_part(part)
         for p, s in cuts:
             doc = w.doc[first[order[s]]]
@@ -284,11 +282,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def finish(batches):
         for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
             for _, payload, windows in rows(one):
-                _, texts, others = unsqueeze(payload)
-                got = opened(windows)
-                lens, gone = removed(next(x for p, x in got.items() if p < 0), got)
+                block = unsqueeze(payload)
+                w = Windows(block)
+                gone = removed(w, n_parts, opened(windows))
                 a, held = 0, []
-                for n, whole, r in zip(lens.tolist(), texts, others, strict=True):
+                for n, whole, r in zip(w.lens.tolist(), *block[1:], strict=True):
                     words, out = whole.split(), gone[a : a + n]
                     lost = int(out.sum())
                     kept = [words[i] for i in np.flatnonzero(~out).tolist()] if lost else words

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, map_rows, slices, table, trimmed
 
-TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 17, 0.3
+TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 16, 0.3
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 TARGETS = frozenset("you your yours u he she they them him her his their people these those du dich dir ihr euch sie tu toi te vous votre ton ils elles tú usted ustedes ellos ella".split())
