@@ -257,8 +257,9 @@ def grouped(held: DataFrame, own: DataFrame, sets: DataFrame, sigs: DataFrame, e
     """(id, component) by all links of what indexed() gives; edges are links known before."""
     group = checkpointed(components(edges))
     large = held.where(F.col("m") > MANY)
+    heavy = checkpointed(own.join(large.select("node").distinct(), "node", "left_semi"))  # the rounds touch no others
     for _ in range(ROUNDS):
-        now = checkpointed(mixed(large, own, group))
+        now = checkpointed(mixed(large, heavy, group))
         if now.isEmpty():
             large = large.limit(0)
             break
