@@ -2,7 +2,8 @@
 replaced, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it gets; all but the last return the columns of documents.
-No stage but packing adds or removes rows for other reasons, and clean texts stay as they are.
+No stage but packing adds or removes rows for other reasons, and clean texts stay as they are.  Before each one, executors
+give back the heap that the one before needed.
 
 Defined results: a null text stays null but counts as empty; an empty text is packed as its end alone; equal texts are one
 document after the second stage, of ties the least doc_id stays (null ids last); rows that repeat an id with different
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import near_copies, packing, phrase_automata, pii, toxicity
-from trellis.llm.common import checkpoint_dir, removed_folder, table
+from trellis.llm.common import checkpoint_dir, heaps_released, removed_folder, table
 
 def _plain(docs: DataFrame) -> DataFrame:
     """doc_id and text, and the other columns under names that clash with no operator's own."""
@@ -33,25 +34,30 @@ def _named(out: DataFrame, like: DataFrame, text=None) -> DataFrame:
 
 def not_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score below the threshold."""
+    heaps_released(spark)
     scored = toxicity.toxicity(_plain(docs), table(spark, sf_dir, "labels"), "score")
     return _named(scored.where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    heaps_released(spark)
     return near_copies.one_of_each(docs)
 
 
 def without_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose words become the words that stay, joined by spaces; a text may become empty."""
+    heaps_released(spark)
     out = phrase_automata.without_repeats(_plain(docs))
     return _named(out, docs, F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text")))
 
 
 def without_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    heaps_released(spark)
     return _named(pii.redacted(_plain(docs)), docs, F.col("text"))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    heaps_released(spark)
     return packing.packed(docs)
 
 

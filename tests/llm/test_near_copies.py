@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import frame
+from trellis.llm import common
 from trellis.llm import near_copies as m
 
 
@@ -85,3 +87,15 @@ def test_bands_find_what_is_alike():
             x, y = m.minima(a), m.minima(b)
             assert not set(m.keys(a, x, none)[0]).isdisjoint(m.keys(b, y, none)[0]), n
             assert sum(p == q for p, q in zip(m.signature(x), m.signature(y), strict=True)) >= m.EQUAL
+
+
+def test_few_links_are_joined_on_the_driver_as_by_shuffles(spark, monkeypatch):
+    r = random.Random(5)
+    links = [(r.randrange(-400, 400) * 7, r.randrange(-400, 400) * 7) for _ in range(260)] + [(10_000 + i, 10_001 + i) for i in range(60)] + [(3, 3)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    want = sorted(map(tuple, common.components(edges).collect()))
+    monkeypatch.setattr(common, "components", lambda _: "shuffled")
+    assert sorted(map(tuple, common.joined(edges).collect())) == want
+    assert common.joined(edges.limit(0)).collect() == []
+    monkeypatch.setattr(common, "FEW_ROWS", len(links) - 1)
+    assert common.joined(edges) == "shuffled"

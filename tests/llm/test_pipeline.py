@@ -5,6 +5,7 @@ import corpus_pipeline as c
 from tests.llm.helpers import corpus, frame
 from tests.llm.test_phrase_automata import brute as without_repeats
 from tests.llm.test_pii import brute as base_spans
+from trellis.llm import common
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -99,3 +100,26 @@ def test_a_long_text_goes_through_all_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     got = c.run(spark, d).collect()
     assert {r.doc_id for r in got} == {1, 3} and sum(r.length for r in got if r.doc_id == 1) > 60_000
+
+
+def test_heaps_are_given_back_before_each_stage(spark, monkeypatch):
+    class Released(Exception):
+        pass
+
+    def released(_):
+        raise Released
+
+    monkeypatch.setattr(c, "heaps_released", released)
+    for _, stage in c.STAGES:
+        with pytest.raises(Released):
+            stage(spark, None, "")
+
+
+def test_executors_collect_garbage_when_told(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    counted = lambda: sum(b.getCollectionCount() for b in beans())
+    assert common.executors(spark) == 0  # all on one machine
+    monkeypatch.setattr(common, "executors", lambda _: 2)
+    before = counted()
+    common.heaps_released(spark)
+    assert counted() >= before + 2

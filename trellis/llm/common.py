@@ -57,6 +57,17 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def executors(spark: SparkSession) -> int:
+    return spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # less the driver, which is alone on a single machine
+
+
+def heaps_released(spark: SparkSession) -> None:
+    """Each executor's JVM collects its garbage and gives the heap it doesn't need back; else it keeps what the step that
+    needed most has left, beside what Python workers need in the next.  To be called between large steps."""
+    if (n := executors(spark)) > 0:
+        spark.range(0, n, 1, n).where("java_method('java.lang.System', 'gc') is not null").count()  # a task for each
+
+
 #: Rows of a few numbers that may be broadcast.
 FEW_ROWS = 1 << 18
 
@@ -168,6 +179,27 @@ def remainder(doc_id, by: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % by
 
 
+def joined(edges: DataFrame) -> DataFrame:
+    """components() of checkpointed edges; if they are counted to be at most FEW_ROWS, it takes no shuffle, but the driver."""
+    if edges.count() > FEW_ROWS:
+        return components(edges)
+    held = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").toArrow()
+    ids, least = least_joined(*(held.column(c).to_numpy() for c in ("a", "b")))
+    return edges.sparkSession.createDataFrame(pa.table({"id": ids, "component": least}), "id long, component long")
+
+
+def least_joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the edges (a, b) in order, the least id that each is joined to)."""
+    ids, at = np.unique(np.r_[a, b].astype(np.int64), return_inverse=True)
+    root, x, y = np.arange(len(ids)), at[: len(a)], at[len(a) :]
+    while (root[x] != root[y]).any():
+        u, v = root[x], root[y]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
+
+
 #: Edges in one part of a checkpoint.
 EDGES_EACH = 200_000
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, if_few, map_rows, trimmed
+from .common import checkpointed, heaps_released, if_few, joined, map_rows, trimmed
 from .simhash_variants import fingerprint, links, shingles
 
 WORDS, LEAST = 5, 0.8
@@ -255,7 +255,7 @@ def mixed(held: DataFrame, own: DataFrame, group: DataFrame) -> DataFrame:
 
 def grouped(held: DataFrame, own: DataFrame, sets: DataFrame, sigs: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) by all links of what indexed() gives; edges are links known before."""
-    group = checkpointed(components(edges))
+    group = checkpointed(joined(edges))
     large = held.where(F.col("m") > MANY)
     heavy = checkpointed(own.join(large.select("node").distinct(), "node", "left_semi"))  # the rounds touch no others
     for _ in range(ROUNDS):
@@ -266,7 +266,7 @@ def grouped(held: DataFrame, own: DataFrame, sets: DataFrame, sigs: DataFrame, e
         star = checkpointed(now.where(f"x.node <> s.node and {MAY.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b")).distinct())
         found = verified(star, sets, sigs)
         edges = checkpointed(edges.unionByName(found))
-        group = checkpointed(components(edges), release=True)
+        group = checkpointed(joined(edges), release=True)
         large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m")
         if found.count() < WORTH * star.count():
             break
@@ -275,7 +275,7 @@ def grouped(held: DataFrame, own: DataFrame, sets: DataFrame, sigs: DataFrame, e
     few = left.where(F.col("m") <= PAIRED).select("key", "x")
     two = few.select("key", F.col("x").alias("p")).join(few.select("key", F.col("x").alias("q")), "key").where(f"p.node < q.node and {MAY.format('p', 'q')}")
     two = plausible(two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), sigs)
-    return components(edges.unionByName(compared(two.unionByName(pairs_under(left.where(F.col("m") > PAIRED), sigs)), sets)))
+    return joined(edges.unionByName(compared(two.unionByName(pairs_under(left.where(F.col("m") > PAIRED), sigs)), sets)))
 
 
 def node_of(docs: DataFrame, text):
@@ -293,6 +293,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     often = recurring(own.select("node", "text"))
     rows = sketches(own.select("id", "node", "text"), often)
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "n", "first", "sig", "keys"))), release=True)
+    heaps_released(docs.sparkSession)
     repeated = checkpointed(own.groupBy("node", "id").count().where("count > 1").select("node", "id"))
     held, alone = indexed(nodes, "if(pos < first, pos, first - pos - 1)")
     wanted = checkpointed(nodes.select("node", "id", "sig").join(alone.select("node"), "node"))
@@ -309,6 +310,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # nodes that go, or of whose copies one stays: few beside the rows that are left alone
     touched = of.join(stays, "component").where("node <> stays or copies > 1").select("node", F.expr("if(node = stays, id, null)").alias("keep"))
     touched = checkpointed(touched.join(repeated.select("node", F.col("id").alias("keep"), F.lit(True).alias("many")), ["node", "keep"], "left"), release=True)
+    heaps_released(docs.sparkSession)
     kept = own.drop("text").join(if_few(touched.withColumn("touched", F.lit(True))), "node", "left").where("touched is null or id = keep")
     if not repeated.isEmpty():
         kept = kept.where("many is null").unionByName(kept.where("many").dropDuplicates(["id", "node"]))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, slices, table, trimmed
+from .common import checkpointed, heaps_released, map_rows, slices, table, trimmed
 
 TRAIN, AT_LEAST, MOST_TERMS, KNOWN, THRESHOLD = 24_000, 4, 2000, 1 << 16, 0.3
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -297,7 +297,9 @@ def held_out(doc_id):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic_score") -> DataFrame:
-    return scored(docs, *fit(docs, labels, lambda i: ~held_out(i)), column)
+    learned = fit(docs, labels, lambda i: ~held_out(i))
+    heaps_released(docs.sparkSession)
+    return scored(docs, *learned, column)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
