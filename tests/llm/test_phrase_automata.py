@@ -1,9 +1,12 @@
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import corpus, frame
-from trellis.llm.phrase_automata import WINDOW, numbered, without_repeats
+from trellis.llm import phrase_automata
+from trellis.llm.phrase_automata import PHRASE, WINDOW, Automata, Windows, listed, numbered, phrases_of, rolling, without_repeats
 
 
 def brute(rows):
@@ -39,6 +42,63 @@ def test_against_brute_force(spark, seed):
     assert all(r.score == 1.0 for r in got)
 
 
+def block(seed: int = 3) -> tuple:
+    rows = sorted((i, (t or "").encode()) for i, t in corpus(seed) if i is not None)
+    return np.array([i for i, _ in rows], np.int64), [t for _, t in rows], None
+
+
+def test_the_first_least_phrase_stands_for_a_window():
+    w = Windows(block())
+    assert w.stands.tolist() == [a + int(np.argmin(w.phrases[a : a + WINDOW - PHRASE + 1])) for a in w.at.tolist()]
+    assert listed(w.vocab) == w.vocab.to_pylist() and listed(w.vocab[2:5]) == w.vocab[2:5].to_pylist() and listed(pa.array([], pa.large_binary())) == []
+    for texts in ([], [b""], [b"a b c"], [b"x " * 19], [b"x " * 20]):
+        assert len(Windows((np.arange(len(texts)), texts, None)).stands) == len(Windows((np.arange(len(texts)), texts, None)).at)
+
+
+def test_hashes_at_places_are_those_of_all():
+    h = Windows(block()).words
+    for at in (np.arange(0, len(h) - WINDOW, 50), np.arange(len(h) - WINDOW + 1), np.empty(0, np.int64)):
+        assert np.array_equal(rolling(h, WINDOW, at=at), rolling(h, WINDOW)[at])
+
+
+def test_automata_read_only_stretches_that_recur():
+    """The same windows are settled as by reading all, and documents without a window that recurs are not read."""
+    ids, texts, _ = b = block()
+    w = Windows(b)
+    _, of_window, many, _ = phrases_of(w, 1)
+    passage = max((t for t in texts if texts.count(t) > 1), key=len).split()
+    holder = min(int(i) for i, t in zip(ids, texts, strict=True) if t.split() == passage)
+    machine = Automata([(b" ".join(passage[:25]), holder, 0)])
+    got = machine.settled(w, texts, many[of_window])
+    assert got.any() and np.array_equal(got, machine.settled(w, texts))
+
+    class Text(bytes):
+        reads = 0
+
+        def split(self, *a):
+            Text.reads += 1
+            return super().split(*a)
+
+    machine.settled(w, [Text(t) for t in texts], many[of_window])
+    assert Text.reads == len(set(w.doc[w.at[many[of_window]]].tolist())) < len(texts)
+
+
+def test_blocks_that_speak_for_nothing_are_not_opened(monkeypatch):
+    """Looking for passages reads the answers first; only a block that was told to speak is unpacked."""
+    monkeypatch.setattr(phrase_automata, "unsqueeze", lambda _: pytest.fail("a block was opened"))
+    monkeypatch.setattr(phrase_automata, "opened", lambda _: {0: (np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))})
+    class Emitted(Exception):
+        pass
+
+    def emitted(_, emit, *a):
+        raise Emitted(list(emit([(0, b"", None)])))
+
+    monkeypatch.setattr(phrase_automata, "map_rows", emitted)
+    with pytest.raises(Emitted) as e:
+        phrase_automata.confirmed(None, 1)
+    assert e.value.args == ([],)
+
+
 def test_no_rows_and_no_windows(spark):
     docs = frame(spark, corpus())
     assert without_repeats(docs.limit(0)).count() == 0
