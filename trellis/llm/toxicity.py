@@ -23,6 +23,7 @@ by clause; columns of docs may have any names but that of the score.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -41,7 +42,8 @@ TARGETS = frozenset("you your yours u he she they them him her his their people
 NEGATION = frozenset("not no never isn't aren't wasn't don't nobody neither nicht kein keine nie niemals ne pas jamais aucun nunca ningún tampoco".split())
 REPORT = frozenset("said says say told claims claimed quoted quote reported wrote called sagte sagt behauptet schrieb dit disait affirme écrit dijo dice afirma escribió".split())
 THREATS = tuple(tuple(p.split()) for p in ("i will kill", "i'll kill", "kill you", "kill yourself", "hurt you", "find you", "burn you", "you will die", "you deserve to die", "hope you die", "ich bring dich um", "bringe dich um", "je vais te tuer", "te tuer", "voy a matarte", "te voy a matar"))
-THREAT_STARTS = {p[0] for p in THREATS}
+#: Each phrase's longest word, the last of equal ones.
+THREAT_SIGNS = {p: max(p[::-1], key=len) for p in THREATS}
 NEGATED_WORDS = 3
 KINDS = ("insult", "insults", "faint", "threat", "both")
 CLASSES = [f"{m}/{t}" for m in KINDS for t in ("plain", "target", "negated", "reported")]
@@ -152,6 +154,25 @@ class Composed:
 class Grammar:
     def __init__(self, lexicon: dict[str, float]):
         self.insults, self.rest = Insults(lexicon), Composed(Threats(), Targets(), Negation(), Report())
+        self.heads = {t.removesuffix(TWICE).rstrip("*")[:4] for t in lexicon}
+        self.dull, self.notable = set(), {}
+
+    def notables(self, text: str) -> set[str]:
+        """The words of a lower-cased text that a match may hold; stretches between white space are looked at once, not each time."""
+        out = set()
+        for t in {*text.split()} - self.dull:
+            hit = self.notable.get(t)
+            if hit is None:
+                hit = [w for w in WORD.findall(t) if w in THREAT_WORDS or w[:4] in self.heads and self.insults.letter(w)[0][0] & MATCH]
+                if len(self.dull) + len(self.notable) > KNOWN:
+                    self.dull.clear()
+                    self.notable.clear()
+                if not hit:
+                    self.dull.add(t)
+                    continue
+                self.notable[t] = hit
+            out.update(hit)
+        return out
 
     def read(self, words: list[str]) -> tuple[str | None, float, int]:
         """(class, weight of live insults, live faint ones) of a clause."""
@@ -178,10 +199,16 @@ class Grammar:
     def features(self, text: str) -> np.ndarray:
         """log(1 + number of clauses) of each class, log(1 + weight) of live insults, that of faint ones, and their steps."""
         out = np.zeros(N_FEATURES)
-        insults, faints, letter = 0.0, 0, self.insults.letter
-        for c in CLAUSE.split(text.lower()):
+        insults, faints, text = 0.0, 0, text.lower()
+        words = self.notables(text)
+        marked = {w for w in words if self.insults.letter(w)[0][0] & MATCH}
+        phrases = [p for p in THREATS if words.issuperset(p)]
+        signs = [*marked, *{THREAT_SIGNS[p] for p in phrases}]
+        for c in CLAUSE.split(text) if signs else ():
+            if not any([x in c for x in signs]):
+                continue
             words = WORD.findall(c)
-            if any([letter(w)[0][0] & MATCH for w in words]) or not THREAT_STARTS.isdisjoint(words):
+            if not marked.isdisjoint(words) or any([{*words}.issuperset(p) for p in phrases]):
                 k, n, faint = self.read(words)
                 if k:
                     out[AT[k]] += 1
@@ -192,7 +219,7 @@ class Grammar:
         return out
 
 
-def terms_in(text: str) -> set[str]:
+def terms_in(text: str, terms_of=terms_of) -> set[str]:
     """The terms of a text's words, and those that stand in it twice marked so."""
     n: Counter = Counter()
     for w, k in Counter(WORD.findall(text.lower())).items():
@@ -243,25 +270,43 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
+def counts(found, terms):
+    """(term, in how many texts of those found), some at a time."""
+    held: Counter = Counter()
+    for (text,) in found:
+        held.update(terms(text))
+        if len(held) > 4 * KNOWN:
+            yield from held.items()
+            held.clear()
+    yield from held.items()
+
+
+def summed(texts: DataFrame, run, least: int) -> dict[str, int]:
+    """The terms with their counts from run(rows) added up, of at least so many; of a bounded sample."""
+    got = map_rows(texts, run, [("term", pa.string()), ("n", pa.int64())], "term string, n long", 1 << 14).groupBy("term").agg(F.sum("n").alias("n")).where(f"n >= {least}").toArrow()
+    return dict(zip(got.column("term").to_pylist(), got.column("n").to_pylist(), strict=True))
+
+
 def fit(docs: DataFrame, labels: DataFrame, trains) -> tuple[dict[str, float], np.ndarray]:
     """(lexicon, weights) from labels (doc_id, toxic) of the ids for which the column expression trains holds."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     labels = labels.where(trains(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN)  # the documented bound
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = checkpointed(texts.select("doc_id", "toxic", "text", F.xxhash64("text").alias("h")))
-    once = sample.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("toxic", "text")
-
-    def terms(found):
-        for toxic, text in found:
-            yield toxic, sorted(terms_in(text))
-
-    by_text = checkpointed(map_rows(once, terms, [("toxic", pa.int32()), ("terms", pa.list_(pa.string()))], "toxic int, terms array<string>"), release=True)
-    by_term = by_text.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where(f"k >= {AT_LEAST} and n - k <= if(endswith(term, '{TWICE}'), {CLEAN_TWICE}, {CLEAN}) * k")
-    held = by_term.collect()  # of a bounded sample
-    clean = Counter({r.term: r.n - r.k for r in held})
-    n_clean = by_text.where("toxic = 0").count()
-    kept = map_rows(by_text.where("toxic = 1").select("terms"), lambda found: (([t for t in x if t in clean],) for (x,) in found), [("terms", pa.list_(pa.string()))], "terms array<string>")
+    once = checkpointed(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("toxic", "text"), release=True)
+    toxic, others = once.where("toxic = 1").select("text"), once.where("toxic = 0").select("text")
+    # a term must stand in AT_LEAST toxic texts: only such terms are counted in the others
+    k = summed(toxic, lambda found: counts(found, terms_in), AT_LEAST)
+    base = {t.removesuffix(TWICE) for t in k}
+
+    def among(found):
+        own = functools.lru_cache(KNOWN)(lambda w: [t for t in terms_of(w) if t in base])
+        return counts(found, lambda text: [t for t in terms_in(text, own) if t in k])
+
+    n = summed(others, among, 1)
+    clean = Counter({t: n.get(t, 0) for t in k if n.get(t, 0) <= (CLEAN_TWICE if t.endswith(TWICE) else CLEAN) * k[t]})
+    n_clean = others.count()
+    kept = map_rows(toxic, lambda found: (([t for t in terms_in(text) if t in clean],) for (text,) in found), [("terms", pa.list_(pa.string()))], "terms array<string>")
     lexicon = cover([set(r.terms) for r in kept.collect()], clean, n_clean)
 
     def featured(found):
@@ -274,34 +319,35 @@ def fit(docs: DataFrame, labels: DataFrame, trains) -> tuple[dict[str, float], n
     return lexicon, logistic(np.repeat(x, n, 0), np.repeat(y, n))
 
 
-def scored(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, column: str = "toxic_score") -> DataFrame:
-    """docs with a score column (one of that name is replaced)."""
+def scored(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, column: str = "toxic_score", keep_text: bool = True) -> DataFrame:
+    """docs with a score column (one of that name is replaced); without the texts if these aren't needed any more."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     docs = docs.drop(column)
     at = docs.columns.index("text")
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def run(batches):
         g = Grammar(lexicon)
         for whole in batches:
             for b in slices(whole):
                 score = [1 / (1 + math.exp(-float(g.features(t or "") @ weights[:-1] + weights[-1]))) for t in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(score, pa.float64())], names=[*(b.schema.names[i] for i in kept), column])
             del whole
 
-    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*(docs.schema.fields[i] for i in kept), StructField(column, DoubleType())]))
 
 
 def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic_score") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic_score", keep_text: bool = True) -> DataFrame:
     learned = fit(docs, labels, lambda i: ~held_out(i))
     heaps_released(docs.sparkSession)
-    return scored(docs, *learned, column)
+    return scored(docs, *learned, column, keep_text)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), "score")
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), "score", keep_text=False)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
