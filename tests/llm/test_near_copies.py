@@ -99,3 +99,15 @@ def test_few_links_are_joined_on_the_driver_as_by_shuffles(spark, monkeypatch):
     assert common.joined(edges.limit(0)).collect() == []
     monkeypatch.setattr(common, "FEW_ROWS", len(links) - 1)
     assert common.joined(edges) == "shuffled"
+
+
+def test_minima_of_a_large_set_take_little_memory_besides():
+    import tracemalloc
+
+    h = np.random.default_rng(3).integers(0, 1 << 63, 20_001).astype(np.uint64)
+    want = [int((x ^ (x >> np.uint64(29))).min()) for x in (h * f for f in m.FACTORS[::40])]
+    tracemalloc.start()
+    got = m.minima(h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[::40].tolist() == want and peak < 1 << 20
