@@ -113,3 +113,32 @@ def test_query(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: (n, g, hashlib.sha256(k).hexdigest()) for r, (n, g, k) in zip(docs, brute([tuple(r) for r in docs]), strict=True)}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op7(spark, d).collect()} == want
+
+
+def test_hashes_of_long_blocks_take_little_memory_besides():
+    import tracemalloc
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 400_000).astype(np.uint64)
+    w = Windows.__new__(Windows)
+    w.words, w.at = h, np.arange(len(h) - WINDOW + 1)
+    at = w.at[::3].copy()
+    w.phrases  # noqa: B018  made before
+    for fn, size in ((lambda: rolling(h, WINDOW), h.nbytes), (lambda: rolling(h, WINDOW, at=at), at.nbytes), (lambda: w.stands, 2 * h.nbytes)):
+        tracemalloc.start()
+        fn()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.2 * size + (2 << 20), (peak, size)
+
+
+def test_steps_don_t_show_in_hashes_and_standing_phrases(monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [b" ".join(b"%d" % x for x in r.integers(0, 30, n)) for n in (3, 500, 19, 20, 21, 700)]
+    w = Windows((np.arange(len(texts)), texts, None))
+    want = [min(range(a, a + WINDOW - PHRASE + 1), key=lambda i: (int(w.phrases[i]), i)) for a in w.at.tolist()]
+    monkeypatch.setattr(phrase_automata, "STEP", 37)
+    again = Windows((np.arange(len(texts)), texts, None))
+    assert again.stands.tolist() == w.stands.tolist() == want
+    chosen = np.arange(len(w.at)) % 4 == 1
+    for x in (chosen, ~chosen):
+        assert all((a == b).all() for a, b in zip(w.hashes(x), again.hashes(x), strict=True))

@@ -43,14 +43,19 @@ WINDOW, PHRASE = 20, 8
 COMMON, PIECE, PASSAGE_BYTES, SHARD_BYTES = 8, 100, 1 << 18, 1 << 17
 #: Bytes of text in a block.
 BLOCK = 2 << 20
+#: Places that are worked on at a time: what is held between steps stays in a core's cache, and takes no new memory.
+STEP = 1 << 14
 NULL_ID = -(1 << 63)
 KEPT = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.BinaryType())]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def rolling(h: np.ndarray, k: int, by: int = 0x9E3779B97F4A7C15, at: np.ndarray | None = None) -> np.ndarray:
@@ -59,9 +64,13 @@ def rolling(h: np.ndarray, k: int, by: int = 0x9E3779B97F4A7C15, at: np.ndarray
     if at is not None and 2 * len(at) > n:
         return rolling(h, k, by)[at]
     out = np.zeros(n if at is None else len(at), np.uint64)
-    for j in range(k):
-        out = out * np.uint64(by) + (h[j : j + n] if at is None else h[at + j])
-    return mixed(out)
+    for a in range(0, len(out), STEP):
+        part = out[a : a + STEP]
+        for j in range(k):
+            part *= np.uint64(by)
+            part += h[a + j : a + j + len(part)] if at is None else h[at[a : a + STEP] + j]
+        part[:] = mixed(part)
+    return out
 
 
 def numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -112,13 +121,17 @@ class Windows:
     @cached_property
     def stands(self) -> np.ndarray:
         """Ascending; of equal phrases in a window the first one stands for it."""
-        least, place, width = self.phrases, np.arange(len(self.phrases)), 1
-        while width <= WINDOW - PHRASE:  # least ones of so many phrases in a row
-            step = min(width, WINDOW - PHRASE + 1 - width)
-            place = np.where(least[step:] < least[:-step], place[step:], place[:-step])
-            least = np.minimum(least[step:], least[:-step])
-            width += step
-        return place[self.at]
+        out = np.empty(max(0, len(self.phrases) - (WINDOW - PHRASE)), np.int64)
+        for a in range(0, len(out), STEP):
+            least, width = self.phrases[a : a + STEP + WINDOW - PHRASE], 1
+            place = np.arange(a, a + len(least))
+            while width <= WINDOW - PHRASE:  # least ones of so many phrases in a row
+                step = min(width, WINDOW - PHRASE + 1 - width)
+                place = np.where(least[step:] < least[:-step], place[step:], place[:-step])
+                least = np.minimum(least[step:], least[:-step])
+                width += step
+            out[a : a + STEP] = place
+        return out[self.at]
 
     def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each chosen window."""
