@@ -177,3 +177,18 @@ def test_query(spark):
     for r in got:
         w = want[r.doc_id]
         assert tuple(r)[:5] == w[:5] and math.isclose(r.base_score, w[5], rel_tol=1e-9) and math.isclose(r.score, w[6], rel_tol=1e-9)
+
+
+def test_a_block_is_encoded_without_an_object_for_each_token():
+    import tracemalloc
+
+    text = b" ".join(b"w%d" % (i * i % 997) for i in range(200_000))
+    m.encode(7, 2)([(1, b"what is imported once")])
+    tracemalloc.start()
+    vocab, _, word, lens, _, _ = m.encode(7, 2)([(1, text), (2, b""), (3, b" A b\x0ba ")])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = vocab.split(b"\n")
+    assert lens.tolist() == [200_001, 1, 4] and word[200_000:].tolist()[:2] == [0, 0]
+    assert [held[i] for i in word.tolist()] == [*text.split(), b"", b"", b"a", b"b", b"a", b""]
+    assert peak < 6 << 20

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import answer, answered, asides, ask, by_part, gathered, opened, pack, parts
 from .common import batch_of, documents, remainder, rows, table, trimmed, unsqueeze
+from .phrase_automata import listed, numbered
 
 #: Counts that are discounted at most; the order of the query's model.
 CUT, ORDER = 5, 2
@@ -70,17 +71,15 @@ class Unigrams:
 
 def encode(held_by: int, held_is: int):
     def run(held: list[tuple]) -> tuple:
-        of: dict[bytes, int] = {b"": 0}
-        word, lens = [], []
-        for _, text in held:
-            w = text.lower().split()
-            lens.append(len(w) + 1)
-            word += [of.setdefault(x, len(of)) for x in w]
-            word.append(0)
-        vocab = list(of)
-        part = np.fromiter((xxhash.xxh32_intdigest(x) for x in vocab), np.int64) >> 1
+        words, number, lens = numbered([text.lower() for _, text in held])
+        vocab, lens = [b"", *listed(words)], lens.astype(np.int64) + 1
+        word = np.zeros(int(lens.sum()), np.int32)  # 0 is the end of a text
+        ends = np.zeros(len(word), bool)
+        ends[np.cumsum(lens) - 1] = True
+        word[~ends] = number + 1
+        part = np.fromiter(map(xxhash.xxh32_intdigest, vocab), np.int64, len(vocab)) >> 1
         out = np.array([remainder(i, held_by) == held_is for i, _ in held])
-        return b"\n".join(vocab), part.astype(np.int32), np.array(word, np.int32), np.array(lens, np.int64), [i for i, _ in held], out
+        return b"\n".join(vocab), part.astype(np.int32), word, lens, [i for i, _ in held], out
 
     return run
 
