@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 
 import pytest
 
 from tests.llm.helpers import corpus, frame
+from trellis.llm import near_copies
 from trellis.llm import spotsigs as m
 
 
@@ -83,3 +85,48 @@ def test_classes_against_brute_force(spark, tmp_path, monkeypatch, few):
             rows.append((len(rows) + 1000, " ".join(map(phrase, base[: int(0.7 * size)] + [r.randrange(10**9) for _ in range(int(0.3 * size))]))))
     got = op10_rows(spark, tmp_path, rows)
     assert sorted((repr(x.doc_id), repr(x.class_id)) for x in got) == classes(rows)
+
+
+def test_texts_shuffle_is_gone_before_the_join(spark, tmp_path, monkeypatch):
+    """The shuffle files that fingerprints took are dropped when the join begins, not with its first steps."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    d, seen = str(tmp_path / "d"), []
+    frame(spark, corpus(5)).write.parquet(f"{d}/documents.parquet")
+
+    def join(docs):
+        time.sleep(1)  # files are removed in the background
+        seen.append(files())
+        return spark.createDataFrame([], "node long, class_id long")
+
+    monkeypatch.setattr(m, "near_classes", join)
+    for _ in range(2):
+        m.emptied(spark)
+        time.sleep(1)
+    before = files()
+    m.op10(spark, d).collect()
+    assert seen[0] <= before
+
+
+def test_rounds_over_few_entries_take_one_part(spark, tmp_path, monkeypatch):
+    """Many near copies of one text: the same classes, whether the rounds are in one part or in many."""
+    r, rows = random.Random(6), []
+    base = [r.randrange(10**9) for _ in range(40)]
+    for i in range(60):
+        own = [x if r.random() > 0.06 else r.randrange(10**9) for x in base]
+        rows.append((i, " ".join(f"the n{k} v{k}" for k in own)))
+    parts, verified = [], near_copies.verified
+
+    def seen(*given):
+        found = verified(*given)
+        parts.append(found.rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(near_copies, "verified", seen)
+    monkeypatch.setattr(near_copies, "MANY", 4)
+    got = lambda: sorted((repr(x.doc_id), repr(x.class_id)) for x in op10_rows(spark, tmp_path, rows))
+    assert got() == classes(rows)
+    assert parts and set(parts) == {1}
+    del parts[:]
+    monkeypatch.setattr(near_copies, "ENTRIES", 0)
+    assert got() == classes(rows)
+    assert parts and max(parts) > 1

@@ -7,6 +7,7 @@ import functools
 import gc
 import pickle
 import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -57,6 +58,13 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def emptied(spark: SparkSession) -> None:
+    """As released(), and also the shuffle files of the step just done: these go with a second collection only, a moment later."""
+    released(spark)
+    time.sleep(0.5)
+    released(spark)
+
+
 def executors(spark: SparkSession) -> int:
     return spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # less the driver, which is alone on a single machine
 

@@ -45,6 +45,8 @@ BANDS, ROWS, EQUAL = 32, 4, 75
 ROUNDS, WORTH, MANY = 24, 0.02, 32
 #: Entries of a key that are joined to pairs at most; of more, those that one task compares with each other.
 PAIRED, CELL = 8, 2048
+#: Entries of large keys, and elements of the sets that stand for them, that the rounds keep in one part at most.
+ENTRIES, ELEMENTS = 1 << 17, 1 << 24
 LAST = (1 << 63) - 1
 
 
@@ -254,18 +256,34 @@ def mixed(held: DataFrame, own: DataFrame, group: DataFrame) -> DataFrame:
     return now.join(of.select("key", "s"), "key")
 
 
-def grouped(held: DataFrame, own: DataFrame, sets: DataFrame, sigs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) by all links of what indexed() gives; edges are links known before."""
+def in_one(df: DataFrame) -> DataFrame:
+    """df in one part, so that joins and sums of such need no shuffle; for few rows."""
+    return checkpointed(checkpointed(df).coalesce(1)).coalesce(1)
+
+
+def grouped(held: DataFrame, own: DataFrame, sets: DataFrame, sigs: DataFrame, edges: DataFrame, together: bool = False) -> DataFrame:
+    """(id, component) by all links of what indexed() gives; edges are links known before.
+
+    together: if the entries of large keys are counted to be few, the rounds keep them in one part.  A round is then some tasks
+    and files, not some twenty for each shuffle partition.  The groups are the same.
+    """
     group = checkpointed(joined(edges))
     large = held.where(F.col("m") > MANY)
     heavy = checkpointed(own.join(large.select("node").distinct(), "node", "left_semi"))  # the rounds touch no others
+    heavy_sets, heavy_sigs, part = sets, sigs, lambda df: df
+    if together:
+        entries, elements = large.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
+        if 0 < entries <= ENTRIES and elements <= ELEMENTS:
+            ids = F.broadcast(heavy.select("node"))
+            large, heavy, heavy_sets, heavy_sigs = map(in_one, (large, heavy, sets.join(ids, "node", "left_semi"), sigs.join(ids, "node", "left_semi")))
+            part = lambda df: df.coalesce(1)
     for _ in range(ROUNDS):
-        now = checkpointed(mixed(large, heavy, group))
+        now = part(checkpointed(mixed(large, heavy, part(group))))
         if now.isEmpty():
             large = large.limit(0)
             break
-        star = checkpointed(now.where(f"x.node <> s.node and {MAY.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b")).distinct())
-        found = verified(star, sets, sigs)
+        star = part(checkpointed(now.where(f"x.node <> s.node and {MAY.format('x', 's')}").select(F.col("s.node").alias("a"), F.col("x.node").alias("b")).distinct()))
+        found = verified(star, heavy_sets, heavy_sigs)
         edges = checkpointed(edges.unionByName(found))
         group = checkpointed(joined(edges), release=True)
         large = now.where("x.node <> s.node").select("key", "x.node", "x.n", "x.i", "m")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_few, map_rows, shuffle_partitions, table
+from .common import checkpointed, emptied, if_few, map_rows, shuffle_partitions, table
 from .near_copies import LAST, grouped, indexed, minima, prefix, recurring, signature
 
 ANCHORS = frozenset("the a an of to and in is that for it was on are with as at be this by from der die das und ist ein eine den von zu mit auf für nicht sich des le la les de un une et en est que pour du des au el los las y es por con una se no".split())
@@ -113,7 +113,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     fields = [("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
     rows = map_rows(docs, index, fields, "id long, node long, n int, sig binary, keys array<long>", 1024)
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys"))), release=True)
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys"))))
+    emptied(docs.sparkSession)
     # the place of a spot in its set's order: keys of both partitions stand side by side
     held, alone = indexed(nodes, "pos div (size(keys) div (n div 5 + 1))")
     wanted = checkpointed(nodes.select("node", "id", "sig").join(alone.select("node"), "node"))
@@ -130,7 +131,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     repeated = not docs.groupBy("id").count().where("count > 1").isEmpty()
     sets = checkpointed(sets.dropDuplicates(["node"]) if repeated else sets, release=True)
     none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    group = grouped(held, alone, sets, wanted.select("node", "sig"), none)
+    group = grouped(held, alone, sets, wanted.select("node", "sig"), none, together=True)
     of = nodes.select("node", "id").join(group.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     of = checkpointed(of)
     least = F.nullif(F.min("id"), F.lit(LAST)).alias("class_id")
@@ -160,5 +161,6 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = checkpointed(fingerprinted(docs), release=True)  # a small row each, before the join needs room
+    out = checkpointed(fingerprinted(docs))  # a small row each
+    emptied(spark)  # the texts' shuffle is larger than the input, and would stand beside the join's
     return out.join(near_classes(docs), "node").drop("node")
