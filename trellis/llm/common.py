@@ -58,11 +58,23 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def emptied(spark: SparkSession) -> None:
-    """As released(), and also the shuffle files of the step just done: these go with a second collection only, a moment later."""
-    released(spark)
-    time.sleep(0.5)
-    released(spark)
+def shuffles(spark: SparkSession) -> int:
+    """Shuffles that have files."""
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
+#: Collections that a step's shuffles are waited for at most, and seconds between them.
+COLLECTIONS, PAUSE = 20, 0.5
+
+
+def emptied(spark: SparkSession, held: int = 0) -> None:
+    """As released(), until no more shuffles are there than `held` before a step: one collection frees what refers to a
+    shuffle, a later one the shuffle itself."""
+    for _ in range(COLLECTIONS):
+        released(spark)
+        time.sleep(PAUSE)
+        if shuffles(spark) <= held:
+            break
 
 
 def executors(spark: SparkSession) -> int:

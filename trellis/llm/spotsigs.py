@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, emptied, if_few, map_rows, shuffle_partitions, table
+from .common import checkpointed, emptied, if_few, map_rows, shuffle_partitions, shuffles, table
 from .near_copies import LAST, grouped, indexed, minima, prefix, recurring, signature
 
 ANCHORS = frozenset("the a an of to and in is that for it was on are with as at be this by from der die das und ist ein eine den von zu mit auf für nicht sich des le la les de un une et en est que pour du des au el los las y es por con una se no".split())
@@ -104,6 +104,7 @@ def keys(a: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> list[int]:
 def near_classes(docs: DataFrame) -> DataFrame:
     """(node, class_id) of each different set of spots."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    before = shuffles(docs.sparkSession)
     often = recurring(docs.select(F.xxhash64("text").alias("node"), "text"), spots)
 
     def index(found):
@@ -114,7 +115,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     fields = [("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
     rows = map_rows(docs, index, fields, "id long, node long, n int, sig binary, keys array<long>", 1024)
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys"))))
-    emptied(docs.sparkSession)
+    emptied(docs.sparkSession, before)
     # the place of a spot in its set's order: keys of both partitions stand side by side
     held, alone = indexed(nodes, "pos div (size(keys) div (n div 5 + 1))")
     wanted = checkpointed(nodes.select("node", "id", "sig").join(alone.select("node"), "node"))
@@ -161,6 +162,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = shuffles(spark)
     out = checkpointed(fingerprinted(docs))  # a small row each
-    emptied(spark)  # the texts' shuffle is larger than the input, and would stand beside the join's
+    emptied(spark, before)  # the texts' shuffle is larger than the input, and would stand beside the join's
     return out.join(near_classes(docs), "node").drop("node")
